@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +48,20 @@ def ascii_lower(c: Column) -> Column:
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, as the folds of the contracts use it."""
     return F.crc32(F.col(doc_id).cast("string"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers once an application, so that jobs run from any working folder."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        top = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="shoal-package-")) / "shoal-package.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(to))
+        _SHIPPED.add(sc.applicationId)
+    return spark

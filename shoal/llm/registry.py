@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import exact_dedup, mixing, sharding
+from shoal.llm import exact_dedup, language_id, mixing, sharding
 from shoal.llm.common import read
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op7(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    return language_id.identified(read(spark, sf_dir, "documents"))
