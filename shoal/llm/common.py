@@ -36,6 +36,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be broadcast: 16 bytes each make some 30 MB, and beyond it the join shuffles instead.
+MOST_KEYS = 1_000_000
+
+
+def among(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """``df`` joined with ``keys``, a saved narrow table, which is broadcast only if it has few enough rows."""
+    few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

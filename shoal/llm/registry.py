@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import exact_dedup, language_id, mixing, sharding
+from shoal.llm import exact_dedup, language_id, mixing, ngram_join, sharding
 from shoal.llm.common import read
 
 QUERIES: dict = {}
@@ -19,6 +19,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_ngram_jaccard_join")
+def op3(spark, sf_dir):
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"), shards=16)
