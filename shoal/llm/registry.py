@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import exact_dedup, language_id, mixing, ngram_join, sharding
+from shoal.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, sharding
 from shoal.llm.common import read
 
 QUERIES: dict = {}
@@ -52,6 +52,11 @@ def op7(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+@query("op8_decontamination")
+def op8(spark, sf_dir):
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op9_exact_dedup",
     """
