@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from shoal.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, sharding
-from shoal.llm.common import read
+import uuid
+
+from shoal.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, sharding, token_codes
+from shoal.llm.common import read, scratch_root
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -24,6 +26,15 @@ def op3(spark, sf_dir):
     return ngram_join.ngram_join(read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+@query("op4_token_codes")
+def op4(spark, sf_dir):
+    import public_tokenizers
+
+    path = f"{scratch_root(spark)}/shoal/tokens-{uuid.uuid4().hex}"
+    token_codes.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_codes.listed(spark, path)
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"), shards=16)
