@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from shoal.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, sharding, token_codes
+from shoal.llm import decontamination, exact_dedup, language_id, mixing, ngram_join, sharding, suffix_tree, token_codes
 from shoal.llm.common import read, scratch_root
 
 QUERIES: dict = {}
@@ -35,6 +35,11 @@ def op4(spark, sf_dir):
     return token_codes.listed(spark, path)
 
 
+@query("op5_lm_scoring")
+def op5(spark, sf_dir):
+    return suffix_tree.fold_scores(read(spark, sf_dir, "documents"))
+
+
 @query("op6_sharding")
 def op6(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"), shards=16)
