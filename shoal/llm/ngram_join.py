@@ -2,14 +2,18 @@
 
 A document is its set of distinct word shingles. Sets that are equal collapse first. The matrix's tokens are
 *bands*: for each slot of set sizes the shingle space is cut into so many parts that two sets of the needed
-similarity differ in fewer parts than each has thick ones (two shingles or more), so they hold some part whole
-and alike. A shared passage alone doesn't make a band, as a band is everything a document has in that part.
+similarity differ in fewer parts than each has filled ones; what is left over, ``need`` parts, they hold alike.
+A band is everything a document has in a part, so a shared passage alone makes few.
 
-1. Documents that share a band are checked against the least document of the band: a star, not all pairs. The
-   checked links' components are the groups of similar documents.
-2. The matrix holds each group's union of bands. A document's overlap with the union of any other group bounds
-   its equal bands with each member, and the members need ``need`` of them: only groups that reach it are opened,
-   and only members that reach it are checked.
+Bands of more than ``COMMON`` documents are common. A document with fewer common bands than it needs shares an
+uncommon one with each partner and leaves its common ones out; only the others, such as members of large families
+of near copies, meet over common bands.
+
+1. Documents that share enough bands with the least document of these bands are checked against it: a star, not
+   all pairs. The checked links' components are the groups of similar documents.
+2. The matrix holds each group's union of bands. A document's overlap with the union of another group bounds its
+   equal bands with each member: only groups where it reaches ``need`` are opened, and only members that reach it
+   are checked.
 
 Both rounds check candidates on their whole texts, exactly. No link between different texts is lost; links
 inside a group that is connected already aren't needed and aren't looked for.
@@ -25,21 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.llm.common import among, saved, ship
+from shoal.llm.hashing import P, Q, lowered, mixed, word_hashes
 
-UPPER_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Size classes widen by this; parts are a fifth more than the differences, to allow for thin ones.
-WIDEN, SPARE, THICK = 1.38, 1.2, 2
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _Q
-    h = (h ^ (h >> np.uint64(29))) * _P
-    return h ^ (h >> np.uint64(32))
+#: Size classes widen by this; parts are so many times the differences, so that partners share a good part of them.
+WIDEN, SPARE = 1.38, 1.35
+#: A band of more documents than this is common. It is used only between documents that have too many common ones.
+COMMON = 32
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,28 +42,11 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
 
     Words are lower-cased in A-Z only. With fewer words than ``width`` the whole sequence is the one shingle.
     """
-    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(UPPER_LOWER) for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
-    space = _SPACE[data]
-    inside = ~space
-    start = inside.copy()
-    start[1:] &= space[:-1]
-    begin = np.flatnonzero(start)
-    n_docs = len(raw)
-    if not len(begin):
+    n_docs = len(texts)
+    word, doc = word_hashes(lowered(texts))
+    if not len(word):
         return np.empty(0, np.uint64), np.zeros(n_docs + 1, np.int64)
     with np.errstate(over="ignore"):
-        # A word's hash: its bytes' random values times powers of an odd number by place in the word, mixed.
-        spot = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))[: len(data)] if begin[0] == 0 else None
-        if spot is None:
-            spot = np.arange(len(data)) - np.concatenate((np.zeros(begin[0], np.int64), np.repeat(begin, np.diff(np.append(begin, len(data))))))
-        longest = int(spot[inside].max()) + 1
-        power = np.cumprod(np.full(longest, _P)) if longest else np.empty(0, np.uint64)
-        value = np.zeros(len(data), np.uint64)
-        value[inside] = _BYTE[data[inside]] * power[spot[inside]]
-        word = mixed(np.add.reduceat(value, begin))
-        doc = np.searchsorted(ends, begin, "right")
         count = np.bincount(doc, minlength=n_docs)
         first = np.concatenate(([0], np.cumsum(count)))[:-1]
         place = np.arange(len(word)) - first[doc]
@@ -77,7 +55,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
         for i in range(width):
             moved = np.zeros_like(word)
             moved[: len(word) - i] = word[i:]
-            h = np.where(i < reach, mixed(h * _Q + moved + np.uint64(i + 1)), h)
+            h = np.where(i < reach, mixed(h * Q + moved + np.uint64(i + 1)), h)
         valid = place <= count[doc] - reach
     h, doc = h[valid], doc[valid]
     order = np.lexsort((h, doc))
@@ -125,11 +103,11 @@ class Slots:
 
 
 def bands(h: np.ndarray, slots: Slots) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-    """Per slot of the set: the band tokens of its thick parts, and (slot, how many equal ones a partner must have).
+    """Per slot of the set: the band tokens of its filled parts, and (slot, how many equal ones a partner must have).
 
-    Where thin parts are so many that a partner might share no thick one, the set is *poor* in that slot: a partner
-    that isn't poor still shares one of its own thick bands, so only poor pairs could be missed. Poor sets therefore
-    also give, in a space of their own, the tokens of their prefix in hash order, the usual exact filter.
+    Where empty parts are so many that a partner might share no filled one, the set is *poor* in that slot: a partner
+    that isn't poor still shares one of its own bands, so only poor pairs could be missed. Poor sets therefore also
+    give, in a space of their own, the tokens of their prefix in hash order, the usual exact filter.
     """
     out, needs = [], []
     n = len(h)
@@ -139,18 +117,18 @@ def bands(h: np.ndarray, slots: Slots) -> tuple[list[np.ndarray], list[tuple[int
         if k == 1:
             continue  # only equal sets are similar enough, and those have collapsed
         with np.errstate(over="ignore"):
-            x = mixed(h * _Q + salt)
+            x = mixed(h * Q + salt)
             part = ((x >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
             total = np.zeros(k, np.uint64)
-            np.add.at(total, part, mixed(x + _P))
+            np.add.at(total, part, mixed(x + P))
             size = np.bincount(part, minlength=k)
-            thick = np.flatnonzero(size >= THICK)
-            token = mixed(mixed(total[thick] + size[thick].astype(np.uint64) * _P) + thick.astype(np.uint64) * _Q + salt)
-        need = len(thick) - d
+            filled = np.flatnonzero(size)
+            token = mixed(mixed(total[filled] + size[filled].astype(np.uint64) * P) + filled.astype(np.uint64) * Q + salt)
+        need = len(filled) - d
         if need < 1:
             with np.errstate(over="ignore"):
                 prefix = np.sort(mixed(x))[: n - -(-slots.num * n // slots.den) + 1]
-                token = np.concatenate((token, mixed(prefix + _Q * salt)))
+                token = np.concatenate((token, mixed(prefix + Q * salt)))
         out.append(token)
         needs.append((slot, max(1, need)))
     return out, needs
@@ -169,7 +147,7 @@ def _describe(width: int):
                 h, at = shingle_sets(part["text"].to_pylist(), width)
                 own = [h[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
                 with np.errstate(over="ignore"):
-                    sums = [(int(x.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(x + _Q)).view(np.int64)) if len(x) else 0) for x in own]
+                    sums = [(int(x.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(x + Q)).view(np.int64)) if len(x) else 0) for x in own]
                 yield pa.record_batch(
                     [part["doc_id"], pa.array(np.diff(at), pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64())],
                     names=["doc_id", "n_shingles", "s1", "s2"],
@@ -222,6 +200,10 @@ def checked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check_pairs(width, num, den), "a long, b long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
 def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) of every linked node, root the least node it reaches: alternating large and small stars.
 
@@ -266,25 +248,34 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, d
     reps = among(source, saved(equal.select(F.col("rep").alias("doc_id")).distinct(), "reps"), "doc_id")
     rows = reps.mapInArrow(_band_rows(width, num, den, most), "token long, doc long, need int")
     bucket = Window.partitionBy("token")
-    rows = rows.select("token", "doc", "need", F.min("doc").over(bucket).alias("least"), F.max("doc").over(bucket).alias("last")).where("least < last")
-    rows = saved(rows, "bands")
-    star = rows.where("doc > least").groupBy(F.col("doc").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("n")).select("a", "b")
-    wanted = saved(among(reps, saved(rows.select(F.col("doc").alias("doc_id")).distinct(), "candidates"), "doc_id"), "candidate-texts")
+    rows = saved(rows.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1"), "bands")
+    # How many of its bands in a slot are common, and what a partner must then share of those that are used.
+    each = rows.groupBy("doc", "need").agg(F.count_if(F.col("size") > COMMON).alias("common")).where("common > 0")
+    rows = rows.join(each, ["doc", "need"], "left").na.fill(0, ["common"])
+    busy = F.col("common") >= F.col("need")
+    rows = rows.where((F.col("size") <= COMMON) | busy).select("token", "doc", F.when(busy, F.col("need")).otherwise(F.col("need") - F.col("common")).alias("need"))
+    rows = rows.withColumn("least", F.min("doc").over(bucket)).withColumn("last", F.max("doc").over(bucket)).where("least < last")
+    rows = saved(rows.select("token", "doc", "need", "least"), "used-bands")
+    star = rows.where("doc > least").groupBy("doc", "need", "least").agg(F.count(F.lit(1)).alias("n")).where("n >= need")
+    star = saved(star.select(F.col("doc").alias("a"), F.col("least").alias("b")).distinct(), "star-pairs")
+    wanted = saved(among(reps, saved(ends(star), "candidates"), "doc_id"), "star-texts")
     links = saved(checked(star, wanted, width, num, den), "star-links")
     group = components(links)
 
     # The matrix: token, group. Only tokens of two groups or more can open anything.
-    named = rows.join(group.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "need", F.coalesce("root", "doc").alias("grp"))
+    named = rows.drop("least").join(group.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "need", F.coalesce("root", "doc").alias("grp"))
     named = saved(named.withColumn("lo", F.min("grp").over(bucket)).withColumn("hi", F.max("grp").over(bucket)).where("lo < hi").drop("lo", "hi"), "cross-bands")
     matrix = named.select("token", F.col("grp").alias("other")).distinct()
     opened = named.join(matrix, "token").where("grp <> other").groupBy("doc", "need", "other").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= need")
-    opened = opened.select("doc", "need", "other").distinct()
+    opened = opened.select("doc", "need", "other")
     member = named.select("token", F.col("doc").alias("member"), F.col("grp").alias("other"))
     asked = named.select("token", "doc", "need").join(opened, ["doc", "need"])
-    cross = asked.join(member, ["token", "other"]).where("doc > member")
-    cross = cross.groupBy("doc", "need", "member").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= need")
-    cross = saved(cross.select(F.col("doc").alias("a"), F.col("member").alias("b")).distinct(), "cross-pairs")
+    cross = asked.join(member, ["token", "other"]).groupBy("doc", "need", "member").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= need")
+    # Either of two documents may find the other.
+    cross = cross.select(F.greatest("doc", "member").alias("a"), F.least("doc", "member").alias("b")).distinct()
+    cross = saved(cross.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     if not cross.isEmpty():
+        wanted = saved(among(reps, saved(ends(cross), "cross-candidates"), "doc_id"), "cross-texts")
         links = links.unionByName(checked(cross, wanted, width, num, den))
         group = components(links, "all-components")
     copies = sets.where("doc_id is not null and n_shingles > 0").join(equal.drop("copies"), ["n_shingles", "s1", "s2"])
