@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from shoal.llm import decontamination, exact_dedup, html_extract, language_id, mixing, ngram_join, sharding, suffix_tree, token_codes
+from shoal.llm import decontamination, exact_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, sharding, suffix_tree, token_codes
 from shoal.llm.common import read, scratch_root
 
 QUERIES: dict = {}
@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_line_dedup")
+def op1(spark, sf_dir):
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+
+
 @query("op2_html_extraction")
 def op2(spark, sf_dir):
     return html_extract.extract(read(spark, sf_dir, "pages"))
