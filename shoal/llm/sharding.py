@@ -102,3 +102,14 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
         "virtual_slot",
         F.col("version").alias("map_version"),
     )
+
+
+def assigned(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """``docs``, all columns and rows, with shard, virtual_slot and map_version; columns of these names are replaced.
+
+    A row's shard follows from its id and the map, one row a slot, so that texts aren't shuffled.
+    """
+    sizes = slot_sizes(measured(docs, doc_id, text, slots), slots)
+    slot_map = saved(first_map(sizes, shards), "slot-map-v1").select("virtual_slot", "shard", F.col("version").alias("map_version"))
+    plain = docs.drop("shard", "virtual_slot", "map_version").withColumn("virtual_slot", virtual_slot(F.col(doc_id), slots))
+    return plain.join(F.broadcast(slot_map), "virtual_slot").select(*plain.columns[:-1], "shard", "virtual_slot", "map_version")
