@@ -39,8 +39,7 @@ def template(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Its words in order; none for a text of white space."""
-    t = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def paired(a: Column, b: Column, ahead: int) -> Column:
@@ -102,7 +101,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     totals = keys.groupBy("item_id").agg(F.countDistinct("item_at").alias("total"))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("d_text"))
     own = windows(d.select("doc_id", words(template(text_or_empty("d_text"))).alias("typed")), "typed", width)
-    own = own.select("doc_id", F.posexplode("h").alias("at", "h"))
+    # Outer: the plain form would also filter on the array's size and so evaluate all of the above once more.
+    own = own.select("doc_id", F.posexplode_outer("h").alias("at", "h"))
     few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
     hits = own.join(F.broadcast(keys) if few else keys, "h").select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
     # One row a document, item and shift, with at most an item's places in it.
