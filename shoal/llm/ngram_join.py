@@ -11,11 +11,12 @@ of near copies, meet over common bands.
 
 1. Documents that share enough bands with the least document of these bands are checked against it: a star, not
    all pairs. The checked links' components are the groups of similar documents.
-2. The matrix holds each group's union of bands. A document's overlap with the union of another group bounds its
-   equal bands with each member: only groups where it reaches ``need`` are opened, and only members that reach it
-   are checked.
+2. What still meets in a band across components is dealt into groups of similar documents, and the matrix holds
+   each group's union of bands. A document's overlap with the union bounds its equal bands with each member: only
+   groups where it reaches ``need`` are opened. In an opened group the union of the members' shingles bounds the
+   overlap once more before the members are compared.
 
-Both rounds check candidates on their whole texts, exactly. No link between different texts is lost; links
+Both rounds compare whole texts, exactly. No link between different texts is lost; links
 inside a group that is connected already aren't needed and aren't looked for.
 """
 
@@ -35,6 +36,8 @@ from shoal.llm.hashing import P, Q, lowered, mixed, word_hashes
 WIDEN, SPARE = 1.38, 1.35
 #: A band of more documents than this is common. It is used only between documents that have too many common ones.
 COMMON = 32
+#: Documents in a group of the matrix, and documents that one task looks up in a group.
+GROUP, ASKING = 64, 512
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,12 +203,76 @@ def checked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check_pairs(width, num, den), "a long, b long")
 
 
+def grouped(named: DataFrame) -> DataFrame:
+    """(doc, comp, gid): groups of about ``GROUP`` documents that share bands and, as far as it goes, a component."""
+    own = saved(named.groupBy("doc").agg(F.first("comp").alias("comp"), F.min("lead").alias("family")), "families")
+    sized = own.join(own.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_n")), "comp").join(own.groupBy("family").agg(F.count(F.lit(1)).alias("family_n")), "family")
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.ceil(F.col(n) / GROUP))
+    gid = F.when(F.col("comp_n") >= GROUP, F.xxhash64(F.lit("c"), "comp", part("doc", "comp_n"))).otherwise(F.xxhash64(F.lit("f"), "family", part("comp", "family_n")))
+    return saved(sized.select("doc", "comp", gid.alias("gid")), "groups")
+
+
+def qualifying(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, comp, gid) of the groups to open for each document, and the members of all groups."""
+    members = grouped(named)
+    rows = named.select("token", "doc", "need", "comp").join(members.select("doc", "gid"), "doc")
+    matrix = rows.select("token", "gid").distinct()
+    whole = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    met = rows.drop("gid").join(matrix, "token").groupBy("doc", "need", "comp", "gid").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= need")
+    # A group that is all of the document's own component has nothing new for it.
+    met = met.join(whole, "gid").where("not (lo = hi and lo = comp)").select("doc", "comp", "gid").distinct()
+    return saved(met, "opened"), members
+
+
+def _search(width: int, num: int, den: int):
+    def run(group: pa.Table) -> pa.Table:
+        member = np.asarray(group["member"].to_numpy(zero_copy_only=False), bool)
+        docs, comps, texts = group["doc"].to_numpy(), group["comp"].to_numpy(), group["text"].to_pylist()
+        h, at = shingle_sets(texts, width)
+        size = np.diff(at)
+        inside, asking = np.flatnonzero(member), np.flatnonzero(~member)
+        # The union of the members' shingles, and each shingle's members.
+        owner = np.repeat(np.arange(len(inside)), size[inside])
+        own = np.concatenate([h[at[i] : at[i + 1]] for i in inside]) if len(inside) else h[:0]
+        order = np.argsort(own, kind="stable")
+        own, owner = own[order], owner[order]
+        a, b = [], []
+        for q in asking:
+            mine = h[at[q] : at[q + 1]]
+            lo, hi = np.searchsorted(own, mine), np.searchsorted(own, mine, "right")
+            if den * int((hi > lo).sum()) < num * len(mine):  # the bound: no member can have more of it than the union
+                continue
+            n = hi - lo
+            spots = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.bincount(owner[spots], minlength=len(inside))
+            ok = (den * both >= num * (len(mine) + size[inside] - both)) & (both > 0) & (comps[inside] != comps[q])
+            for c in np.unique(comps[inside[ok]]):  # one link to each component is enough
+                a.append(docs[q])
+                b.append(docs[inside[ok & (comps[inside] == c)][0]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def searched(opened: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between documents and members of the groups opened for them, one for each component linked.
+
+    A task has one group and at most about ``ASKING`` of the documents that ask for it, with their whole texts.
+    """
+    asked = opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("parts"))
+    text = texts.select(F.col("doc_id").alias("doc"), "text")
+    own = members.join(asked, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gid", "part", "doc", "comp", F.lit(True).alias("member"))
+    asking = opened.join(asked, "gid").select("gid", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), "doc", "comp", F.lit(False).alias("member"))
+    rows = own.unionByName(asking).join(text, "doc")
+    return rows.groupBy("gid", "part").applyInArrow(_search(width, num, den), "a long, b long")
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
 def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, root) of every linked node, root the least node it reaches: alternating large and small stars.
+    """(node, root) of every linked node that isn't a root itself: alternating large and small stars.
 
     Each round is two aggregations and joins on the links; the links are written between rounds.
     """
@@ -262,21 +329,14 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, d
     links = saved(checked(star, wanted, width, num, den), "star-links")
     group = components(links)
 
-    # The matrix: token, group. Only tokens of two groups or more can open anything.
-    named = rows.drop("least").join(group.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "need", F.coalesce("root", "doc").alias("grp"))
-    named = saved(named.withColumn("lo", F.min("grp").over(bucket)).withColumn("hi", F.max("grp").over(bucket)).where("lo < hi").drop("lo", "hi"), "cross-bands")
-    matrix = named.select("token", F.col("grp").alias("other")).distinct()
-    opened = named.join(matrix, "token").where("grp <> other").groupBy("doc", "need", "other").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= need")
-    opened = opened.select("doc", "need", "other")
-    member = named.select("token", F.col("doc").alias("member"), F.col("grp").alias("other"))
-    asked = named.select("token", "doc", "need").join(opened, ["doc", "need"])
-    cross = asked.join(member, ["token", "other"]).groupBy("doc", "need", "member").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= need")
-    # Either of two documents may find the other.
-    cross = cross.select(F.greatest("doc", "member").alias("a"), F.least("doc", "member").alias("b")).distinct()
-    cross = saved(cross.join(star, ["a", "b"], "left_anti"), "cross-pairs")
-    if not cross.isEmpty():
-        wanted = saved(among(reps, saved(ends(cross), "cross-candidates"), "doc_id"), "cross-texts")
-        links = links.unionByName(checked(cross, wanted, width, num, den))
+    # Bands in which documents of two components meet; the rest has nothing left to find.
+    named = rows.select("token", "doc", "need").join(group.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
+    named = named.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).where("lo < hi")
+    named = saved(named.select("token", "doc", "need", "comp", F.min("doc").over(bucket).alias("lead")), "cross-bands")
+    if not named.isEmpty():
+        opened, members = qualifying(named)
+        wanted = saved(among(reps, saved(members.select(F.col("doc").alias("doc_id")), "cross-candidates"), "doc_id"), "cross-texts")
+        links = links.unionByName(saved(searched(opened, members, wanted, width, num, den), "cross-links"))
         group = components(links, "all-components")
     copies = sets.where("doc_id is not null and n_shingles > 0").join(equal.drop("copies"), ["n_shingles", "s1", "s2"])
     # Rows that repeat an id with other texts tie their sets together.
