@@ -23,21 +23,33 @@ def lowered(texts: list[str | None]) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LOWERED) for t in texts]
 
 
+class Words:
+    """The words of a batch of texts: bytes, where each word begins and ends, and the number of its text."""
+
+    def __init__(self, raw: list[bytes]):
+        self.data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        edges = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+        self.inside = ~_SPACE[self.data]
+        turn = np.flatnonzero(np.diff(np.concatenate(([False], self.inside))))
+        self.begin, self.end = turn[::2], turn[1::2]  # the last byte is a line feed, so every word ends
+        self.text = np.searchsorted(edges, self.begin, "right")
+
+    def hashes(self, table: np.ndarray = _BYTE) -> np.ndarray:
+        """Of each word: its bytes' random values times powers of an odd number by place in the word, mixed."""
+        if not len(self.begin):
+            return np.empty(0, np.uint64)
+        size = self.end - self.begin
+        first = np.cumsum(size) - size
+        spot = np.arange(int(size.sum())) - np.repeat(first, size)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(size.max()), P))
+            return mixed(np.add.reduceat(table[self.data[self.inside]] * power[spot], first))
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.begin[i] : self.end[i]].tobytes()
+
+
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of every text, in order, and the number of the text that each is in."""
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
-    inside = ~_SPACE[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    begin = np.flatnonzero(start)
-    if not len(begin):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    # Its bytes' random values times powers of an odd number by place in the word, mixed.
-    origin = np.concatenate(([0] if begin[0] else [], begin)).astype(np.int64)
-    spot = (np.arange(len(data)) - np.repeat(origin, np.diff(np.append(origin, len(data)))))[inside]
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(spot.max()) + 1, P))
-        value = np.zeros(len(data), np.uint64)
-        value[inside] = _BYTE[data[inside]] * power[spot]
-        return mixed(np.add.reduceat(value, begin)), np.searchsorted(ends, begin, "right")
+    w = Words(raw)
+    return w.hashes(), w.text

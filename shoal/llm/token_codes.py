@@ -12,7 +12,7 @@ executors and retries leave each segment once.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.llm.common import saved, ship
+from shoal.llm.hashing import Words, lowered
 
 BITS, BLOCK = 8, 512
 MAGIC = b"DACT\x01"
 #: A segment closes at so many ids: some 300 KB.
 SEGMENT_IDS = 200_000
 END_ID = 2
+#: New pieces that are encoded as one line of text.
+LINE = 50
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -118,26 +121,83 @@ def opened(body: bytes) -> tuple[list[int | None], np.ndarray, DirectCodes]:
 
 
 class Encoder:
-    """Ids of whole texts. White space always parts this tokenizer's words, so the pieces between it are encoded by
-    the library once each and remembered; the memory is emptied when it holds ``most`` pieces."""
+    """Ids of whole texts. White space always parts this tokenizer's words, and it lower-cases them, so each distinct
+    lower-cased piece between white space is encoded by the library once and its ids remembered.
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    The memory is arrays sorted by a 64-bit hash of the piece, checked by a second one, so that a batch of texts is
+    looked up at once; it is emptied when it holds ``most`` pieces. New pieces are encoded many at a time, parted by
+    a control character whose one id marks where each one's end.
+    """
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.split = re.compile(rb"[^\x20\x09-\x0D]+").findall
+    MARK = "\x01"
+    CHECK = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64)
+
+    def __init__(self, path: str, most: int = 1_500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [self.split((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(p for ps in pieces for p in ps) if p not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in ps]), "<u4") for ps in pieces]
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        own = self._ids(self.MARK)
+        self.mark = int(own[0]) if len(own) == 1 else None
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.at, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _encoded(self, pieces: list[bytes]) -> list[np.ndarray]:
+        parted, out = f" {self.MARK} ", []
+        text = [p.decode("utf-8", "replace") for p in pieces]
+        lines = [text[i : i + LINE] for i in range(0, len(text), LINE)]
+        for i in range(0, len(lines), 100):
+            part = lines[i : i + 100]
+            for words, e in zip(part, self.tokenizer.encode_batch_fast([parted.join(w) for w in part], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.mark).tolist() if self.mark is not None else []
+                if len(cuts) != len(words) - 1:  # no mark, or a piece that holds it
+                    out += [self._ids(w) for w in words]
+                else:
+                    out += [ids[s + 1 : t] for s, t in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
+        return out
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, (self.keys[at] == keys) & (self.checks[at] == checks)
+
+    def _learn(self, words: Words, keys: np.ndarray, checks: np.ndarray, which: np.ndarray) -> None:
+        ids = self._encoded([words.word(i) for i in which])
+        size = np.array([len(x) for x in ids], np.int64)
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *ids])
+        spot = np.searchsorted(self.keys, keys[which])
+        self.keys, self.checks = np.insert(self.keys, spot, keys[which]), np.insert(self.checks, spot, checks[which])
+        self.at, self.size = np.insert(self.at, spot, at), np.insert(self.size, spot, size)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other, and how many are each text's."""
+        words = Words(lowered(texts))
+        keys, checks = words.hashes(), words.hashes(self.CHECK)
+        at, hit = self._find(keys, checks)
+        if not hit.all():
+            if len(self.keys) > self.most:
+                self._empty()
+                hit[:] = False
+            miss = np.flatnonzero(~hit)
+            _, first = np.unique(keys[miss], return_index=True)
+            self._learn(words, keys, checks, miss[first])
+            at, hit = self._find(keys, checks)
+            if not hit.all():  # two pieces with one hash: leave the memory out
+                ids = [self._ids(t or "") for t in texts]
+                return np.concatenate([np.empty(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+        size = self.size[at]
+        first = np.cumsum(size) - size
+        spots = np.repeat(self.at[at] - first, size) + np.arange(int(size.sum()))
+        return self.ids[spots], np.bincount(words.text, weights=size, minlength=len(texts)).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -153,21 +213,21 @@ def _segments(path: str, end_id: int):
 
         def close() -> pa.RecordBatch:
             nonlocal docs, counts, parts, held, no
-            body = segment(docs, counts, np.concatenate(parts))
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=["part", "no", "n_ids", "body"])
+            ids = np.concatenate(parts)
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([held], pa.int64()), pa.array([segment(docs, counts, ids)], pa.binary())], names=["part", "no", "n_ids", "body"])
             docs, counts, parts, held, no = [], [], [], 0, no + 1
             return row
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                piece = b.slice(i, 256)
-                for d, ids in zip(piece["doc_id"].to_pylist(), encoder(piece["text"].to_pylist()), strict=True):
-                    docs.append(d)
-                    counts.append(len(ids) + 1)
-                    parts += [ids, np.array([end_id], "<u4")]
-                    held += len(ids) + 1
-                    if held >= SEGMENT_IDS:
-                        yield close()
+            for i in range(0, b.num_rows, 64):
+                piece = b.slice(i, 64)
+                ids, n = encoder(piece["text"].to_pylist())
+                docs += piece["doc_id"].to_pylist()
+                counts += (n + 1).tolist()
+                parts.append(np.insert(ids, np.cumsum(n), end_id))  # each text's end after its own
+                held += len(parts[-1])
+                if held >= SEGMENT_IDS:
+                    yield close()
         if docs:
             yield close()
 
