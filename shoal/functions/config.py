@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shoal.functions.text import wide_trim
+from shoal.functions.validate import clamp
 
 #: Fixed values, in the order of the schema: strings, clamped numbers, enumerations, booleans.
 STRINGS = {"fontFamily": "monospace", "theme": "auto", "lightTheme": "GitHub Light", "darkTheme": "Tokyo Night"}
@@ -30,7 +31,7 @@ def number(v: Column, key: str) -> Column:
 def clamped(v: Column, key: str) -> Column:
     """Clamped, then rounded where the setting is whole; the default for anything that isn't a finite number."""
     default, low, high, whole = NUMBERS[key]
-    d = F.least(F.lit(high), F.greatest(F.lit(low), number(v, key)))
+    d = clamp(number(v, key), low, high)
     d = F.floor(d + 0.5).cast("double") if whole else d
     d = F.coalesce(d, F.lit(default))
     return d.cast("int") if whole else d

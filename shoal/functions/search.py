@@ -28,7 +28,7 @@ def subsequence_score_col(label: Column, needle: Column) -> Column:
 
     def step(at: Column, ch: Column) -> Column:
         # at: 1-based place of the last match, 0 before the first, -1 after a miss
-        hit = F.locate_with(ch, low, at) if hasattr(F, "locate_with") else F.call_function("locate", ch, low, at + 1)
+        hit = F.call_function("locate", ch, low, at + 1)
         return F.when(at < 0, F.lit(-1)).when(hit > 0, hit).otherwise(F.lit(-1))
 
     end = F.aggregate(F.split(want, ""), F.lit(0), step)

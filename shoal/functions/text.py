@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shoal.functions.validate import clamp
+
 #: White space that the wider trim takes off: Unicode's space separators, line ends and the byte order mark.
 WIDE_SPACE = r"[\x09-\x0D\x20   -     　﻿]"
 OSC7_HINT = "\x1b]7;"
@@ -57,11 +59,11 @@ def accelerator(key: Column, platform: Column) -> Column:
 
 def split_ratio(position: Column, origin: Column, extent: Column, least: float = 0.1) -> Column:
     """A pointer's place along an element as a ratio in [least, 1 - least]."""
-    return F.least(F.lit(1 - least), F.greatest(F.lit(least), (position - origin) / extent))
+    return clamp((position - origin) / extent, least, 1 - least)
 
 
 def zoomed(size: Column, delta: Column) -> Column:
-    return F.least(F.lit(72), F.greatest(F.lit(6), size + delta))
+    return clamp(size + delta, 6, 72)
 
 
 def policy(directives: Column) -> Column:

@@ -78,7 +78,8 @@ def finite(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+    """Null stays null, although least() and greatest() pass over it."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
 
 
 def truthy(c: Column) -> Column:
