@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,16 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(to))
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def slices(batch: pa.RecordBatch, *texts: str, rows: int = 512, size: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """The batch in order, in slices of at most so many rows and bytes of text; a longer text is a slice of its own."""
+    n = sum(pc.fill_null(pc.binary_length(batch[t]), 0).to_numpy(zero_copy_only=False).astype("int64") for t in texts)
+    start = held = 0
+    for i, own in enumerate(n.tolist()):
+        if i > start and (i - start >= rows or held + own > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += own
+    if start < batch.num_rows:
+        yield batch.slice(start)

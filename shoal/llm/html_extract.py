@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import ship
+from shoal.llm.common import ship, slices
 
 #: HTML's void elements, elements whose content isn't text, and inline elements, which don't end a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -343,8 +343,7 @@ def extract(pages: DataFrame, crf: Crf | None = None, page_id: str = "page_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "html"):
                 texts = [main_text(model.value, p) for p in part["html"].to_pylist()]
                 yield pa.record_batch([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

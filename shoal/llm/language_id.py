@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import id_crc, ship
+from shoal.llm.common import id_crc, ship, slices
 
 N, PROBES, ROWS = 4, 3, 1 << 20
 #: An n-gram belongs to a language that uses it at least MIN_COUNT times and RATIO times as often as any other does.
@@ -85,7 +85,7 @@ def _counts(langs: list[str]):
             u, inv = np.unique(h, return_inverse=True)
             held[k] = [(u, np.bincount(inv, weights=c, minlength=len(u)))]
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             by: dict[int, list] = {}
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 by.setdefault(langs.index(lang), []).append(text)
@@ -159,8 +159,7 @@ def language_id(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = shared.value
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for part in slices(b, "text"):
                 pred, score = identify(langs, table, part["text"].to_pylist())
                 yield pa.record_batch([part["doc_id"], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import among, saved, ship
+from shoal.llm.common import among, saved, ship, slices
 from shoal.llm.ngram_join import components, ends
 
 #: Shorter lines are never dropped: they repeat by chance, and their segments would be too short to tell.
@@ -119,8 +119,7 @@ def _lines(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
+            for part in slices(b, "text"):
                 docs, nos, k1, k2 = [], [], [], []
                 for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     for no, line in enumerate((t or "").split("\n")):
@@ -139,9 +138,9 @@ def _signature_rows(edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for i in range(0, b.num_rows, 512):
+            for part in slices(b, "text"):
                 own, look, own_k, look_k = [], [], [], []
-                for t in b.slice(i, 512)["text"].to_pylist():
+                for t in part["text"].to_pylist():
                     for line in (t or "").split("\n"):
                         if len(line) < least:
                             continue
@@ -166,8 +165,8 @@ def _signature_rows(edits: int, least: int):
 def _texts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                lines = list({ln for t in b.slice(i, 512)["text"].to_pylist() for ln in (t or "").split("\n") if len(ln) >= least})
+            for part in slices(b, "text"):
+                lines = list({ln for t in part["text"].to_pylist() for ln in (t or "").split("\n") if len(ln) >= least})
                 yield pa.record_batch([pa.array([key(ln)[0] for ln in lines], pa.int64()), pa.array(lines, pa.string())], names=["k1", "line"])
 
     return run

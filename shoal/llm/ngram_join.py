@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.common import among, saved, ship
+from shoal.llm.common import among, saved, ship, slices
 from shoal.llm.hashing import P, Q, lowered, mixed, word_hashes
 
 #: Size classes widen by this; parts are so many times the differences, so that partners share a good part of them.
@@ -145,8 +145,7 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text"):
                 h, at = shingle_sets(part["text"].to_pylist(), width)
                 own = [h[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
                 with np.errstate(over="ignore"):
@@ -163,8 +162,7 @@ def _band_rows(width: int, num: int, den: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots(num, den, most)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text"):
                 h, at = shingle_sets(part["text"].to_pylist(), width)
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)
                 tokens, docs, need = [], [], []
@@ -186,8 +184,7 @@ def _band_rows(width: int, num: int, den: int, most: int):
 def _check_pairs(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in slices(b, "text_a", "text_b"):
                 (ha, aa), (hb, ab) = (shingle_sets(part[c].to_pylist(), width) for c in ("text_a", "text_b"))
                 ok = [similar(ha[aa[k] : aa[k + 1]], hb[ab[k] : ab[k + 1]], num, den) for k in range(part.num_rows)]
                 keep = pa.array(ok, pa.bool_())

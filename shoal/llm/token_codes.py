@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.common import saved, ship
+from shoal.llm.common import saved, ship, slices
 from shoal.llm.hashing import Words, lowered
 
 BITS, BLOCK = 8, 512
@@ -219,8 +219,7 @@ def _segments(path: str, end_id: int):
             return row
 
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                piece = b.slice(i, 64)
+            for piece in slices(b, "text", rows=256, size=1_000_000):
                 ids, n = encoder(piece["text"].to_pylist())
                 docs += piece["doc_id"].to_pylist()
                 counts += (n + 1).tolist()
