@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from shoal.operators.folds import FLUSH_MS, FLUSH_SIZE, RATE_BYTES, RATE_MS
 
@@ -30,7 +29,7 @@ class MicroBatcher(StatefulProcessor):
         self.gap, self.most = gap, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", StructType.fromDDL("batch_id long, opened_at long, n_chunks int, size long, payload string"))
+        self.open = handle.getValueState("open", "batch_id long, opened_at long, n_chunks int, size long, payload string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch, opened, n, size, text = self.open.get() if self.open.exists() else (0, None, 0, 0, "")
@@ -70,7 +69,7 @@ class RateLimiter(StatefulProcessor):
         self.budget, self.window = budget, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", StructType.fromDDL("reset_at long, left long"))
+        self.state = handle.getValueState("state", "reset_at long, left long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         reset, left = self.state.get() if self.state.exists() else (None, 0)
