@@ -24,6 +24,7 @@ from shoal.llm.common import ship, slices
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style noscript template svg math head title iframe object canvas audio video select option textarea button".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SECTIONS = set("article main section aside header footer nav".split())
 #: A block also ends where these start again without an end tag.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
@@ -51,7 +52,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal links
         text = SPACE.sub(" ", "".join(parts)).strip(" ")
         if text:
-            tags = tuple(t for t, _, _ in stack if t not in INLINE)
+            tags = tuple(t for t, _, _ in stack if t not in INLINE and t not in ("html", "body"))  # those tell nothing
             marks = tuple(w for _, ws, _ in stack for w in ws)
             out.append(Block(text, tags, marks, min(links, len(text))))
         parts.clear()
@@ -99,6 +100,8 @@ def blocks(page: str | None) -> list[Block]:
                 marks += [w.lower() for w in WORDS.findall(value)]
             elif key == "hidden" and not value or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
+        if not marks and name in SECTIONS:
+            marks.append(f"bare:{name}")
         if name in IMPLIED:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] in IMPLIED[name]:
@@ -124,13 +127,14 @@ def features(page: list[Block]) -> list[list[str]]:
     """Per block: the tags it lies in and their parents, class and id words, and the shape of its text."""
     out = []
     seen: dict[tuple, list[str]] = {}
-    for i, b in enumerate(page):
+    for b in page:
         above = seen.get((b.tags, b.marks))
         if above is None:
             above = ["bias"] + [f"in:{t}" for t in sorted(set(b.tags))] + [f"mark:{w}" for w in sorted(set(b.marks))]
-            if b.tags:
-                above.append(f"tag:{b.tags[-1]}")
-                above += [f"path:{x}>{y}" for x, y in zip(b.tags[-3:], b.tags[-2:], strict=False)]
+            near = b.tags[-3:]
+            if near:
+                above.append(f"tag:{near[-1]}")
+                above += [f"path:{x}>{y}" for x, y in zip(near, near[1:], strict=False)]
             seen[b.tags, b.marks] = above
         f = list(above)
         n = len(b.text)
@@ -142,10 +146,6 @@ def features(page: list[Block]) -> list[list[str]]:
         if "©" in b.text or "(c)" in b.text:
             f.append("copyright")
         f.append("words:" + str(min(5, b.text.count(" ").bit_length())))
-        if i == 0:
-            f.append("first")
-        if i == len(page) - 1:
-            f.append("last")
         out.append(f)
     return out
 
@@ -301,7 +301,7 @@ def labelled_page(rng: random.Random) -> str:
     if rng.random() < 0.05:  # no telling element at all
         body = f"<div>{inner}</div>"
     talk = _wrap(rng, "section", _TALK, "".join(rng.choice((f"<div class='comment'><p>-{_phrase(rng, 3, 40)}</p></div>", f"<li><p>-{_phrase(rng, 3, 40)}</p></li>", f"<article class='comment'><p>-{_phrase(rng, 3, 40)}</p></article>")) for _ in range(rng.randint(1, 4)))) if rng.random() < 0.4 else ""
-    foot = _wrap(rng, "footer", _FOOT, rng.choice(("", "<p>")) + rng.choice(("-&copy; ", "-")) + _phrase(rng, 2, 25)) if rng.random() < 0.9 else ""
+    foot = _wrap(rng, "footer", _FOOT, rng.choice(("", "<p>")) + rng.choice(("-&copy; ", "-")) + _phrase(rng, 2, 25)) if rng.random() < 0.8 else ""
     if talk and rng.random() < 0.3:
         body, talk = body[: body.rindex("</")] + talk + body[body.rindex("</") :], ""
     if rng.random() < 0.25:  # nothing before the article

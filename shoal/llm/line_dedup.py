@@ -237,7 +237,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, do
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """``docs``, all columns, with the dropped lines taken out of ``text``."""
-    drop = line_dedup(docs, edits, least).where("n_dropped > 0").select(F.col("doc_id").alias("_drop_id"), "dropped").dropDuplicates(["_drop_id"])
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    drop = line_dedup(docs, edits, least).where("n_dropped > 0").select(F.col("doc_id").alias("_drop_id"), F.col("dropped").alias("_drop_lines")).dropDuplicates(["_drop_id"])
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_drop_lines"), i)), "\n")
     joined = docs.join(drop, F.col("doc_id") == F.col("_drop_id"), "left")
-    return joined.withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
