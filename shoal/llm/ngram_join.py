@@ -37,7 +37,7 @@ WIDEN, SPARE = 1.38, 1.35
 #: A band of more documents than this is common. It is used only between documents that have too many common ones.
 COMMON = 32
 #: Documents in a group of the matrix, and documents that one task looks up in a group.
-GROUP, ASKING = 64, 512
+GROUP, ASKING = 256, 512
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
