@@ -45,9 +45,6 @@ class Words:
             power = np.cumprod(np.full(int(size.max()), P))
             return mixed(np.add.reduceat(table[self.data[self.inside]] * power[spot], first))
 
-    def word(self, i: int) -> bytes:
-        return self.data[self.begin[i] : self.end[i]].tobytes()
-
 
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of every text, in order, and the number of the text that each is in."""

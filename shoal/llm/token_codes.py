@@ -13,9 +13,11 @@ executors and retries leave each segment once.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -125,10 +127,14 @@ class Encoder:
     lower-cased piece between white space is encoded by the library once and its ids remembered.
 
     The memory is arrays sorted by a 64-bit hash of the piece, checked by a second one, so that a batch of texts is
-    looked up at once; it is emptied when it holds ``most`` pieces. New pieces are encoded many at a time, parted by
-    a control character whose one id marks where each one's end.
+    looked up at once; it is emptied when it holds ``most`` pieces. A piece of plain Latin letters with ASCII signs
+    behind them, for which the tokenizer's other steps change and part nothing else, goes to its BPE model directly;
+    other pieces take all steps, many at a time, parted by a control character whose one id marks their ends.
     """
 
+    #: Letters below U+0180 in UTF-8, then ASCII signs without the apostrophe, which starts contractions.
+    PLAIN = re.compile(rb"([a-z]+|(?:[a-z]|[\xc3-\xc5][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
     MARK = "\x01"
     CHECK = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -139,24 +145,58 @@ class Encoder:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         own = self._ids(self.MARK)
         self.mark = int(own[0]) if len(own) == 1 else None
+        self.model = self.tokenizer.model
+        # The byte-level alphabet: printable bytes stand for themselves, the others for the next code points from 256.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.signs: dict[bytes, list[int]] = {b"": []}
         self._empty()
 
     def _empty(self) -> None:
         self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.at, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _run(self, data: bytes) -> list[int]:
+        """The model's ids of one run of letters or of signs."""
+        text = data.decode("ascii") if data.isascii() else "".join(map(self.alphabet.__getitem__, data))
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _plain(self, piece: bytes) -> list[int] | None:
+        m = self.PLAIN.fullmatch(piece)
+        if not m:
+            return None
+        letters, signs = m.groups()
+        if not letters.isascii():
+            word = letters.decode()
+            if not word.isalpha() or word.lower() != word:
+                return None
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs = {b"": []}
+            self.signs[signs] = self._run(signs)
+        own = self._run(letters)
+        return own + self.signs[signs] if signs else own
+
+    def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
+        out = [self._plain(p) for p in pieces]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(left, self._stepped([pieces[i] for i in left]), strict=True):
+            out[i] = ids
+        return out
 
-    def _encoded(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _stepped(self, pieces: list[bytes]) -> list[list[int]]:
         parted, out = f" {self.MARK} ", []
         text = [p.decode("utf-8", "replace") for p in pieces]
         lines = [text[i : i + LINE] for i in range(0, len(text), LINE)]
         for i in range(0, len(lines), 100):
             part = lines[i : i + 100]
             for words, e in zip(part, self.tokenizer.encode_batch_fast([parted.join(w) for w in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32)
-                cuts = np.flatnonzero(ids == self.mark).tolist() if self.mark is not None else []
+                ids = e.ids
+                cuts = [i for i, x in enumerate(ids) if x == self.mark]
                 if len(cuts) != len(words) - 1:  # no mark, or a piece that holds it
                     out += [self._ids(w) for w in words]
                 else:
@@ -170,10 +210,11 @@ class Encoder:
         return at, (self.keys[at] == keys) & (self.checks[at] == checks)
 
     def _learn(self, words: Words, keys: np.ndarray, checks: np.ndarray, which: np.ndarray) -> None:
-        ids = self._encoded([words.word(i) for i in which])
-        size = np.array([len(x) for x in ids], np.int64)
+        data = words.data.tobytes()
+        ids = self._encoded([data[s:e] for s, e in zip(words.begin[which].tolist(), words.end[which].tolist(), strict=True)])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *ids])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
         spot = np.searchsorted(self.keys, keys[which])
         self.keys, self.checks = np.insert(self.keys, spot, keys[which]), np.insert(self.checks, spot, checks[which])
         self.at, self.size = np.insert(self.at, spot, at), np.insert(self.size, spot, size)
@@ -193,7 +234,7 @@ class Encoder:
             at, hit = self._find(keys, checks)
             if not hit.all():  # two pieces with one hash: leave the memory out
                 ids = [self._ids(t or "") for t in texts]
-                return np.concatenate([np.empty(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+                return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
         size = self.size[at]
         first = np.cumsum(size) - size
         spots = np.repeat(self.at[at] - first, size) + np.arange(int(size.sum()))
