@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -34,19 +34,20 @@ class Words:
         self.begin, self.end = turn[::2], turn[1::2]  # the last byte is a line feed, so every word ends
         self.text = np.searchsorted(edges, self.begin, "right")
 
-    def hashes(self, table: np.ndarray = _BYTE) -> np.ndarray:
-        """Of each word: its bytes' random values times powers of an odd number by place in the word, mixed."""
+    def hashes(self, *tables: np.ndarray) -> list[np.ndarray]:
+        """Of each word, for each table: its bytes' random values times powers of an odd number by place, mixed."""
         if not len(self.begin):
-            return np.empty(0, np.uint64)
+            return [np.empty(0, np.uint64) for _ in tables]
         size = self.end - self.begin
         first = np.cumsum(size) - size
         spot = np.arange(int(size.sum())) - np.repeat(first, size)
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(int(size.max()), P))
-            return mixed(np.add.reduceat(table[self.data[self.inside]] * power[spot], first))
+            power = np.cumprod(np.full(int(size.max()), P))[spot]
+            own = self.data[self.inside]
+            return [mixed(np.add.reduceat(t[own] * power, first)) for t in tables]
 
 
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of every text, in order, and the number of the text that each is in."""
     w = Words(raw)
-    return w.hashes(), w.text
+    return w.hashes(BYTES)[0], w.text

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.llm.common import saved, ship, slices
-from shoal.llm.hashing import Words, lowered
+from shoal.llm.hashing import BYTES, Words, lowered
 
 BITS, BLOCK = 8, 512
 MAGIC = b"DACT\x01"
@@ -222,7 +222,7 @@ class Encoder:
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and how many are each text's."""
         words = Words(lowered(texts))
-        keys, checks = words.hashes(), words.hashes(self.CHECK)
+        keys, checks = words.hashes(BYTES, self.CHECK)
         at, hit = self._find(keys, checks)
         if not hit.all():
             if len(self.keys) > self.most:
