@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     got = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias("_times"))
     got = saved(got.where("doc_id is not null").groupBy("doc_id").agg(F.max("_times").alias("_times")), "mix-times")
     every = docs.where("doc_id is null")
-    taken = docs.join(got, "doc_id").where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    taken = among(docs, got.where("_times > 0"), "doc_id", "inner").where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return taken.select(docs.columns).unionByName(every)
 
 
