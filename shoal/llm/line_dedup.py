@@ -61,8 +61,8 @@ def probe_places(length: int, shorter: int, edits: int) -> list[tuple[int, int,
 _PLANS: dict[tuple[int, int, int], list] = {}
 
 
-def signatures(line: str, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple[list[int], list[int]]:
-    """The hashes that a line puts in the index, and those that it looks up there."""
+def signatures(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS) -> list[int]:
+    """The hashes that a line puts in the index, or those that it looks up there."""
     n = len(line)
     plan = _PLANS.get((n, edits, least))
     if plan is None:
@@ -71,7 +71,7 @@ def signatures(line: str, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple
         plan = _PLANS[n, edits, least] = [[(tag, 4 * at, 4 * (at + size)) for tag, at, size in x] for x in (own, look)]
     data = line.encode("utf-32-le", "surrogatepass")
     h = xxhash.xxh3_64_intdigest
-    return [h(data[s:e], tag) for tag, s, e in plan[0]], [h(data[s:e], tag) for tag, s, e in plan[1]]
+    return [h(data[s:e], tag) for tag, s, e in plan[probe]]
 
 
 def within_edits(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
@@ -134,12 +134,12 @@ def _lines(least: int):
     return run
 
 
-def _signature_rows(edits: int, least: int):
+def _signature_rows(probe: bool, name: str, edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for part in slices(b, "text"):
-                own, look, own_k, look_k = [], [], [], []
+                sigs, keys = [], []
                 for t in part["text"].to_pylist():
                     for line in (t or "").split("\n"):
                         if len(line) < least:
@@ -149,15 +149,10 @@ def _signature_rows(edits: int, least: int):
                             continue
                         if len(seen) < MEMORY:
                             seen.add(k)
-                        x, y = signatures(line, edits, least)
-                        own += x
-                        look += y
-                        own_k += [k] * len(x)
-                        look_k += [k] * len(y)
-                sig = np.array(own + look, np.uint64).view(np.int64)
-                side = np.zeros(len(sig), bool)
-                side[len(own) :] = True
-                yield pa.record_batch([pa.array(sig), pa.array(side), pa.array(np.array(own_k + look_k, np.int64))], names=["sig", "probe", "k1"])
+                        own = signatures(line, probe, edits, least)
+                        sigs += own
+                        keys += [k] * len(own)
+                yield pa.record_batch([pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(keys, np.int64))], names=["sig", name])
 
     return run
 
@@ -189,8 +184,7 @@ def _verified(edits: int):
 
 def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(a, b): keys of different lines within ``edits`` of each other."""
-    rows = docs.select("text").mapInArrow(_signature_rows(edits, least), "sig long, probe boolean, k1 long")
-    side = lambda p, name: rows.where(F.col("probe") == F.lit(p)).select("sig", F.col("k1").alias(name)).repartition("sig").dropDuplicates()
+    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least), f"sig long, {name} long").repartition("sig").dropDuplicates()
     pairs = side(False, "x").join(side(True, "y"), "sig").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     pairs = saved(pairs.distinct(), "line-pairs")
     wanted = saved(ends(pairs).withColumnRenamed("doc_id", "k1"), "line-candidates")

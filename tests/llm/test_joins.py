@@ -96,7 +96,7 @@ def test_banded_distance_and_signatures(edits):
         a = "".join(rng.choice("abcdef") for _ in range(rng.randrange(14, 40)))
         short, long = sorted((a, changed(rng, a, edits)), key=len)
         if len(short) >= 12:
-            assert set(line_dedup.signatures(short, edits, 12)[0]) & set(line_dedup.signatures(long, edits, 12)[1])
+            assert set(line_dedup.signatures(short, False, edits, 12)) & set(line_dedup.signatures(long, True, edits, 12))
 
 
 def test_line_dedup(spark):
