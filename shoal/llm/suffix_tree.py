@@ -1,13 +1,14 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are the ``HEAD_SYMBOLS`` most frequent words, the end, and classes of the other words by their last two
-bytes. The root's distribution is the smoothed unigram one. Contexts grow level by level: a context of d symbols is
-a candidate if it makes up at least ``LEAST`` of all training tokens, which bounds the tree whatever the corpus, and
-stays if its next-symbol counts diverge from its parent's by ``DIVERGE`` nats in sum. Distributions are smoothed with
-the parent's by Witten and Bell's rule. For scoring, the tree becomes an automaton whose states are longest suffixes;
-many texts step through it side by side. A word of a class then counts as its class times its unigram part of it.
-
-Words, symbols and contexts are counted by Spark aggregations over all training texts.
+Symbols are all words, by their hashes, and the end. The root's distribution is the smoothed unigram one. Contexts of
+up to ``DEPTH`` words are grown level by level: a context is a candidate if it occurs at least ``EVIDENCE`` times in
+the training texts, however many these are, and stays if its next-word counts diverge from its parent's by ``DIVERGE``
+nats in sum, or if a longer context that ends in it stays. Distributions are smoothed with the parent's by Witten and
+Bell's rule, so a text's score is its base score and, for each context met that stays, the log of the ratio of its
+probability to its parent's. These ratios are tables by (context, word), joined with the texts' distinct ones.
+
+Words and contexts are counted by Spark aggregations over all training texts; nothing of the tree is collected.
+``Automaton`` is the same tree of a small alphabet in memory.
 """
 
 from __future__ import annotations
@@ -20,114 +21,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.common import id_crc, saved, ship, slices
-from shoal.llm.hashing import lowered, word_hashes
+from shoal.llm.hashing import P, Q, lowered, mixed, word_hashes
 
-HEAD_SYMBOLS, CLASSES, DEPTH, LEAST, DIVERGE = 1023, 127, 3, 1e-4, 20.0
+DEPTH, EVIDENCE, DIVERGE = 3, 2, 20.0
 #: So many of the most frequent words go to the tasks with their counts; the others' counts are joined.
 HEAD = 1 << 16
 END = 0
-SHIFT = 12  # bits a symbol in a context's code; HEAD_SYMBOLS + CLASSES + 2 symbols fit
+SHIFT = 12  # bits a symbol in a code of the automaton
 END_KEY = 0x0E0D
 PIECE = 256
+#: Bits and probes of the filters that keep rows of contexts that can't stay from the shuffles. They only spare rows,
+#: as the joins decide: a filter that a large corpus fills lets more through, and the results are the same.
+FILTER_BITS, FILTER_PROBES = 1 << 27, 2
 
 
-def last_two(raw: list[bytes]) -> np.ndarray:
-    """The last two bytes of every word of every text as an integer; the last one alone for words of one byte."""
-    data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
-    space = np.isin(data, (32, 9, 10, 11, 12, 13))
-    at = np.flatnonzero(space[1:] & ~space[:-1])
-    before = data[at - 1].astype(np.int64)
-    before[space[at - 1]] = 0
-    return (before << 8) | data[at]
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-
-    def fold() -> None:
-        keys, ends, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, first, inv = np.unique(keys, return_index=True, return_inverse=True)
-        held[:] = [(keys, ends[first], np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64))]
-
-    for b in batches:
-        for part in slices(b, "text"):
-            raw = lowered(part["text"].to_pylist())
-            keys, first, n = np.unique(word_hashes(raw)[0].view(np.int64), return_index=True, return_counts=True)
-            held += [(keys, last_two(raw)[first], n), (np.array([END_KEY]), np.array([-1]), np.array([len(raw)]))]
-            if sum(len(x[0]) for x in held) > 3_000_000:
-                fold()
-    if held:
-        fold()
-        keys, ends, n = held[0]
-        for i in range(0, len(keys), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.record_batch([pa.array(keys[part]), pa.array(ends[part]), pa.array(n[part])], names=["key", "ends", "n"])
-
-
-class Symbols:
-    """Maps words to symbols: 0 the end, then head words, then classes by last bytes, the last one for all others."""
-
-    def __init__(self, head: np.ndarray, classes: np.ndarray):
-        self.order = np.argsort(head)
-        self.keys = head[self.order]
-        self.by_ends = np.full(1 << 16, 1 + len(head) + len(classes), np.int16)
-        self.by_ends[classes] = 1 + len(head) + np.arange(len(classes))
-        self.n, self.n_head = len(head) + len(classes) + 2, len(head)
-
-    def of(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = self.by_ends[ends]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-            hit = self.keys[at] == words
-            out[hit] = 1 + self.order[at[hit]]
-        return out
+def _folding(names: list[str], rows):
+    """Counts of distinct first columns: ``rows`` of a batch gives arrays, the last one the counts to be added."""
 
-
-def codes(sym: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each place, the ``length`` symbols before it as one integer; before a text stand ends."""
-    place = np.arange(len(sym)) - np.repeat(starts[:-1], np.diff(starts))
-    out = np.zeros(len(sym), np.int64)
-    for back in range(1, length + 1):
-        moved = np.zeros(len(sym), np.int64)
-        moved[back:] = sym[: len(sym) - back]
-        out |= np.where(place >= back, moved, END) << (SHIFT * (back - 1))
-    return out
-
-
-def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols of a batch of stored texts, and where each text's begin (one more at the end)."""
-    parts = [np.frombuffer(x, "<i2") for x in batch["syms"].to_pylist()]
-    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-
-
-def _count_contexts(length: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
         held: list[tuple] = []
 
         def fold() -> None:
-            keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, inv = np.unique(keys, return_inverse=True)
-            held[:] = [(keys, np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64))]
+            *cols, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, first, inv = np.unique(cols[0], return_index=True, return_inverse=True)
+            held[:] = [(keys, *(c[first] for c in cols[1:]), np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64))]
 
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
-                sym, starts = unpacked(part)
-                ctx = codes(sym, starts, length)
-                if wanted is not None:
-                    hit = wanted[np.minimum(np.searchsorted(wanted, ctx), len(wanted) - 1)] == ctx
-                    ctx, sym = ctx[hit], sym[hit]
-                held.append(np.unique((ctx << SHIFT) | sym, return_counts=True))
+            for part in slices(b, "text"):
+                held.append(rows(part))
                 if sum(len(x[0]) for x in held) > 3_000_000:
                     fold()
+                    if len(held[0][0]) > 2_000_000:
+                        yield from given(held.pop())
         if held:
             fold()
-            yield pa.record_batch([pa.array(held[0][0]), pa.array(held[0][1])], names=["key", "n"])
+            yield from given(held.pop())
+
+    def given(cols: tuple) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(cols[0]), 1 << 16):
+            yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], names=names)
 
     return run
 
 
+def _word_rows(part: pa.RecordBatch) -> tuple:
+    raw = lowered(part["text"].to_pylist())
+    keys, n = np.unique(word_hashes(raw)[0].view(np.int64), return_counts=True)
+    return np.concatenate((keys, [END_KEY])), np.concatenate((n, [len(raw)]))
+
+
+def codes(sym: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each place, the ``length`` symbols before it as one integer; before a text stand ends."""
+    place = np.arange(len(sym)) - np.repeat(starts[:-1], np.diff(starts))
+    out = np.zeros(len(sym), np.int64)
+    for back in range(1, length + 1):
+        moved = np.zeros(len(sym), np.int64)
+        moved[back:] = sym[: len(sym) - back]
+        out |= np.where(place >= back, moved, END) << (SHIFT * (back - 1))
+    return out
+
+
 class Level:
     """The candidate contexts of one length, sorted, with their next-symbol counts as rows of a matrix."""
 
@@ -138,29 +91,6 @@ class Level:
         return np.searchsorted(self.contexts, ctx)
 
 
-def grown(stored: DataFrame, n_symbols: int, total: int, depth: int = DEPTH, least: float = LEAST) -> list[Level]:
-    """Levels 1 to ``depth``. What reaches the driver of a level is at most 1/least contexts by the symbols."""
-    levels: list[Level] = []
-    wanted = None
-    sc = stored.sparkSession.sparkContext
-    for length in range(1, depth + 1):
-        if wanted is not None and not len(wanted):
-            break
-        got = stored.select("syms").mapInArrow(_count_contexts(length, sc.broadcast(wanted)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        t = got.toArrow()
-        key, n = t["key"].to_numpy(), t["n"].to_numpy()
-        ctx, nxt = key >> SHIFT, key & ((1 << SHIFT) - 1)
-        contexts, inv = np.unique(ctx, return_inverse=True)
-        enough = np.bincount(inv, weights=n, minlength=len(contexts)) >= least * total
-        counts = np.zeros((int(enough.sum()), n_symbols), np.float32)
-        row = np.cumsum(enough) - 1
-        ok = enough[inv]
-        counts[row[inv[ok]], nxt[ok]] = n[ok]
-        levels.append(Level(contexts[enough], counts))
-        wanted = np.sort(key[n >= least * total])  # a frequent context with its frequent next symbol is a longer one
-    return levels
-
-
 class Automaton:
     """``next`` and ``log10`` by state and symbol; state 0 is the empty context."""
 
@@ -227,117 +157,223 @@ class Automaton:
         return np.bincount(text, weights=sums, minlength=len(size))
 
 
+def events(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For every word and end: its text, its place, and for lengths from 0 the keys of its context and of both.
+
+    A context's key is made from its last word on, ends stand before a text; without a context the key is the word's.
+    """
+    words, text = word_hashes(raw)
+    n = np.bincount(text, minlength=len(raw))
+    x = np.insert(words, np.cumsum(n), np.uint64(END_KEY))
+    text = np.repeat(np.arange(len(raw)), n + 1)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    contexts, keys = [np.zeros(len(x), np.uint64)], [x]
+    with np.errstate(over="ignore"):
+        for back in range(1, depth + 1):
+            before = np.full(len(x), END_KEY, np.uint64)
+            before[back:] = np.where(place[back:] >= back, x[: max(0, len(x) - back)], np.uint64(END_KEY))
+            contexts.append(mixed(contexts[-1] * P + before + np.uint64(back)))
+            keys.append(mixed(contexts[-1] * Q + x))
+    return text, place, [c.view(np.int64) for c in contexts], [k.view(np.int64) for k in keys]
+
+
+def _spots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    u = keys.view(np.uint64)
+    return [(u >> np.uint64(30 * i)) % np.uint64(bits) for i in range(FILTER_PROBES)]
+
+
+def maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each key; it never denies one that it holds."""
+    out = np.ones(len(keys), bool)
+    for at in _spots(keys, len(bitmap) * 64):
+        out &= (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A filter of the only column of ``keys``. What reaches the driver is bounded by its size."""
+    bits = bits or FILTER_BITS
+    k = F.col(keys.columns[0])
+    spot = F.explode(F.array(*[F.shiftrightunsigned(k, 30 * i).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_PROBES)]))
+    one = keys.select(spot.alias("s")).select(F.shiftright("s", 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    t = one.groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[t["at"].to_numpy()] = t["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _event_rows(length: int, shared):
+    """e, c, up, n: the keys of (context, word), of the context and of (shorter context, word), where the context,
+    as the word at its end after the others, may occur often enough."""
+
+    def rows(part: pa.RecordBatch) -> tuple:
+        _, place, contexts, keys = events(lowered(part["text"].to_pylist()), length)
+        ok = np.ones(len(place), bool)
+        if shared.value is not None:
+            ok[1:] = maybe(shared.value, keys[length - 1][:-1]) | (place[1:] < length)
+        e, first, n = np.unique(keys[length][ok], return_index=True, return_counts=True)
+        return e, contexts[length][ok][first], keys[length - 1][ok][first], n
+
+    return _folding(["e", "c", "up", "n"], rows)
+
+
+def grown(train: DataFrame, words: DataFrame, norm: float, depth: int = DEPTH, evidence: int = EVIDENCE, diverge: float = DIVERGE) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level: (e, c, gain, seen) of what follows the contexts that stay, and (c, back) of these.
+
+    gain: log10 of the ratio of the probability to that by the shorter context. back: that ratio, if the word never
+    follows. seen: what gain is above back.
+    """
+    sc = train.sparkSession.sparkContext
+    upper = words.select(F.col("key").alias("up"), F.lit(0).cast("long").alias("shorter"), ((F.col("n") + F.lit(0.5)) / F.lit(float(norm))).alias("below"))
+    upper = upper.withColumn("rate_below", F.col("below"))
+    levels, wanted = [], None
+    for length in range(1, depth + 1):
+        counts = train.select("text").mapInArrow(_event_rows(length, sc.broadcast(wanted)), "e long, c long, up long, n long")
+        counts = saved(counts.groupBy("e").agg(F.first("c").alias("c"), F.first("up").alias("up"), F.sum("n").alias("n")), "lm-events")
+        contexts = counts.groupBy("c").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")).where(F.col("size") >= evidence)
+        level = counts.join(contexts, "c").join(upper, "up").withColumn("rate", F.col("n") / F.col("size"))
+        level = level.withColumn("p", (F.col("n") + F.col("kinds") * F.col("below")) / (F.col("size") + F.col("kinds")))
+        level = saved(level.select("e", "c", "shorter", "n", "size", "kinds", "below", "rate", "rate_below", "p"), "lm-level")
+        levels.append(level)
+        upper = level.select(F.col("e").alias("up"), F.col("c").alias("shorter"), F.col("p").alias("below"), F.col("rate").alias("rate_below"))
+        wanted = bitmap(counts.where(F.col("n") >= evidence).select("e"))
+    out, needed = [], None
+    for level in levels[::-1]:
+        nats = F.sum(F.col("n") * F.log(F.col("rate") / F.col("rate_below")))
+        each = level.groupBy("c").agg(nats.alias("nats"), F.first("shorter").alias("shorter"), F.first("size").alias("size"), F.first("kinds").alias("kinds"))
+        if needed is None:
+            stay = each.where(F.col("nats") >= diverge)
+        else:
+            stay = each.join(needed, "c", "left").where((F.col("nats") >= diverge) | F.col("needed"))
+        stay = saved(stay.select("c", "shorter", F.log10(F.col("kinds") / (F.col("size") + F.col("kinds"))).alias("back")), "lm-contexts")
+        needed = stay.select(F.col("shorter").alias("c")).distinct().withColumn("needed", F.lit(True))
+        gain = F.log10(F.col("p") / F.col("below"))
+        out.append((level.join(stay.select("c", "back"), "c").select("e", "c", gain.alias("gain"), (gain - F.col("back")).alias("seen")), stay.select("c", "back")))
+    return out[::-1]
+
+
+def _asked(depth: int, shared):
+    """th, held_out, key, m: a text's keys of (context, word), and if it is held out, of contexts, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "text"):
+                text, _, contexts, keys = events(lowered(part["text"].to_pylist()), depth)
+                th, held = part["th"].to_numpy(), part["held_out"].to_numpy(zero_copy_only=False)
+                of, key = [], []
+                for c, k, stays in zip(contexts[1:], keys[1:], shared.value, strict=True):
+                    ok = maybe(stays, c)
+                    of.append(text[ok])
+                    key.append(k[ok])
+                    ok &= held[text]
+                    of.append(text[ok])
+                    key.append(c[ok])
+                of, key = np.concatenate(of), np.concatenate(key)
+                by = np.lexsort((key, of))
+                of, key = of[by], key[by]
+                new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])))) if len(of) else np.empty(0, np.int64)
+                m = np.diff(np.append(new, len(of)))
+                yield pa.record_batch([pa.array(th[of[new]]), pa.array(held[of[new]]), pa.array(key[new]), pa.array(m.astype(np.int32))], names=["th", "held_out", "key", "m"])
+
+    return run
+
+
+def gains(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """th, held_out, gain: what the tree adds to the log10 of a text's probability by words alone, by the text's hash.
+
+    A word that is learned from always follows its contexts; for held-out texts, contexts count alike and what follows
+    is added where it is known.
+    """
+    sc = rows.sparkSession.sparkContext
+    table = None
+    for level, stay in levels:
+        own = level.select(F.col("e").alias("key"), "gain", "seen").unionByName(stay.select(F.col("c").alias("key"), F.col("back").alias("gain"), F.col("back").alias("seen")))
+        table = own if table is None else table.unionByName(own)
+    table = saved(table, "lm-table")
+    shared = sc.broadcast([bitmap(stay.select("c")) for _, stay in levels])
+    asked = rows.select("th", "held_out", "text").mapInArrow(_asked(len(levels), shared), "th long, held_out boolean, key long, m int")
+    got = asked.join(table, "key").groupBy("th", "held_out").agg(F.sum(F.col("m") * F.when(F.col("held_out"), F.col("seen")).otherwise(F.col("gain"))).alias("gain"))
+    copies = rows.groupBy("th", "held_out").agg(F.count(F.lit(1)).alias("copies"))  # each copy asked
+    return saved(got.join(copies, ["th", "held_out"]).select("th", "held_out", (F.col("gain") / F.col("copies")).alias("gain")), "lm-gains")
+
+
 def _stored(shared):
-    """Symbols, the head's part of the base score, and the words whose counts have to be joined, for each text."""
+    """The head's part of the base score, and the words whose counts have to be joined, for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        symbols, class_log, heads, counts, norm = shared.value
+        heads, counts, norm = shared.value
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for part in slices(b, "text"):
-                raw = lowered(part["text"].to_pylist())
-                words, text = word_hashes(raw)
+                words, text = word_hashes(lowered(part["text"].to_pylist()))
                 words = words.view(np.int64)
-                m = len(raw)
-                n = np.bincount(text, minlength=m)
-                sym = symbols.of(words, last_two(raw))
-                cuts = np.cumsum(n)
-                withend = np.insert(sym, cuts, END).astype("<i2")
-                body, bounds = withend.tobytes(), np.concatenate(([0], cuts + np.arange(1, m + 1))) * 2
+                m = part.num_rows
                 at = np.minimum(np.searchsorted(heads, words), len(heads) - 1)
                 head = heads[at] == words
-                log = np.log10((counts[at[head]] + 0.5) / norm)
-                total = lambda of, w: np.bincount(of, weights=w, minlength=m).astype(np.float64)  # noqa: E731  of nothing, bincount is whole
-                base = total(text[head], log)
-                # what a class's words get besides their class: their own unigram part of it
-                classed = sym > symbols.n_head
-                within = total(text[classed], -class_log[sym[classed] - symbols.n_head - 1])
-                own = classed[head]
-                within += total(text[head][own], log[own])
-                tail = words[~head]
+                base = np.bincount(text[head], weights=np.log10((counts[at[head]] + 0.5) / norm), minlength=m).astype(np.float64)
                 rest = np.concatenate(([0], np.cumsum(np.bincount(text[~head], minlength=m)))).astype(np.int32)
                 yield pa.record_batch(
                     [
-                        pa.array(np.arange(row, row + m)), part["doc_id"], part["held_out"], pa.array(n + 1), pa.array(np.bincount(text[head], minlength=m)), pa.array(base), pa.array(within),
-                        pa.array([body[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(rest), pa.array(tail)),
+                        pa.array(np.arange(row, row + m)), part["doc_id"], part["held_out"], part["th"], pa.array(np.bincount(text, minlength=m) + 1), pa.array(np.bincount(text[head], minlength=m)), pa.array(base),
+                        pa.ListArray.from_arrays(pa.array(rest), pa.array(words[~head])),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "within", "syms", "tail"],
+                    names=["row", "doc_id", "held_out", "th", "n_tokens", "known", "base", "tail"],
                 )
                 row += m
 
     return run
 
 
-def _scored(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
-                yield pa.record_batch([part["row"], pa.array(shared.value.score(*unpacked(part)))], names=["row", "tree"])
-
-    return run
-
-
 def lm_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     ``held_out`` is a boolean Column over ``docs``; rows where it is not true are learned from. Null text counts as
     empty and scores its end alone. Repeated rows count and are scored each. With nothing to learn from, score and
-    base are the same. An empty table gives no rows. Other columns, whatever their names, are not read. Words are
-    told apart by 64-bit hashes.
+    base are the same. An empty table gives no rows. Other columns, whatever their names, are not read. Words,
+    contexts and texts are told apart by 64-bit hashes.
     """
     spark = ship(docs.sparkSession)
     sc = spark.sparkContext
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    words = rows.where("not held_out").select("text").mapInArrow(_count_words, "key long, ends long, n long")
-    words = saved(words.groupBy("key").agg(F.min("ends").alias("ends"), F.sum("n").alias("n")), "lm-words")
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    train = rows.where("not held_out")
+    words = train.select("text").mapInArrow(_folding(["key", "n"], _word_rows), "key long, n long")
+    words = saved(words.groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = n + 0.5 * (v + 1)
-    # The end is a symbol of its own and its count is known to all; head and tail are words only.
+    # The end's count is known to all; head and tail are words only.
     ends = words.where(F.col("key") == END_KEY).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     only = words.where(F.col("key") != END_KEY)
-    top = only.orderBy(F.desc("n"), "key").limit(HEAD).select("key", "n").toArrow()
+    top = only.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
     keys, counts = top["key"].to_numpy(), top["n"].to_numpy()
-    head = keys[:HEAD_SYMBOLS]
-    mass = only.groupBy("ends").agg(F.sum(F.col("n") + F.lit(0.5)).alias("mass")).toArrow()  # at most 65536 rows
-    class_mass = np.zeros(1 << 16)
-    class_mass[mass["ends"].to_numpy()] = mass["mass"].to_numpy()
-    lead = only.orderBy(F.desc("n"), "key").limit(HEAD_SYMBOLS).select("ends", "n").toArrow()
-    np.subtract.at(class_mass, lead["ends"].to_numpy(), lead["n"].to_numpy() + 0.5)
-    chosen = np.argsort(-class_mass, kind="stable")[:CLASSES]
-    chosen = chosen[class_mass[chosen] > 0.25]
-    other = class_mass.sum() - class_mass[chosen].sum() + 0.5  # unknown words' half count is in the last class
-    symbols = Symbols(head, chosen)
-    root = np.concatenate(([ends + 0.5 if ends else 0.5], counts[:HEAD_SYMBOLS] + 0.5, class_mass[chosen], [max(other, 0.5)])) / norm
-    class_log = np.log10(root[1 + len(head) :])
     by = np.argsort(keys)
     heads, head_counts = (keys[by], counts[by]) if len(keys) else (np.array([END_KEY]), np.array([0]))
     kind = rows.schema["doc_id"].dataType.simpleString()
     first = rows.mapInArrow(
-        _stored(sc.broadcast((symbols, class_log, heads, head_counts, norm))),
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, within double, syms binary, tail array<long>",
+        _stored(sc.broadcast((heads, head_counts, norm))), f"row long, doc_id {kind}, held_out boolean, th long, n_tokens long, known long, base double, tail array<long>"
     )
     first = saved(first, "lm-texts")
-    model = Automaton(root, grown(first.where("not held_out"), symbols.n, n, depth) if n else [])
-    tree = first.select("row", "syms").mapInArrow(_scored(sc.broadcast(model)), "row long, tree double")
     tail = first.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("m"))
     known = tail.join(only, "key", "left").groupBy("row").agg(
         F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(norm)))).alias("tail_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("tail_known"),
     )
-    out = first.drop("tail", "syms").join(tree, "row").join(known, "row", "left")
-    rest = F.coalesce("tail_base", F.lit(0.0))
+    out = first.drop("tail").join(known, "row", "left")
+    if n:
+        out = out.join(gains(rows, grown(train, words, norm, depth)), ["th", "held_out"], "left")
+    else:
+        out = out.withColumn("gain", F.lit(0.0))
+    base = F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + F.lit(float(np.log10((ends + 0.5) / norm)))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + rest + F.lit(float(np.log10((ends + 0.5) / norm)))).alias("base_score"),
-        (F.col("tree") + F.col("within") + rest).alias("score"),
+        base.alias("base_score"),
+        (base + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

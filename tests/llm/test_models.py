@@ -103,6 +103,50 @@ def test_held_out_scores_beat_the_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_scores_of_real_words_equal_a_plain_tree(spark, monkeypatch):
+    """Also of contexts that are rare words, twice among many; filters that let all through change nothing."""
+    rng = np.random.default_rng(5)
+    rare = ["zig zag zog zug end", "so zig zag zog zug end here", "but zig zag zog zag", "zig zag zog zug end"]
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, rng.integers(0, 60)) % 40) for _ in range(150)] + rare * 2
+    texts += [f"{a} same turn {b}" for a, b in (("left", "lost"), ("right", "won")) for _ in range(40)]  # three words tell
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
+    seqs = {d: [words(t) + ["\n"] for i, t in rows if (out_of_fold(i, 5)) == d] for d in (False, True)}
+    uni = Counter(x for s in seqs[False] for x in s)
+    norm = sum(uni.values()) + 0.5 * (len(uni) + 1)
+    root = lambda x: (uni[x] + 0.5) / norm
+    nexts = {}
+    for s in seqs[False]:
+        s = ["\n"] * 3 + s
+        for t in range(3, len(s)):
+            for d in (1, 2, 3):
+                nexts.setdefault(tuple(s[t - d : t]), Counter())[s[t]] += 1
+    nexts = {c: v for c, v in nexts.items() if v.total() >= suffix_tree.EVIDENCE}
+
+    def rate(c, x):
+        return nexts[c][x] / nexts[c].total() if c else root(x)
+
+    stay = {c for c, v in nexts.items() if sum(n * math.log(rate(c, x) / rate(c[1:], x)) for x, n in v.items()) >= suffix_tree.DIVERGE}
+    stay |= {c[i:] for c in stay for i in range(1, len(c))}
+    assert any(c[-1].startswith("z") for c in stay) and {len(c) for c in stay} == {1, 2, 3}
+
+    def score(s):
+        out, s = 0.0, ["\n"] * 3 + s
+        for t in range(3, len(s)):
+            p = root(s[t])
+            for d in (1, 2, 3):
+                c = tuple(s[t - d : t])
+                if c in stay:
+                    p = (nexts[c][s[t]] + len(nexts[c]) * p) / (nexts[c].total() + len(nexts[c]))
+            out += math.log10(p)
+        return out
+
+    want = sorted((i, round(score(words(t) + ["\n"]), 6)) for i, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bits in (1 << 16, 64):
+        monkeypatch.setattr(suffix_tree, "FILTER_BITS", bits)
+        assert sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree.fold_scores(docs).collect()) == want
+
+
 def test_automaton_equals_the_tree():
     rng, k = np.random.default_rng(0), 6
     texts = [[*rng.integers(1, k, rng.integers(0, 700)).tolist(), 0] for _ in range(20)]
