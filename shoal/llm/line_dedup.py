@@ -5,6 +5,10 @@ line. Each distinct line gives its own segments to an index and, for every short
 the few substrings that such a partner's segments can lie in; both are hashes with length and segment number, and meet
 in one hash join. Candidates are verified by a bit-parallel edit distance over the band of 2 * edits + 1 diagonals,
 for many pairs at once. Verified links' components are the classes; the first line of a class stays.
+
+With ``short``, lines under ``least`` characters are compared too, with as many edits to a character as a line of
+``least`` has: two edits in two words of three letters would make one class of all of them. Equal lines of any length
+but none are one class.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from shoal.llm.common import among, saved, ship, slices
 from shoal.llm.ngram_join import components, ends
 
-#: Shorter lines are never dropped: they repeat by chance, and their segments would be too short to tell.
+#: The edits of a pair whose shorter line has LEAST_CHARS or more; below it there are fewer, or the lines stay.
 EDITS, LEAST_CHARS = 2, 30
 #: Distinct lines that a task remembers in order not to repeat their rows; beyond it, repeats are only dropped later.
 MEMORY = 500_000
@@ -58,17 +62,27 @@ def probe_places(length: int, shorter: int, edits: int) -> list[tuple[int, int,
     return out
 
 
-_PLANS: dict[tuple[int, int, int], list] = {}
+_PLANS: dict[tuple[int, int, int, bool], list] = {}
+
+
+def allowed(length: int, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> int:
+    """The most edits between a line of so many characters and one that is not shorter."""
+    return edits if length >= least else edits * length // least if short else 0
 
 
-def signatures(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS) -> list[int]:
+def signatures(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> list[int]:
     """The hashes that a line puts in the index, or those that it looks up there."""
     n = len(line)
-    plan = _PLANS.get((n, edits, least))
+    plan = _PLANS.get((n, edits, least, short))
     if plan is None:
-        own = [(i << 24 | n, at, size) for i, (at, size) in enumerate(segments(n, edits))]
-        look = [(i << 24 | m, at, size) for m in range(max(least, n - edits), n + 1) for i, at, size in probe_places(n, m, edits)]
-        plan = _PLANS[n, edits, least] = [[(tag, 4 * at, 4 * (at + size)) for tag, at, size in x] for x in (own, look)]
+        most = allowed(n, edits, least, short)
+        own = [(i << 24 | n, at, size) for i, (at, size) in enumerate(segments(n, most))] if most else []
+        look = []
+        for m in range(max(1, n - edits), n + 1):
+            most = allowed(m, edits, least, short)
+            if most and n - m <= most:
+                look += [(i << 24 | m, at, size) for i, at, size in probe_places(n, m, most)]
+        plan = _PLANS[n, edits, least, short] = [[(tag, 4 * at, 4 * (at + size)) for tag, at, size in x] for x in (own, look)]
     data = line.encode("utf-32-le", "surrogatepass")
     h = xxhash.xxh3_64_intdigest
     return [h(data[s:e], tag) for tag, s, e in plan[probe]]
@@ -134,7 +148,7 @@ def _lines(least: int):
     return run
 
 
-def _signature_rows(probe: bool, name: str, edits: int, least: int):
+def _signature_rows(probe: bool, name: str, edits: int, least: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
@@ -142,14 +156,14 @@ def _signature_rows(probe: bool, name: str, edits: int, least: int):
                 sigs, keys = [], []
                 for t in part["text"].to_pylist():
                     for line in (t or "").split("\n"):
-                        if len(line) < least:
+                        if not allowed(len(line), edits, least, short):
                             continue
                         k = key(line)[0]
                         if k in seen:
                             continue
                         if len(seen) < MEMORY:
                             seen.add(k)
-                        own = signatures(line, probe, edits, least)
+                        own = signatures(line, probe, edits, least, short)
                         sigs += own
                         keys += [k] * len(own)
                 yield pa.record_batch([pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(keys, np.int64))], names=["sig", name])
@@ -167,42 +181,45 @@ def _texts(least: int):
     return run
 
 
-def _verified(edits: int):
+def _verified(edits: int, least: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # Of like length together, so that the columns are walked for few pairs in vain.
             a, c = b["line_a"].to_pylist(), b["line_b"].to_pylist()
             order = sorted(range(b.num_rows), key=lambda i: len(a[i]))
-            for i in range(0, len(order), 1000):
-                part = order[i : i + 1000]
-                ok = within_edits([(a[j], c[j]) for j in part], edits)
-                keep = pa.array([j for j, good in zip(part, ok, strict=True) if good], pa.int64())
-                yield pa.record_batch([b["a"].take(keep), b["b"].take(keep)], names=["a", "b"])
+            most = {i: allowed(min(len(a[i]), len(c[i])), edits, least, short) for i in order}
+            for own in set(most.values()):
+                alike = [i for i in order if most[i] == own]
+                for i in range(0, len(alike), 1000):
+                    part = alike[i : i + 1000]
+                    ok = within_edits([(a[j], c[j]) for j in part], own)
+                    keep = pa.array([j for j, good in zip(part, ok, strict=True) if good], pa.int64())
+                    yield pa.record_batch([b["a"].take(keep), b["b"].take(keep)], names=["a", "b"])
 
     return run
 
 
-def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(a, b): keys of different lines within ``edits`` of each other."""
-    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least), f"sig long, {name} long").repartition("sig").dropDuplicates()
+def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
+    """(a, b): keys of different lines within the edits that the shorter one is allowed."""
+    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least, short), f"sig long, {name} long").repartition("sig").dropDuplicates()
     pairs = side(False, "x").join(side(True, "y"), "sig").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     pairs = saved(pairs.distinct(), "line-pairs")
     wanted = saved(ends(pairs).withColumnRenamed("doc_id", "k1"), "line-candidates")
-    texts = among(docs.select("text").mapInArrow(_texts(least), "k1 long, line string"), wanted, "k1").dropDuplicates(["k1"])
+    texts = among(docs.select("text").mapInArrow(_texts(1 if short else least), "k1 long, line string"), wanted, "k1").dropDuplicates(["k1"])
     texts = saved(texts, "line-texts")
     one, two = texts.select(F.col("k1").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("k1").alias("b"), F.col("line").alias("line_b"))
-    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verified(edits), "a long, b long"), "line-links")
+    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verified(edits, least, short), "a long, b long"), "line-links")
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """doc_id, line_no, near for the lines to drop: all of a class but its first by document and line. ``near``: the
     line's own text isn't that of an earlier line."""
     ship(docs.sparkSession)
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = saved(docs.mapInArrow(_lines(least), "doc_id long, line_no int, k1 long, k2 long"), "lines")
+    lines = saved(docs.mapInArrow(_lines(1 if short else least), "doc_id long, line_no int, k1 long, k2 long"), "lines")
     place = F.struct("doc_id", "line_no")
     equal = saved(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "equal-lines")
-    group = components(near_links(docs, edits, least), "line-classes")
+    group = components(near_links(docs, edits, least, short), "line-classes")
     roots = group.select(F.col("root").alias("node"), "root").distinct()
     group = group.unionByName(roots).withColumnRenamed("node", "k1")
     equal = equal.join(group, "k1", "left")
@@ -213,25 +230,25 @@ def line_decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
     return found.select("doc_id", "line_no", (place == F.col("first")).alias("near"))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near, dropped (line numbers from 0) for every row.
 
     Lines are cut at line feeds. Null text has no lines, an empty text one. Lines of fewer than ``least`` characters
-    stay. Rows with a null id are compared with nothing; rows that repeat an id share what is dropped under it. An
+    stay, unless ``short``: then only lines without characters do. Rows with a null id are compared with nothing; rows that repeat an id share what is dropped under it. An
     empty table gives no rows. Other columns, whatever their names, are not read. Integer ids only.
     """
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).alias("n_lines"))
     every = every.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    drop = line_decisions(docs, edits, least, doc_id, text).distinct().groupBy("doc_id")
+    drop = line_decisions(docs, edits, least, doc_id, text, short).distinct().groupBy("doc_id")
     drop = drop.agg(F.array_sort(F.collect_list("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))  # a document's own lines
     out = every.join(drop, "doc_id", "left")
     none = F.array().cast("array<int>")
     return out.select("doc_id", "n_lines", F.size(F.coalesce("dropped", none)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """``docs``, all columns, with the dropped lines taken out of ``text``."""
-    drop = line_dedup(docs, edits, least).where("n_dropped > 0").select(F.col("doc_id").alias("_drop_id"), F.col("dropped").alias("_drop_lines")).dropDuplicates(["_drop_id"])
+    drop = line_dedup(docs, edits, least, short=short).where("n_dropped > 0").select(F.col("doc_id").alias("_drop_id"), F.col("dropped").alias("_drop_lines")).dropDuplicates(["_drop_id"])
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_drop_lines"), i)), "\n")
     joined = docs.join(drop, F.col("doc_id") == F.col("_drop_id"), "left")
     return joined.withColumn("text", F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_line_dedup")
 def op1(spark, sf_dir):
-    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"), short=True)
 
 
 @query("op2_html_extraction")

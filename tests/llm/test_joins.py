@@ -118,3 +118,25 @@ def test_line_dedup(spark):
     for d, t in rows:
         assert out[d] == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d][1]))
     assert line_dedup.line_dedup(empty(spark)).count() == 0
+
+
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The query compares lines of all lengths, with an edit for each 15 characters up to two."""
+    from shoal.llm import registry
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in [1, 2, 3, 5, 8, 13, 14, 15, 16, 17, 20, 25, 28, 29, 30, 31, 45] * 2] + ["Les."]
+    rows = [(i, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(1, 7)))) for i in range(80)]
+    rows += [(900, None), (901, ""), (902, "\n\nLes.\n"), (903, "Les.\nLes."), (None, base[0])]
+    lines = [(d, n, x) for d, t in rows if d is not None and t is not None for n, x in enumerate(t.split("\n")) if x]
+    texts = sorted({x for _, _, x in lines})
+    near = lambda a, b: distance(a, b) <= min(2, min(len(a), len(b)) // 15)
+    root = rooted(range(len(texts)), [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if near(a, b)])
+    at, first, want = {x: root[i] for i, x in enumerate(texts)}, {}, {d: (0 if t is None else t.count("\n") + 1, []) for d, t in rows}
+    for d, n, x in sorted(lines):
+        if first.setdefault(at[x], (d, n)) != (d, n):
+            want[d][1].append(n)
+    assert want[903][1] == [0, 1] and any(len(x) < 30 and root[i] != i for i, x in enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_lines, list(r.dropped)) for r in got} == want
