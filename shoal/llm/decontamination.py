@@ -2,8 +2,9 @@
 
 Words with digits, units and names become typed placeholders, so a question with other figures or people keeps its
 template. Windows of template words are hash-joined with the benchmark's; a document that covers an item, or holds
-a long run of it, is a candidate, and the values that fill the candidate's placeholders must be consistent: each
-value of the item stands for one value in the document, wherever it recurs. DataFrame functions only.
+a long run of it, is a candidate, and the values that fill the placeholders of an occurrence, which is where the
+item begins in the document, must be consistent: each value of the item stands for one value there, wherever it
+recurs. Other occurrences don't count, but those that hold enough of the item's own words do. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -86,6 +87,13 @@ def longest_run(places: Column) -> Column:
     return F.aggregate(places, zero, step, lambda acc: acc["best"])
 
 
+def reached(runs: DataFrame, totals: DataFrame) -> DataFrame:
+    """doc_id, item_id, coverage, run where the places of all rows of ``runs`` make a leak of the item."""
+    each = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("got"), F.max("run").alias("run"))
+    found = each.join(totals, "item_id").withColumn("coverage", F.col("got") / F.col("total")).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
+    return found.select("doc_id", "item_id", "coverage", "run")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """doc_id, item_id, coverage, run, n_slots, n_changed: one row for each document and item that it leaks.
 
@@ -108,9 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     # One row a document, item and shift, with at most an item's places in it.
     runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.array_sort(F.collect_set("item_at")).alias("places"))
     runs = saved(runs.withColumn("run", longest_run(F.col("places")) + (width - 1)), "runs")
-    each = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("got"), F.max("run").alias("run"))
-    found = each.join(totals, "item_id").withColumn("coverage", F.col("got") / F.col("total")).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
-    found = saved(found.select("doc_id", "item_id", "coverage", "run"), "candidates")
+    found = saved(reached(runs, totals), "candidates")
 
     # What fills the placeholders, for candidates only.
     wanted = saved(found.select("doc_id").distinct(), "candidate-docs")
@@ -119,12 +125,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     at = runs.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").where("run >= %d" % (width + 2))
     at = at.select("doc_id", "item_id", "shift", F.explode(cover).alias("p"))
     bare = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    # An occurrence's own words, by place; they decide alone where they are enough.
+    alike = runs.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").where("run >= %d" % (width + 2)).select("doc_id", "item_id", "shift")
+    alike = alike.join(b.select("item_id", "raw"), "item_id").join(texts, "doc_id")
+    alike = alike.withColumn("same", F.transform("raw", lambda w, i: F.coalesce(bare(w) == bare(F.get("d_raw", i + F.col("shift").cast("int"))), F.lit(False))))
+    own = F.filter(F.transform("same", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    alike = alike.where((F.size(own) >= COVERAGE * F.size("same")) | (longest_run(own) >= RUN)).select("doc_id", "item_id", "shift").distinct()
     slots = b.select("item_id", F.posexplode(F.arrays_zip("typed", "raw")).alias("p", "w")).where(F.col("w.typed").rlike("^[\x01-\x03]$")).select("item_id", "p", bare(F.col("w.raw")).alias("was"))
-    filled = at.join(slots, ["item_id", "p"]).join(texts, "doc_id").select("doc_id", "item_id", "p", "was", bare(F.get("d_raw", F.col("p") + F.col("shift"))).alias("is"))
-    images = filled.groupBy("doc_id", "item_id", "was").agg(F.countDistinct("is").alias("images"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("was").eqNullSafe(F.col("is"))).alias("changed"))
-    judged = images.groupBy("doc_id", "item_id").agg(F.max("images").alias("images"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"))
-    out = found.join(judged.withColumnRenamed("doc_id", "j_doc").withColumnRenamed("item_id", "j_item"), F.col("doc_id").eqNullSafe(F.col("j_doc")) & F.col("item_id").eqNullSafe(F.col("j_item")), "left")
-    out = out.where("coalesce(images, 1) <= 1")
+    filled = at.join(slots, ["item_id", "p"]).join(texts, "doc_id").select("doc_id", "item_id", "shift", "p", "was", bare(F.get("d_raw", F.col("p") + F.col("shift"))).alias("is"))
+    images = filled.groupBy("doc_id", "item_id", "shift", "was").agg(F.countDistinct("is").alias("images"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("was").eqNullSafe(F.col("is"))).alias("changed"))
+    judged = saved(images.groupBy("doc_id", "item_id", "shift").agg(F.max("images").alias("images"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed")), "occurrences")
+    wrong = saved(judged.where("images > 1").join(alike, ["doc_id", "item_id", "shift"], "left_anti").select("doc_id", "item_id", "shift"), "inconsistent")
+    right = reached(runs.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").join(wrong, ["doc_id", "item_id", "shift"], "left_anti"), totals)
+    # Occurrences of unknown documents or items are not judged.
+    right = right.unionByName(found.where("doc_id is null or item_id is null"))
+    right = right.dropDuplicates(["doc_id", "item_id"])
+    counts = judged.join(wrong, ["doc_id", "item_id", "shift"], "left_anti").groupBy("doc_id", "item_id").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_changed").alias("n_changed"))
+    counts = counts.withColumnsRenamed({"doc_id": "j_doc", "item_id": "j_item"})
+    out = right.join(counts, F.col("doc_id").eqNullSafe(F.col("j_doc")) & F.col("item_id").eqNullSafe(F.col("j_item")), "left")
     return out.select("doc_id", "item_id", "coverage", F.col("run").cast("int"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
 
 

@@ -107,6 +107,16 @@ def test_decontamination(spark):
     assert decontamination.leaks(empty(spark), bench).count() == 0 and decontamination.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_occurrences_are_judged_apart(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    other = ITEM.replace("Tom", "Bob").replace("Anna", "Mary").replace("3", "7").replace("2", "4")
+    mixed = other.replace("keep in the basket of Mary", "keep in the basket of Bob")
+    altered = ITEM.replace("keep in the basket of Anna", "keep in the basket of Mary")
+    rows = [(1, f"so {ITEM} and then {other} end"), (2, f"so {ITEM} and then {mixed} end"), (3, f"so {other} and then {mixed} end"), (4, f"so {mixed} and then {mixed} end"), (5, f"so {altered} end")]
+    got = {r.doc_id: r for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {1, 2, 3, 5} and got[2].n_changed == 0 and got[5].n_changed == 1
+
+
 def test_windows_are_those_of_a_loop(spark):
     from pyspark.sql import functions as F
 
