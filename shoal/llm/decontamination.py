@@ -4,7 +4,9 @@ Words with digits, units and names become typed placeholders, so a question with
 template. Windows of template words are hash-joined with the benchmark's; a document that covers an item, or holds
 a long run of it, is a candidate, and the values that fill the placeholders of an occurrence, which is where the
 item begins in the document, must be consistent: each value of the item stands for one value there, wherever it
-recurs. Other occurrences don't count, but those that hold enough of the item's own words do. DataFrame functions only.
+recurs. Other occurrences don't count, but those that hold enough of the item's own words do. Items of too few
+windows are looked for as a whole, by their own words; in scripts without spaces, every character is a word.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from shoal.llm.common import MOST_KEYS, among, saved, text_or_empty
 #: Words a window, the part of an item's windows that makes a leak, the words in a row that do, and the least
 #: literal words of a window that counts: windows of figures and names alone would match any table.
 WINDOW, COVERAGE, RUN, LITERAL = 5, 0.8, 13, 3
+#: Items of fewer windows (without the first word's, whose type depends on what is before it) are found whole: one
+#: window less would be less than COVERAGE. Their first so many words are joined, the others compared.
+FEW, ANCHOR = 5, 8
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 NAME, NUMBER, UNIT, MARK = "\x01", "\x02", "\x03", "\x04"
 #: Unit words, in order of kind.
 UNITS = (
@@ -43,6 +49,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def plain(text: Column) -> Column:
+    """Its words without case and marks, every character of scripts without spaces apart."""
+    t = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\s]++", "")
+    return words(F.regexp_replace(t, f"({UNSPACED})", " $1 "))
+
+
 def paired(a: Column, b: Column, ahead: int) -> Column:
     """Hashes of a[i] with b[i + ahead], as far as both go."""
     n = F.greatest(F.lit(0), F.size(b) - ahead)
@@ -89,16 +101,44 @@ def longest_run(places: Column) -> Column:
 
 def reached(runs: DataFrame, totals: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage, run where the places of all rows of ``runs`` make a leak of the item."""
-    each = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("got"), F.max("run").alias("run"))
-    found = each.join(totals, "item_id").withColumn("coverage", F.col("got") / F.col("total")).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
+    each = runs.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("got"), F.max("run").alias("run"))
+    got = F.size(F.filter("got", lambda p: (p > 0) | (F.col("later") == 0)))
+    found = each.join(totals, "item_id").withColumn("coverage", got / F.greatest("later", F.lit(1))).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
     return found.select("doc_id", "item_id", "coverage", "run")
 
 
+def whole(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, run where a document holds an item's words in a row: of (doc_id, d_text) and (item_id, b_text).
+
+    Items without a letter are left out: they would match any table of figures.
+    """
+    items = items.where(F.col("b_text").rlike(r"\p{L}")).select("item_id", plain(F.col("b_text")).alias("item")).where(F.size("item") > 0)
+    items = saved(items, "few-windows").withColumn("size", F.least(F.size("item"), F.lit(ANCHOR)))
+    hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    keys = saved(items.select("item_id", "size", "item", F.xxhash64("size", hashes(F.slice("item", 1, F.col("size")))).alias("h")), "item-anchors")
+    sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # at most ANCHOR
+    if not sizes:
+        return docs.select("doc_id").crossJoin(items.select("item_id")).withColumn("run", F.lit(0)).where("false")
+    own = saved(docs.select("doc_id", plain(text_or_empty("d_text")).alias("ws")).withColumn("hs", hashes("ws")), "plain-words")
+
+    def spots_of(n: int) -> Column:
+        at = F.when(F.size("hs") >= n, F.sequence(F.lit(1), F.size("hs") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice("hs", i, n)).alias("h")))
+
+    spots = own.select("doc_id", "ws", F.explode(F.concat(*map(spots_of, sizes))).alias("s"))
+    # The words of the place only go along, not the text's.
+    longest = keys.agg(F.max(F.size("item"))).first()[0]
+    spots = spots.select("doc_id", F.col("s.h").alias("h"), F.slice("ws", F.col("s.at"), longest).alias("here"))
+    few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    hits = spots.join(F.broadcast(keys) if few else keys, "h").where(F.slice("here", 1, F.size("item")) == F.col("item"))
+    return hits.groupBy("doc_id", "item_id").agg(F.max(F.size("item")).alias("run"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """doc_id, item_id, coverage, run, n_slots, n_changed: one row for each document and item that it leaks.
 
-    Null texts leak nothing; so do items of fewer words than a window and those whose windows have too few literal
-    words. Rows that repeat a doc_id count as one document, documents with a null id as one. Items that repeat are
+    Null texts leak nothing; so do items without a letter whose windows have too few literal words. Items of fewer
+    than ``FEW`` windows that count are also found by all of their words in a row, unchanged. Rows that repeat a doc_id count as one document, documents with a null id as one. Items that repeat are
     each reported. Empty tables give no rows. Other columns, whatever their names, are not read.
     """
     b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("b_text"))
@@ -106,7 +146,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     literal = F.size(F.filter(F.slice("typed", F.col("at") + 1, width), lambda w: ~w.rlike("^[\x01-\x04]$")))
     keys = b.select("item_id", "typed", F.posexplode("h").alias("at", "h")).where(literal >= min(LITERAL, width)).select("h", "item_id", F.col("at").alias("item_at"))
     keys = saved(keys, "item-windows")
-    totals = keys.groupBy("item_id").agg(F.countDistinct("item_at").alias("total"))
+    # The first word's window counts only if it is the only one.
+    total = F.countDistinct(F.when(F.col("item_at") > 0, F.col("item_at")))
+    totals = saved(keys.groupBy("item_id").agg(total.alias("later")), "item-totals")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("d_text"))
     own = windows(d.select("doc_id", words(template(text_or_empty("d_text"))).alias("typed")), "typed", width)
     # Outer: the plain form would also filter on the array's size and so evaluate all of the above once more.
@@ -143,7 +185,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     counts = judged.join(wrong, ["doc_id", "item_id", "shift"], "left_anti").groupBy("doc_id", "item_id").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_changed").alias("n_changed"))
     counts = counts.withColumnsRenamed({"doc_id": "j_doc", "item_id": "j_item"})
     out = right.join(counts, F.col("doc_id").eqNullSafe(F.col("j_doc")) & F.col("item_id").eqNullSafe(F.col("j_item")), "left")
-    return out.select("doc_id", "item_id", "coverage", F.col("run").cast("int"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    out = out.select("doc_id", "item_id", "coverage", F.col("run").cast("int"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    scarce = benchmark.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("b_text")).join(totals.where(F.col("later") >= FEW), "item_id", "left_anti")
+    scarce = saved(scarce, "scarce")
+    if scarce.isEmpty():
+        return out
+    more = whole(d, scarce).select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.col("run").cast("int"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
+    both = out.unionByName(more).groupBy("doc_id", "item_id")
+    return both.agg(*[F.max(c).alias(c) for c in ("coverage", "run", "n_slots", "n_changed")])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

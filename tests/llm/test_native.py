@@ -117,6 +117,15 @@ def test_occurrences_are_judged_apart(spark):
     assert set(got) == {1, 2, 3, 5} and got[2].n_changed == 0 and got[5].n_changed == 1
 
 
+def test_items_of_few_windows_are_found_whole(spark):
+    items = ["Yes or no", "12 plus 34 minus 5 is 41", "日本の首都はどこですか", "What colour is grass in spring", "Is 5 kg, 7 kg and 9 kg of 3 m, 4 m or 5 m in Rome", "3 4 5"]
+    bench = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    rows = [(i, f"Question: {t}, and on") for i, t in enumerate(items[:2] + ["かな" + items[2] + "はい"] + items[3:], 1)]
+    rows += [(11, "yes and or no"), (12, "12 plus 34 minus 5 is 42"), (13, "日本の首都は"), (14, items[4].replace("Rome", "Bonn")), (15, "")]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i) for i in range(1, 6)} | {(12, 2)}  # other figures in a template
+
+
 def test_windows_are_those_of_a_loop(spark):
     from pyspark.sql import functions as F
 
