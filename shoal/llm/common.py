@@ -22,21 +22,48 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; where it is unset, as in tests, an own one."""
+    """The cluster's shared folder from spark.checkpoint.dir. Where it is unset, an own one if driver and executors are
+    one process, as in tests; on a cluster no machine-local folder will do, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shoal-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="shoal-scratch-")
+    return _OWN[sc.applicationId]
+
+
+#: Frees a write's shuffle files when it has ended; what is written is all that later steps read.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: shorter lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/shoal/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of ``saved`` whose last reader's result is itself saved."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Keys that may be broadcast: 16 bytes each make some 30 MB, and beyond it the join shuffles instead.
@@ -49,6 +76,12 @@ def among(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> Da
     return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, one for each of ``names``."""
+    used = {c.lower() for c in df.columns}
+    return [next(c for c in (f"_{n}{'_' * i}" for i in range(len(used) + 1)) if c not in used) for n in names]
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -1,12 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words with digits, units and names become typed placeholders, so a question with other figures or people keeps its
-template. Windows of template words are hash-joined with the benchmark's; a document that covers an item, or holds
-a long run of it, is a candidate, and the values that fill the placeholders of an occurrence, which is where the
-item begins in the document, must be consistent: each value of the item stands for one value there, wherever it
-recurs. Other occurrences don't count, but those that hold enough of the item's own words do. Items of too few
-windows are looked for as a whole, by their own words; in scripts without spaces, every character is a word.
-DataFrame functions only.
+template; a word is typed by its own letters, wherever it stands. Windows of template words are hash-joined with the
+benchmark's; a document that covers an item, or holds a long run of it, is a candidate, and the values that fill the
+placeholders of an occurrence, which is where the item begins in the document, must be consistent: each value of the
+item stands for one value there, wherever it recurs (two of the item may become one). Other occurrences don't count, but
+those that hold enough of the item's own words do. Items of too few windows are looked for as a whole, by their own
+words; in scripts without spaces, every character is a word. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import MOST_KEYS, among, saved, text_or_empty
+from shoal.llm.common import MOST_KEYS, among, fresh, saved, text_or_empty
 
 #: Words a window, the part of an item's windows that makes a leak, the words in a row that do, and the least
 #: literal words of a window that counts: windows of figures and names alone would match any table.
 WINDOW, COVERAGE, RUN, LITERAL = 5, 0.8, 13, 3
-#: Items of fewer windows (without the first word's, whose type depends on what is before it) are found whole: one
-#: window less would be less than COVERAGE. Their first so many words are joined, the others compared.
+#: Items of fewer windows are found whole: one window less would be less than COVERAGE. Their first so many words are
+#: joined, the others compared.
 FEW, ANCHOR = 5, 8
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 NAME, NUMBER, UNIT, MARK = "\x01", "\x02", "\x03", "\x04"
@@ -37,7 +37,7 @@ UNITS = (
 
 def template(text: Column) -> Column:
     """The text with each word typed or reduced to its lower-cased letters; words stay words, one for one."""
-    t = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)\]]\s)\p{Lu}\p{Ll}+(?!\p{L})", NAME)
+    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?!\p{L})", NAME)
     t = F.regexp_replace(F.lower(t), r"(?<!\S)[^\s\d]*+\d\S*", NUMBER)
     t = F.regexp_replace(t, rf"(?<!\S)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
     t = F.regexp_replace(t, r"(?<!\S)[^\p{L}\p{N}\s\x01-\x03]++(?!\S)", MARK)
@@ -83,11 +83,6 @@ def windows(ws: DataFrame, column: str, width: int) -> DataFrame:
     return ws.withColumn("h", h)
 
 
-def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
-    body = text_or_empty(text)
-    return df.select(F.col(key).alias(key), words(template(body)).alias("typed"), words(body).alias("raw"))
-
-
 def longest_run(places: Column) -> Column:
     """The length of the longest run of consecutive integers in an ascending array."""
     zero = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best"))
@@ -100,102 +95,107 @@ def longest_run(places: Column) -> Column:
 
 
 def reached(runs: DataFrame, totals: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, run where the places of all rows of ``runs`` make a leak of the item."""
-    each = runs.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("got"), F.max("run").alias("run"))
-    got = F.size(F.filter("got", lambda p: (p > 0) | (F.col("later") == 0)))
-    found = each.join(totals, "item_id").withColumn("coverage", got / F.greatest("later", F.lit(1))).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
-    return found.select("doc_id", "item_id", "coverage", "run")
+    """row, item, coverage, run where the places of all rows of ``runs`` make a leak of the item."""
+    each = runs.groupBy("row", "item").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("got"), F.max("run").alias("run"))
+    found = each.join(totals, "item").withColumn("coverage", F.size("got") / F.col("windows")).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
+    return found.select("row", "item", "coverage", "run")
 
 
 def whole(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, run where a document holds an item's words in a row: of (doc_id, d_text) and (item_id, b_text).
+    """row, item, run where a document holds an item's words in a row: of (row, d_text) and (item, b_text).
 
     Items without a letter are left out: they would match any table of figures.
     """
-    items = items.where(F.col("b_text").rlike(r"\p{L}")).select("item_id", plain(F.col("b_text")).alias("item")).where(F.size("item") > 0)
-    items = saved(items, "few-windows").withColumn("size", F.least(F.size("item"), F.lit(ANCHOR)))
+    items = items.where(F.col("b_text").rlike(r"\p{L}")).select("item", plain(F.col("b_text")).alias("ws")).where(F.size("ws") > 0)
+    items = saved(items, "few-windows").withColumn("size", F.least(F.size("ws"), F.lit(ANCHOR)))
     hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
-    keys = saved(items.select("item_id", "size", "item", F.xxhash64("size", hashes(F.slice("item", 1, F.col("size")))).alias("h")), "item-anchors")
+    keys = saved(items.select("item", "size", "ws", F.xxhash64("size", hashes(F.slice("ws", 1, F.col("size")))).alias("h")), "item-anchors")
     sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # at most ANCHOR
+    kinds = {f.name: f.dataType for f in [*docs.schema, *keys.schema]}
     if not sizes:
-        return docs.select("doc_id").crossJoin(items.select("item_id")).withColumn("run", F.lit(0)).where("false")
-    own = saved(docs.select("doc_id", plain(text_or_empty("d_text")).alias("ws")).withColumn("hs", hashes("ws")), "plain-words")
+        return docs.select("row", F.lit(None).cast(kinds["item"]).alias("item"), F.lit(0).alias("run")).where("false")
+    own = saved(docs.select("row", plain(text_or_empty("d_text")).alias("own")).withColumn("hs", hashes("own")), "plain-words")
 
     def spots_of(n: int) -> Column:
         at = F.when(F.size("hs") >= n, F.sequence(F.lit(1), F.size("hs") - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice("hs", i, n)).alias("h")))
 
-    spots = own.select("doc_id", "ws", F.explode(F.concat(*map(spots_of, sizes))).alias("s"))
+    spots = own.select("row", "own", F.explode(F.concat(*map(spots_of, sizes))).alias("s"))
     # The words of the place only go along, not the text's.
-    longest = keys.agg(F.max(F.size("item"))).first()[0]
-    spots = spots.select("doc_id", F.col("s.h").alias("h"), F.slice("ws", F.col("s.at"), longest).alias("here"))
+    longest = keys.agg(F.max(F.size("ws"))).first()[0]
+    spots = spots.select("row", F.col("s.h").alias("h"), F.slice("own", F.col("s.at"), longest).alias("here"))
     few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    hits = spots.join(F.broadcast(keys) if few else keys, "h").where(F.slice("here", 1, F.size("item")) == F.col("item"))
-    return hits.groupBy("doc_id", "item_id").agg(F.max(F.size("item")).alias("run"))
+    hits = spots.join(F.broadcast(keys) if few else keys, "h").where(F.slice("here", 1, F.size("ws")) == F.col("ws"))
+    return hits.groupBy("row", "item").agg(F.max(F.size("ws")).alias("run"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, coverage, run, n_slots, n_changed: one row for each document and item that it leaks.
+def row_kind(key: str, text: str) -> Column:
+    """What tells rows apart, without nulls: a null key, the key, and the text's hash."""
+    return F.struct(F.col(key).isNull().alias("anon"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th"))
 
-    Null texts leak nothing; so do items without a letter whose windows have too few literal words. Items of fewer
-    than ``FEW`` windows that count are also found by all of their words in a row, unchanged. Rows that repeat a doc_id count as one document, documents with a null id as one. Items that repeat are
-    each reported. Empty tables give no rows. Other columns, whatever their names, are not read.
-    """
-    b = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("b_text"))
-    b = saved(windows(parsed(b, "item_id", "b_text"), "typed", width).select("item_id", "typed", "raw", "h"), "items")
+
+def leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
+    """row, item, coverage, run, n_slots, n_changed: rows of documents and items of the benchmark as ``row_kind``."""
+    b = benchmark.select(row_kind(item_id, item_text).alias("item"), F.col(item_text).alias("b_text"))
+    typed = windows(b.select("item", "b_text", words(template(text_or_empty("b_text"))).alias("typed"), words(text_or_empty("b_text")).alias("raw")), "typed", width)
+    b = saved(typed.select("item", "b_text", "typed", "raw", "h").dropDuplicates(["item"]), "items")
     literal = F.size(F.filter(F.slice("typed", F.col("at") + 1, width), lambda w: ~w.rlike("^[\x01-\x04]$")))
-    keys = b.select("item_id", "typed", F.posexplode("h").alias("at", "h")).where(literal >= min(LITERAL, width)).select("h", "item_id", F.col("at").alias("item_at"))
+    keys = b.select("item", "typed", F.posexplode("h").alias("at", "h")).where(literal >= min(LITERAL, width)).select("h", "item", F.col("at").alias("item_at"))
     keys = saved(keys, "item-windows")
-    # The first word's window counts only if it is the only one.
-    total = F.countDistinct(F.when(F.col("item_at") > 0, F.col("item_at")))
-    totals = saved(keys.groupBy("item_id").agg(total.alias("later")), "item-totals")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("d_text"))
-    own = windows(d.select("doc_id", words(template(text_or_empty("d_text"))).alias("typed")), "typed", width)
+    totals = saved(keys.groupBy("item").agg(F.count(F.lit(1)).alias("windows")), "item-totals")
+    d = docs.select(row_kind(doc_id, text).alias("row"), F.col(text).alias("d_text"))
+    own = windows(d.select("row", words(template(text_or_empty("d_text"))).alias("typed")), "typed", width)
     # Outer: the plain form would also filter on the array's size and so evaluate all of the above once more.
-    own = own.select("doc_id", F.posexplode_outer("h").alias("at", "h"))
+    own = own.select("row", F.posexplode_outer("h").alias("at", "h"))
     few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    hits = own.join(F.broadcast(keys) if few else keys, "h").select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
+    hits = own.join(F.broadcast(keys) if few else keys, "h").select("row", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
     # One row a document, item and shift, with at most an item's places in it.
-    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.array_sort(F.collect_set("item_at")).alias("places"))
+    runs = hits.groupBy("row", "item", "shift").agg(F.array_sort(F.collect_set("item_at")).alias("places"))
     runs = saved(runs.withColumn("run", longest_run(F.col("places")) + (width - 1)), "runs")
     found = saved(reached(runs, totals), "candidates")
 
     # What fills the placeholders, for candidates only.
-    wanted = saved(found.select("doc_id").distinct(), "candidate-docs")
-    texts = parsed(among(d.where("doc_id is not null"), wanted.where("doc_id is not null"), "doc_id"), "doc_id", "d_text").select("doc_id", F.col("raw").alias("d_raw"))
-    cover = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (width - 1)))))
-    at = runs.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").where("run >= %d" % (width + 2))
-    at = at.select("doc_id", "item_id", "shift", F.explode(cover).alias("p"))
+    wanted = saved(found.select("row").distinct(), "candidate-docs")
+    texts = among(d, wanted, "row").dropDuplicates(["row"]).select("row", words(text_or_empty("d_text")).alias("d_raw"))
+    long = runs.join(found.select("row", "item"), ["row", "item"], "left_semi").where("run >= %d" % (width + 2))
     bare = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    long = saved(long.join(b.select("item", "raw", "typed"), "item").join(texts, "row").select("row", "item", "shift", "places", "raw", "typed", F.transform("raw", lambda w, i: bare(F.get("d_raw", i + F.col("shift").cast("int")))).alias("here")), "occurrences")
     # An occurrence's own words, by place; they decide alone where they are enough.
-    alike = runs.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").where("run >= %d" % (width + 2)).select("doc_id", "item_id", "shift")
-    alike = alike.join(b.select("item_id", "raw"), "item_id").join(texts, "doc_id")
-    alike = alike.withColumn("same", F.transform("raw", lambda w, i: F.coalesce(bare(w) == bare(F.get("d_raw", i + F.col("shift").cast("int"))), F.lit(False))))
+    same = F.transform("raw", lambda w, i: F.coalesce(bare(w) == F.get("here", i), F.lit(False)))
     own = F.filter(F.transform("same", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    alike = alike.where((F.size(own) >= COVERAGE * F.size("same")) | (longest_run(own) >= RUN)).select("doc_id", "item_id", "shift").distinct()
-    slots = b.select("item_id", F.posexplode(F.arrays_zip("typed", "raw")).alias("p", "w")).where(F.col("w.typed").rlike("^[\x01-\x03]$")).select("item_id", "p", bare(F.col("w.raw")).alias("was"))
-    filled = at.join(slots, ["item_id", "p"]).join(texts, "doc_id").select("doc_id", "item_id", "shift", "p", "was", bare(F.get("d_raw", F.col("p") + F.col("shift"))).alias("is"))
-    images = filled.groupBy("doc_id", "item_id", "shift", "was").agg(F.countDistinct("is").alias("images"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("was").eqNullSafe(F.col("is"))).alias("changed"))
-    judged = saved(images.groupBy("doc_id", "item_id", "shift").agg(F.max("images").alias("images"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed")), "occurrences")
-    wrong = saved(judged.where("images > 1").join(alike, ["doc_id", "item_id", "shift"], "left_anti").select("doc_id", "item_id", "shift"), "inconsistent")
-    right = reached(runs.join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").join(wrong, ["doc_id", "item_id", "shift"], "left_anti"), totals)
-    # Occurrences of unknown documents or items are not judged.
-    right = right.unionByName(found.where("doc_id is null or item_id is null"))
-    right = right.dropDuplicates(["doc_id", "item_id"])
-    counts = judged.join(wrong, ["doc_id", "item_id", "shift"], "left_anti").groupBy("doc_id", "item_id").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_changed").alias("n_changed"))
-    counts = counts.withColumnsRenamed({"doc_id": "j_doc", "item_id": "j_item"})
-    out = right.join(counts, F.col("doc_id").eqNullSafe(F.col("j_doc")) & F.col("item_id").eqNullSafe(F.col("j_item")), "left")
-    out = out.select("doc_id", "item_id", "coverage", F.col("run").cast("int"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
-    scarce = benchmark.select(F.col(item_id).alias("item_id"), text_or_empty(item_text).alias("b_text")).join(totals.where(F.col("later") >= FEW), "item_id", "left_anti")
-    scarce = saved(scarce, "scarce")
+    alike = long.withColumn("same", same).where((F.size(own) >= COVERAGE * F.size("same")) | (longest_run(own) >= RUN)).select("row", "item", "shift")
+    cover = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (width - 1)))))
+    slot = F.transform(cover, lambda p: F.struct(F.get("typed", p).alias("typed"), bare(F.get("raw", p)).alias("was"), F.get("here", p).alias("is")))
+    filled = long.select("row", "item", "shift", F.explode(F.filter(slot, lambda x: x["typed"].rlike("^[\x01-\x03]$"))).alias("s")).select("row", "item", "shift", "s.was", "s.is")
+    images = filled.groupBy("row", "item", "shift", "was").agg(F.countDistinct("is").alias("images"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("was").eqNullSafe(F.col("is"))).alias("changed"))
+    judged = saved(images.groupBy("row", "item", "shift").agg(F.max("images").alias("images"), F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed")), "judged")
+    wrong = saved(judged.where("images > 1").join(alike, ["row", "item", "shift"], "left_anti").select("row", "item", "shift"), "inconsistent")
+    right = reached(runs.join(found.select("row", "item"), ["row", "item"], "left_semi").join(wrong, ["row", "item", "shift"], "left_anti"), totals)
+    counts = judged.join(wrong, ["row", "item", "shift"], "left_anti").groupBy("row", "item").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_changed").alias("n_changed"))
+    out = right.join(counts, ["row", "item"], "left").na.fill(0, ["n_slots", "n_changed"]).select("row", "item", "coverage", F.col("run").cast("int"), "n_slots", "n_changed")
+    scarce = saved(b.select("item", text_or_empty("b_text").alias("b_text")).join(totals.where(F.col("windows") >= FEW), "item", "left_anti"), "scarce")
     if scarce.isEmpty():
         return out
-    more = whole(d, scarce).select("doc_id", "item_id", F.lit(1.0).alias("coverage"), F.col("run").cast("int"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
-    both = out.unionByName(more).groupBy("doc_id", "item_id")
+    more = whole(d, scarce).select("row", "item", F.lit(1.0).alias("coverage"), F.col("run").cast("int"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))
+    both = out.unionByName(more).groupBy("row", "item")
     return both.agg(*[F.max(c).alias(c) for c in ("coverage", "run", "n_slots", "n_changed")])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all their columns, that leak no item. Documents without an id stay."""
-    bad = saved(leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct(), "leaking")
-    return among(docs, bad, "doc_id", "left_anti")
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
+    """doc_id, item_id, coverage, run, n_slots, n_changed: one row for each document and item that it leaks.
+
+    Null and empty texts leak nothing; so do items without a letter whose windows have too few literal words. Items of
+    fewer than ``FEW`` windows that count are also found by all of their words in a row, unchanged. Every row is judged by
+    its own text, also where ids repeat or are null; what rows of one id leak is reported once, with the most of each
+    figure, and so are items of one id. Ties don't arise. Very long texts are taken whole. Empty tables give no rows.
+    Other columns, whatever their names, are not read.
+    """
+    got = leaking(docs, benchmark, doc_id, text, item_id, item_text, width).groupBy(F.col("row.id").alias("doc_id"), F.col("item.id").alias("item_id"))
+    return got.agg(*[F.max(c).alias(c) for c in ("coverage", "run", "n_slots", "n_changed")])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all their columns, whose own text leaks no item."""
+    (row,) = fresh(docs, "row")
+    bad = saved(leaking(docs, benchmark, doc_id, text).select(F.col("row").alias(row)).distinct(), "leaking")
+    return among(docs.withColumn(row, row_kind(doc_id, text)), bad, row, "left_anti").drop(row)
