@@ -7,7 +7,8 @@ and no decoding of its neighbours.
 
 A *segment* is one self-contained file body of that format with a document table; segments are written in
 ascending document order as rows of a Parquet table in the shared folder, by Spark's committed writer, so that lost
-executors and retries leave each segment once.
+executors and retries leave each segment once. A row says where its segment begins in its part, so a place in the whole
+corpus leads to its segment by the parts' totals, and within it to the id (``tokens_at``).
 """
 
 from __future__ import annotations
@@ -123,8 +124,10 @@ def opened(body: bytes) -> tuple[list[int | None], np.ndarray, DirectCodes]:
 
 
 class Encoder:
-    """Ids of whole texts. White space always parts this tokenizer's words, and it lower-cases them, so each distinct
-    lower-cased piece between white space is encoded by the library once and its ids remembered.
+    """Ids of whole texts. Where white space always parts a tokenizer's words and it lower-cases them, each distinct
+    lower-cased piece between white space is encoded by the library once and its ids remembered. Whole texts go to the
+    library if they hold one of its special tokens in any case, which it looks for before it lower-cases, and all texts
+    do if the tokenizer is of another kind.
 
     The memory is arrays sorted by a 64-bit hash of the piece, checked by a second one, so that a batch of texts is
     looked up at once; it is emptied when it holds ``most`` pieces. A piece of plain Latin letters with ASCII signs
@@ -146,11 +149,16 @@ class Encoder:
         own = self._ids(self.MARK)
         self.mark = int(own[0]) if len(own) == 1 else None
         self.model = self.tokenizer.model
+        self.by_words = self._ids(" Ab  cD\n\té ") == self._ids("ab") + self._ids("cd") + self._ids("é") == self._ids("Ab Cd É")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(re.escape(t.lower().encode()) for t in special)) if special else None
         # The byte-level alphabet: printable bytes stand for themselves, the others for the next code points from 256.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.signs: dict[bytes, list[int]] = {b"": []}
+        probes = [b"hello", b"caf\xc3\xa9!", b"stra\xc3\x9fe.", b"a", b"xyzzy?!)", b"\xc5\x93uvre;"]
+        self.direct = self.by_words and [self._plain(p) for p in probes] == [self._ids(p.decode()) for p in probes]
         self._empty()
 
     def _empty(self) -> None:
@@ -182,7 +190,7 @@ class Encoder:
         return own + self.signs[signs] if signs else own
 
     def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
-        out = [self._plain(p) for p in pieces]
+        out = [self._plain(p) if self.direct else None for p in pieces]
         left = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(left, self._stepped([pieces[i] for i in left]), strict=True):
             out[i] = ids
@@ -221,7 +229,20 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and how many are each text's."""
-        words = Words(lowered(texts))
+        raw = lowered(texts)
+        odd = [i for i, r in enumerate(raw) if not self.by_words or self.special and self.special.search(r)]
+        if not odd:
+            return self._by_words(raw)
+        whole = dict(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast([texts[i] or "" for i in odd], add_special_tokens=False)), strict=True))
+        ids, n = self._by_words([b"" if i in whole else r for i, r in enumerate(raw)])
+        at = (np.cumsum(n) - n)[odd]
+        size = np.array([len(whole[i]) for i in odd])
+        ids = np.insert(ids, np.repeat(at, size), np.fromiter(chain.from_iterable(whole.values()), np.uint32, int(size.sum())))
+        n[odd] = size
+        return ids, n
+
+    def _by_words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(raw)
         keys, checks = words.hashes(BYTES, self.CHECK)
         at, hit = self._find(keys, checks)
         if not hit.all():
@@ -233,30 +254,34 @@ class Encoder:
             self._learn(words, keys, checks, miss[first])
             at, hit = self._find(keys, checks)
             if not hit.all():  # two pieces with one hash: leave the memory out
-                ids = [self._ids(t or "") for t in texts]
+                ids = [self._ids(t.decode("utf-8", "replace")) for t in raw]
                 return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
         size = self.size[at]
         first = np.cumsum(size) - size
         spots = np.repeat(self.at[at] - first, size) + np.arange(int(size.sum()))
-        return self.ids[spots], np.bincount(words.text, weights=size, minlength=len(texts)).astype(np.int64)
+        return self.ids[spots], np.bincount(words.text, weights=size, minlength=len(raw)).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
+#: A segment's task and number there, the ids of its part before it, its own, and its body.
+NAMES, SCHEMA = ["part", "no", "own", "n_ids", "body"], "part int, no int, own long, n_ids long, body binary"
 
 
 def _segments(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _ENCODERS.setdefault(path, Encoder(path))
-        part, no = TaskContext.get().partitionId(), 0
+        if path not in _ENCODERS:  # once a worker
+            _ENCODERS[path] = Encoder(path)
+        encoder = _ENCODERS[path]
+        part, no, own = TaskContext.get().partitionId(), 0, 0
         docs, counts, parts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal docs, counts, parts, held, no
-            ids = np.concatenate(parts)
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([held], pa.int64()), pa.array([segment(docs, counts, ids)], pa.binary())], names=["part", "no", "n_ids", "body"])
-            docs, counts, parts, held, no = [], [], [], 0, no + 1
+            nonlocal docs, counts, parts, held, no, own
+            body = segment(docs, counts, np.concatenate(parts))
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([own], pa.int64()), pa.array([held], pa.int64()), pa.array([body], pa.binary())], names=NAMES)
+            docs, counts, parts, held, no, own = [], [], [], 0, no + 1, own + held
             return row
 
         for b in batches:
@@ -278,13 +303,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encodes every document and writes the segments to ``path`` in ascending id order.
 
     Ranges of ids are dealt to tasks and sorted there, so file parts follow each other. Null text counts as empty
-    and gives its end id alone; null ids come first; rows that repeat an id follow each other by text.
+    and gives its end id alone; null ids come first; rows that repeat an id follow each other by text, and equal rows
+    in any order, as they are the same. Very long texts are encoded whole. An empty table gives no segments. Other
+    columns, whatever their names, are not read. Integer ids only.
     """
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_segments(tokenizer, end_id), "part int, no int, n_ids long, body binary").write.parquet(path)
+    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows.mapInArrow(_segments(tokenizer, end_id), SCHEMA).write.parquet(path)
+
+
+def placed(spark, path: str) -> DataFrame:
+    """The segments with ``first``, the place of their first id in the whole: the ids of the parts before and ``own``.
+
+    The parts' totals, one row a write task, are the only thing handled as a whole.
+    """
+    table = ship(spark).read.schema(SCHEMA).parquet(path)
+    totals = saved(table.groupBy("part").agg(F.sum("n_ids").alias("n")), "token-parts")
+    up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
+    return table.join(F.broadcast(totals), "part").withColumn("first", F.col("before") + F.col("own"))
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,17 +339,22 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def listed(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in the files at ``path``.
+    """doc_id, start, n_tokens, ids_crc32 of each document in the files at ``path``; none of an empty folder's."""
+    return placed(spark, path).select("first", "body").mapInArrow(_listed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
 
-    A segment's first place is the sum over the parts before (one row a part) and the segments before it in its own.
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for first, at, body in zip(b["first"].to_pylist(), b["at"].to_pylist(), b["body"].to_pylist(), strict=True):
+            _, _, codes = opened(body)
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array([codes[i - first] for i in at], pa.int64())], names=["at", "id"])
+
+
+def tokens_at(spark, path: str, at: list[int]) -> DataFrame:
+    """(at, id) of the ids at these places of the whole corpus; places beyond it give no row.
+
+    Only segments that hold one are read on to their bodies, and there only the chunks of these ids.
     """
-    ship(spark)
-    table = spark.read.schema("part int, no int, n_ids long, body binary").parquet(path)
-    sizes = table.select("part", "no", "n_ids")
-    totals = saved(sizes.groupBy("part").agg(F.sum("n_ids").alias("n")), "token-parts")
-    up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a write task
-    totals = totals.select("part", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
-    own = Window.partitionBy("part").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("part", "no", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("own")).join(F.broadcast(totals), "part")
-    firsts = saved(firsts.select("part", "no", (F.col("own") + F.col("before")).alias("first")), "token-firsts")
-    return table.select("part", "no", "body").join(F.broadcast(firsts), ["part", "no"]).select("first", "body").mapInArrow(_listed, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    inside = F.filter(F.array(*[F.lit(int(i)).cast("long") for i in sorted(set(at))]), lambda i: (i >= F.col("first")) & (i < F.col("first") + F.col("n_ids")))
+    asked = placed(spark, path).withColumn("at", inside).where(F.size("at") > 0)
+    return asked.select("first", "at", "body").mapInArrow(_looked_up, "at long, id long")

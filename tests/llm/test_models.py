@@ -2,6 +2,7 @@
 
 import html
 import math
+import random
 import re
 import uuid
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from fixtures import documents, empty, table, words
+from pyspark.sql import functions as F
 
 from shoal.llm import html_extract, language_id, suffix_tree, token_codes
 from shoal.llm.common import scratch_root
@@ -63,7 +65,8 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    rows = documents() + [(950, "don't <|endoftext|>a b İSTANBUL é x́ \x01 y 😀 ﬁ 각 WE'LL", None, None, 1, "", "", "")]
+    rows = documents() + [(951, "<|ENDOFTEXT|>", None, None, 1, "", "", ""), (952, "a<|EndOfText|>b Cd <|startoftext|>", None, None, 1, "", "", "")]
+    rows += [(950, "don't <|endoftext|>a b İSTANBUL é x́ \x01 y 😀 ﬁ 각 WE'LL", None, None, 1, "", "", "")]
     path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
     token_codes.write_tokens(table(spark, rows), path, P.path("word_bpe_49k.json"))
     got = sorted(token_codes.listed(spark, path).collect(), key=lambda r: r.start)
@@ -72,11 +75,30 @@ def test_token_files(spark):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    ids = [i for t in (r[1] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))) for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
+    at = [0, 1, 17, len(ids) // 2, len(ids) - 1, len(ids), 10**12]
+    assert {r["at"]: r["id"] for r in token_codes.tokens_at(spark, path, at).collect()} == {i: ids[i] for i in at if i < len(ids)}
     none = path + "-none"
     token_codes.write_tokens(empty(spark), none, P.path("word_bpe_49k.json"))
     assert token_codes.listed(spark, none).count() == 0
 
 
+def test_encoder_equals_the_library():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", " ", "\n", "\u3000", "\u00a0", "\u0085", "Ab", "İ", "ǅ", "é", "ﬁ", "x\u0301", "don't", "WE'LL", "12", "!!", "😀", "각", "我", "\x01", "'s", "œUVRE", "a", "z?)"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3000)] + [None, ""]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        library, own = Tokenizer.from_file(P.path(name)), token_codes.Encoder(P.path(name))
+        assert own.by_words == own.direct == (name == "word_bpe_49k.json")
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for i in range(0, len(texts), 500):
+            ids, n = own(texts[i : i + 500])
+            assert n.tolist() == [len(w) for w in want[i : i + 500]] and ids.tolist() == [x for w in want[i : i + 500] for x in w]
+
+
 def out_of_fold(i, n):
     return i is not None and zlib.crc32(str(i).encode()) % n == 1
 
@@ -103,87 +125,86 @@ def test_held_out_scores_beat_the_base(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_scores_of_real_words_equal_a_plain_tree(spark, monkeypatch):
-    """Also of contexts that are rare words, twice among many; filters that let all through change nothing."""
-    rng = np.random.default_rng(5)
-    rare = ["zig zag zog zug end", "so zig zag zog zug end here", "but zig zag zog zag", "zig zag zog zug end"]
-    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, rng.integers(0, 60)) % 40) for _ in range(150)] + rare * 2
-    texts += [f"{a} same turn {b}" for a, b in (("left", "lost"), ("right", "won")) for _ in range(40)]  # three words tell
-    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
+def test_keys_are_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    a, b = np.array([0, 1, -5, 2**62, 3589]), np.array([7, -1, 2**63 - 1, -(2**63), 3589])
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "c long, up long")
+    want = [r[0] for r in df.select(F.xxhash64("c", "up")).collect()]
+    assert suffix_tree.joined(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist() == want
+
+
+def plain_scores(rows, depth, evidence, diverge):
+    """The same tree in dictionaries: contexts as tuples, at most one end before a text."""
     seqs = {d: [words(t) + ["\n"] for i, t in rows if (out_of_fold(i, 5)) == d] for d in (False, True)}
     uni = Counter(x for s in seqs[False] for x in s)
     norm = sum(uni.values()) + 0.5 * (len(uni) + 1)
-    root = lambda x: (uni[x] + 0.5) / norm
+    size = Counter({(x,): n for x, n in uni.items()})
     nexts = {}
     for s in seqs[False]:
-        s = ["\n"] * 3 + s
-        for t in range(3, len(s)):
-            for d in (1, 2, 3):
+        s = ["\n", *s]
+        for t in range(1, len(s)):
+            for d in range(1, min(depth, t) + 1):
                 nexts.setdefault(tuple(s[t - d : t]), Counter())[s[t]] += 1
-    nexts = {c: v for c, v in nexts.items() if v.total() >= suffix_tree.EVIDENCE}
-
-    def rate(c, x):
-        return nexts[c][x] / nexts[c].total() if c else root(x)
-
-    stay = {c for c, v in nexts.items() if sum(n * math.log(rate(c, x) / rate(c[1:], x)) for x, n in v.items()) >= suffix_tree.DIVERGE}
+                size[tuple(s[t - d : t + 1])] += 1
+    kept = {c: {x: n for x, n in v.items() if n >= evidence} for c, v in nexts.items()}
+    kept = {c: v for c, v in kept.items() if v}
+
+    def p(c, x, stays=lambda c: True):
+        if not c:
+            return (uni[x] + 0.5) / norm
+        below = p(c[1:], x, stays)
+        if c not in kept or not stays(c):
+            return below
+        v = kept[c]
+        return (max(v.get(x, 1) - 1, 0) + (size[c] - sum(n - 1 for n in v.values())) * below) / size[c]
+
+    def nats(c):
+        v = kept[c]
+        rest = (size[c] - sum(n - 1 for n in v.values())) / size[c]
+        return sum(n * math.log(p(c, x) / p(c[1:], x)) for x, n in v.items()) + (size[c] - sum(v.values())) * math.log(rest)
+
+    stay = {c for c in kept if nats(c) >= diverge}
     stay |= {c[i:] for c in stay for i in range(1, len(c))}
-    assert any(c[-1].startswith("z") for c in stay) and {len(c) for c in stay} == {1, 2, 3}
 
     def score(s):
-        out, s = 0.0, ["\n"] * 3 + s
-        for t in range(3, len(s)):
-            p = root(s[t])
-            for d in (1, 2, 3):
-                c = tuple(s[t - d : t])
-                if c in stay:
-                    p = (nexts[c][s[t]] + len(nexts[c]) * p) / (nexts[c].total() + len(nexts[c]))
-            out += math.log10(p)
-        return out
-
-    want = sorted((i, round(score(words(t) + ["\n"]), 6)) for i, t in rows)
+        s = ["\n", *s]
+        return sum(math.log10(p(next((tuple(s[t - d : t]) for d in range(min(depth, t), 0, -1) if tuple(s[t - d : t]) in stay), ()), s[t], stay.__contains__)) for t in range(1, len(s)))
+
+    return stay, sorted((i, round(score(words(t) + ["\n"]), 6)) for i, t in rows), p
+
+
+def test_scores_equal_a_plain_tree(spark, monkeypatch):
+    """Also of contexts that are rare words, twice among many; filters and heads of any size change nothing."""
+    rng = np.random.default_rng(5)
+    rare = ["zig zag zog zug end", "so zig zag zog zug end here", "but zig zag zog zag", "zig zag zog zug end"]
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, rng.integers(0, 60)) % 40) for _ in range(150)] + rare * 2
+    texts += [f"{a} same turn {b}" for a, b in (("left", "lost"), ("right", "won")) for _ in range(40)]  # three words tell
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
+    stay, want, p = plain_scores(rows, 3, suffix_tree.EVIDENCE, suffix_tree.DIVERGE)
+    _, of_two, _ = plain_scores(rows, suffix_tree.DEPTH, suffix_tree.EVIDENCE, suffix_tree.DIVERGE)
+    assert any(c[-1].startswith("z") for c in stay) and {len(c) for c in stay} == {1, 2, 3}
+    vocabulary = {x for i, t in rows if not out_of_fold(i, 5) for x in words(t)} | {"\n"}
+    for c in [("same", "turn"), ("left", "same", "turn"), ("w1",)]:  # distributions sum to one, less what unknown words get
+        assert sum(p(c, x) for x in vocabulary) == pytest.approx(1, abs=0.01)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for bits in (1 << 16, 64):
+    for bits, head in ((1 << 16, 1 << 20), (64, 60), (1 << 16, 0)):
         monkeypatch.setattr(suffix_tree, "FILTER_BITS", bits)
-        assert sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree.fold_scores(docs).collect()) == want
-
-
-def test_automaton_equals_the_tree():
-    rng, k = np.random.default_rng(0), 6
-    texts = [[*rng.integers(1, k, rng.integers(0, 700)).tolist(), 0] for _ in range(20)]
-    sym = np.concatenate(texts).astype("<i2")
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    root = (np.bincount(sym, minlength=k) + 0.5) / (len(sym) + 0.5 * k)
-    levels, tree = [], []
-    for d in (1, 2, 3):
-        found = {}
-        for code, n in Counter(((suffix_tree.codes(sym, starts, d) << suffix_tree.SHIFT) | sym).tolist()).items():
-            found.setdefault(code >> suffix_tree.SHIFT, np.zeros(k, np.float32))[code & 4095] = n
-        found = {c: v for c, v in found.items() if v.sum() >= 40 and (d == 1 or c & ((1 << suffix_tree.SHIFT * (d - 1)) - 1) in tree[-1])}
-        tree.append(found)
-        levels.append(suffix_tree.Level(np.array(sorted(found)), np.array([found[c] for c in sorted(found)]).reshape(-1, k)))
-    model = suffix_tree.Automaton(root, levels, diverge=-1e9)
-
-    def probability(history, x):
-        p = root[x]
-        for d in range(1, 4):
-            code = 0
-            for y in history[-d:]:
-                code = code << suffix_tree.SHIFT | int(y)
-            v = tree[d - 1].get(code)
-            if v is None:
-                break
-            kinds = (v > 0).sum()
-            p = (v[x] + kinds * p) / (v.sum() + kinds)
-        return p
-
-    want = []
-    for t in texts:
-        h, s = [0, 0, 0], 0.0
-        for x in t:
-            s += math.log10(probability(h, x))
-            h = [*h[1:], x]
-        want.append(s)
-    assert model.score(sym, starts) == pytest.approx(want, rel=1e-5)
+        monkeypatch.setattr(suffix_tree, "HEAD", head)
+        held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+        got = suffix_tree.lm_scores(docs, held_out, depth=3) if head else suffix_tree.fold_scores(docs)
+        assert sorted((r.doc_id, round(r.score, 6)) for r in got.collect()) == (want if head else of_two)
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    """What the corpus holds twice is better known than what it holds once, however rare its words are."""
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("bcdfg") + f"{int(rng.paretovariate(0.6)) % 5000}" for _ in range(80))
+    once, twice = [text() for _ in range(200)], [text() for _ in range(20)] * 2
+    rows = [(i, t) for i, t in enumerate(once + twice)]
+    got = suffix_tree.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()
+    gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in got}
+    assert sum(gain[i] for i in range(200, 240)) / 40 > 1.3 * sum(gain[i] for i in range(200)) / 200
 
 
 def test_language_id(spark):
@@ -204,8 +225,57 @@ def test_language_id_of_odd_rows(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def plain_grams(text):
+    """The n-grams of a text, one for each place and one for each word of a letter."""
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not low:
+        return []
+    s = f" {' '.join(low)} "
+    return [s[i : i + 4] for i in range(len(s) - 3)] + [f" {w} alone" for w in low if len(w) == 1]
+
+
+def test_language_id_equals_plain_counts(spark):
+    """Predictions and scores against dictionaries of counts; the filter's false positives are all that may differ."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(10_000 + i, t, None) for i, t in enumerate(["a", "I!", "x!", "我", "à", "ab", " z ", "é 1", "", None, "12 !"])]
+    docs += [(20_000 + i, r[1], r[2]) for i, r in enumerate(documents())]
+    counts, sums = {}, Counter()
+    for i, t, lang in docs:
+        if t is not None and lang is not None and not out_of_fold(i, 3):
+            sums[lang] += len(t)
+            for g in plain_grams(t):
+                counts.setdefault(g, Counter())[lang] += 1
+    own = {}
+    for g, by in counts.items():
+        rate = {k: n / sums[k] for k, n in by.items() if n >= language_id.MIN_COUNT}
+        own[g] = {k for k, r in rate.items() if r >= max(rate.values()) * language_id.RATIO}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    got = {(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.identified(df).collect()}
+    model = language_id.fold_trained(df)
+    assert model[0] == sorted(sums)
+    assert ((model[1][:, 0, None] >> np.arange(len(sums))) & 1).mean(axis=0).max() < 0.4
+    near = 0
+    for i, t, _ in docs:
+        grams = plain_grams(t)
+        share = {k: sum(k in own.get(g, ()) for g in grams) / len(grams) if grams else 0.0 for k in sorted(sums)}
+        best = max(share, key=share.get) if grams else "und"
+        ((lang, score),) = {(k, v) for d, k, v in got if d == i}
+        assert (lang == "und") == (not grams)
+        near += lang == best and (not grams or abs(score - share[best]) < 0.03)
+    assert near >= 0.99 * len(docs)
+
+
+def test_a_filter_that_is_too_small_keeps_the_common_ngrams(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, table = language_id.train(docs, most=3000)
+    assert len(table) <= 8 * 4096 * 2
+    got = language_id.language_id(docs, (langs, table)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.95 * len(got)
+
+
 def test_ngrams_of_a_batch_are_those_of_its_texts():
-    texts = ["Ab c", None, "!!", "x", "hello wörld", "", "a\nb"]
+    texts = ["Ab c", None, "!!", "x", "hello wörld", "", "a\nb", "I"]
     h, at = language_id.ngrams(texts)
     for i, t in enumerate(texts):
         assert list(h[at[i] : at[i + 1]]) == list(language_id.ngrams([t])[0])
+        assert at[i + 1] - at[i] == len(plain_grams(t))
