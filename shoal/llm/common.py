@@ -39,6 +39,11 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one."""
+    return f"{scratch_root(spark)}/shoal/{name}-{uuid.uuid4().hex}"
+
+
 #: Frees a write's shuffle files when it has ended; what is written is all that later steps read.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -46,7 +51,7 @@ FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: shorter lineage that survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/shoal/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:

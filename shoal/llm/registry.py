@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from shoal.llm import decontamination, exact_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, sharding, suffix_tree, token_codes
-from shoal.llm.common import read, scratch_root
+from shoal.llm.common import read, scratch_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -23,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_line_dedup")
 def op1(spark, sf_dir):
-    return line_dedup.line_dedup(read(spark, sf_dir, "documents"), short=True)
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
 
 
 @query("op2_html_extraction")
@@ -40,7 +38,7 @@ def op3(spark, sf_dir):
 def op4(spark, sf_dir):
     import public_tokenizers
 
-    path = f"{scratch_root(spark)}/shoal/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     token_codes.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_codes.listed(spark, path)
 
@@ -50,9 +48,41 @@ def op5(spark, sf_dir):
     return suffix_tree.fold_scores(read(spark, sf_dir, "documents"))
 
 
-@query("op6_sharding")
+@query(
+    "op6_sharding",
+    """
+    with recursive crc as (
+        select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as crc
+    ),
+    d as (
+        select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint % 4096 as virtual_slot,
+               xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) as text_crc32
+        from documents, crc
+    ),
+    s as (
+        select virtual_slot, coalesce(sum(size), 0)::bigint as bytes, count(size) as n, row_number() over (order by coalesce(sum(size), 0) desc, virtual_slot) as place
+        from (select range as virtual_slot from range(4096)) left join d using (virtual_slot) group by virtual_slot
+    ),
+    deal as (
+        select 0::bigint as place, list_transform(range(16), lambda i: 0::bigint) as load, 0::bigint as virtual_slot, 0::bigint as shard
+        union all
+        select place, list_transform(load, lambda x, i: case when i = least then x + bytes else x end), virtual_slot, least - 1
+        from (select s.place, load, s.virtual_slot, bytes, list_position(load, list_min(load)) as least from deal join s on s.place = deal.place + 1)
+    ),
+    m as (
+        select virtual_slot, shard, bytes, n, coalesce(sum(n) over (partition by shard order by virtual_slot rows between unbounded preceding and 1 preceding), 0) as bef,
+               case when sum(bytes) over (partition by shard order by bytes desc, virtual_slot rows between unbounded preceding and current row)
+                         <= sum(bytes) over (partition by shard) - sum(bytes) over () / 17.0::double then 16 else shard end as next_shard
+        from deal join s using (virtual_slot, place) where place > 0
+    )
+    select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'bytes' as law, shard::int as shard,
+           (bef + row_number() over (partition by virtual_slot order by doc_id nulls first, size, text_crc32) - 1)::bigint as slot,
+           null::int as grown_shard, virtual_slot::int as virtual_slot, 1 as map_version, next_shard::int as next_shard
+    from d join m using (virtual_slot)
+    """,
+)
 def op6(spark, sf_dir):
-    return sharding.shard(read(spark, sf_dir, "documents"), shards=16)
+    return sharding.shard(read(spark, sf_dir, "documents"), scratch_path(spark, "slot-maps"), shards=16)
 
 
 @query(

@@ -2,12 +2,14 @@
 
 Ids hash into thousands of slots. Bytes are summed a slot, and a versioned map sends slots to shards: the
 first version deals the largest slots first to the shard that has least, later ones move only the slots that
-new shards need. Only the map, one row a slot, is ever handled as a whole; documents are never moved by it.
+new shards need. Versions are stored in a folder, each once, and loaded by number. Only the map, one row a slot, is
+ever handled as a whole; documents are never moved by it. Equal texts go by their ids like others: they needn't share a
+shard, so that a large group of copies can't fill one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.llm.common import saved, text_or_empty
@@ -17,7 +19,8 @@ SLOTS = 4096
 
 def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
     """A function of the id alone; null ids share the slot of the empty string."""
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -48,10 +51,25 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
     return dealt.select(F.lit(1).alias("version"), "virtual_slot", "shard", "bytes", "n")
 
 
+def stored(slot_map: DataFrame, maps: str) -> int:
+    """Stores a map of one version in the folder ``maps`` and gives its number; a version that is there is an error."""
+    version = slot_map.first()["version"]
+    slot_map.drop("version").coalesce(1).write.parquet(f"{maps}/version={version}")
+    return version
+
+
+def loaded(spark: SparkSession, maps: str, version: int | None = None) -> DataFrame:
+    """The map of a version that is stored in ``maps``, or the last one."""
+    every = spark.read.schema("virtual_slot int, shard int, bytes long, n long, version int").parquet(maps)
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == version).select("version", "virtual_slot", "shard", "bytes", "n")
+
+
 def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     """The next version for one shard more: each old shard gives its largest slots that fit in what it has above
     the new mean; every other slot stays. Sizes are taken anew from ``sizes``."""
-    now = slot_map.select("version", "virtual_slot", "shard").join(sizes, "virtual_slot")
+    now = slot_map.select("version", "virtual_slot", "shard").join(sizes.select("virtual_slot", "bytes", "n"), "virtual_slot")
     own, run = Window.partitionBy("shard"), Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     mean = F.sum("bytes").over(Window.partitionBy("version")) / F.lit(shards + 1)
     moved = F.sum("bytes").over(run) <= F.sum("bytes").over(own) - mean
@@ -62,7 +80,7 @@ def numbered(rows: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFram
     """``rows`` with shard and slot, the gapless place within the shard: a count within the virtual slot after the
     rows of the shard's slots before it. No task handles more than a virtual slot."""
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
-    places = slot_map.select("virtual_slot", "shard", "version", F.coalesce(before, F.lit(0)).alias("before"))
+    places = slot_map.withColumn("before", F.coalesce(before, F.lit(0))).drop("bytes", "n")
     own = Window.partitionBy("virtual_slot").orderBy(*order)
     return (
         rows.withColumn("own", F.row_number().over(own) - 1)
@@ -82,16 +100,21 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots:
     )
 
 
-def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version for every row.
+def shard(docs: DataFrame, maps: str, shards: int = 16, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version, next_shard for every row.
 
-    Law ``bytes``: shards get nearly equal sizes, as near as whole virtual slots allow. Null text has size 1 and
-    crc 0; null ids share one virtual slot; repeated rows lie side by side in one. Rows that tie on id, size and
-    crc are numbered in any order. An empty table gives no rows. Other columns, whatever their names, are not read.
+    Law ``bytes``: shards get nearly equal sizes, as near as whole virtual slots allow. Stores the map as version 1 in the
+    folder ``maps``, and as version 2 its edit for one shard more, where a row goes to ``next_shard``. Null text has size
+    1 and crc 0; null ids share one virtual slot; repeated rows lie side by side in one. Rows that tie on id, size and
+    crc are numbered in any order. Very long texts are rows like others. An empty table gives no rows. Other columns,
+    whatever their names, are not read.
     """
+    spark = docs.sparkSession
     rows = saved(measured(docs, doc_id, text, slots), "sizes")
-    slot_map = saved(first_map(slot_sizes(rows, slots), shards), "slot-map-v1")
-    return numbered(rows, slot_map, ["doc_id", "size", "text_crc32"]).select(
+    now = loaded(spark, maps, stored(first_map(slot_sizes(rows, slots), shards), maps))
+    grown = loaded(spark, maps, stored(rebalanced(now, now.select("virtual_slot", "bytes", "n"), shards), maps))
+    both = now.join(grown.select("virtual_slot", F.col("shard").alias("next_shard")), "virtual_slot")
+    return numbered(rows, both, ["doc_id", "size", "text_crc32"]).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -101,15 +124,17 @@ def shard(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str =
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.col("version").alias("map_version"),
+        "next_shard",
     )
 
 
-def assigned(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+def assigned(docs: DataFrame, maps: str, shards: int = 16, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """``docs``, all columns and rows, with shard, virtual_slot and map_version; columns of these names are replaced.
 
-    A row's shard follows from its id and the map, one row a slot, so that texts aren't shuffled.
+    A row's shard follows from its id and the map, one row a slot, so that texts aren't shuffled. The map is stored
+    as version 1 in the folder ``maps``. Nulls, repeats and empty tables as in ``shard``.
     """
     sizes = slot_sizes(measured(docs, doc_id, text, slots), slots)
-    slot_map = saved(first_map(sizes, shards), "slot-map-v1").select("virtual_slot", "shard", F.col("version").alias("map_version"))
+    slot_map = loaded(docs.sparkSession, maps, stored(first_map(sizes, shards), maps)).select("virtual_slot", "shard", F.col("version").alias("map_version"))
     plain = docs.drop("shard", "virtual_slot", "map_version").withColumn("virtual_slot", virtual_slot(F.col(doc_id), slots))
     return plain.join(F.broadcast(slot_map), "virtual_slot").select(*plain.columns[:-1], "shard", "virtual_slot", "map_version")

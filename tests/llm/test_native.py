@@ -3,13 +3,14 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import count, takewhile
 
 import pytest
 from fixtures import documents, empty, table, words
 
 from shoal.llm import decontamination, exact_dedup, mixing, sharding
+from shoal.llm.common import scratch_path
 
 
 def test_exact_dedup(spark):
@@ -36,25 +37,47 @@ def test_chunks_join_to_the_text(spark):
 
 
 def test_sharding_is_even_gapless_and_edited_in_place(spark):
-    rows = {(r.doc_id, r.size, r.text_crc32) for r in sharding.shard(table(spark)).collect()}
-    assert rows == {(r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in documents()}
+    maps = lambda: scratch_path(spark, "test-maps")
+    rows = Counter((r.doc_id, r.size, r.text_crc32) for r in sharding.shard(table(spark), maps()).collect())
+    assert rows == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in documents())
     many = spark.range(5000).selectExpr("id as doc_id", "repeat('a', cast(id % 97 as int)) as text", "'x' as shard")
-    got = sharding.shard(many, shards=8).collect()
+    at = maps()
+    got = sharding.shard(many, at, shards=8).collect()
     loads, slots = defaultdict(int), defaultdict(list)
     for r in got:
         loads[r.shard] += r.size
         slots[r.shard].append(r.slot)
     assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 200
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    sizes = sharding.slot_sizes(sharding.measured(many))
-    old = {r.virtual_slot: r.shard for r in sharding.first_map(sizes, 8).collect()}
-    new = sharding.rebalanced(sharding.first_map(sizes, 8), sizes, 8).collect()
-    assert all(r.version == 2 and r.shard in (old[r.virtual_slot], 8) for r in new)
-    moved = sum(r.bytes for r in new if r.shard == 8)
-    assert 0.9 * sum(loads.values()) / 9 < moved <= sum(loads.values()) / 9
-    assert sharding.shard(empty(spark)).count() == 0
-    whole = sharding.assigned(table(spark), 4)
+    # The plain version: largest slots first to the least shard, then of each shard the largest that are above the mean.
+    slot = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % sharding.SLOTS
+    sizes = dict.fromkeys(range(sharding.SLOTS), 0)
+    for i in range(5000):
+        sizes[slot(i)] += i % 97 + 1
+    load, first = [0] * 8, {}
+    for v in sorted(sizes, key=lambda v: (-sizes[v], v)):
+        first[v] = load.index(min(load))
+        load[first[v]] += sizes[v]
+    second, total = dict(first), sum(load)
+    for s in range(8):
+        moved = 0
+        for v in sorted((v for v in first if first[v] == s), key=lambda v: (-sizes[v], v)):
+            moved += sizes[v]
+            if moved <= load[s] - total / 9:
+                second[v] = 8
+    assert {(r.doc_id, r.virtual_slot, r.shard, r.next_shard) for r in got} == {(i, slot(i), first[slot(i)], second[slot(i)]) for i in range(5000)}
+    for version, want in ((1, first), (2, second), (None, second)):
+        assert {r.virtual_slot: r.shard for r in sharding.loaded(spark, at, version).collect()} == want
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        sharding.stored(sharding.loaded(spark, at, 1), at)
+    third = sharding.rebalanced(sharding.loaded(spark, at), sharding.loaded(spark, at), 9).collect()
+    assert all(r.version == 3 and r.shard in (second[r.virtual_slot], 9) for r in third)
+    moved = sum(r.bytes for r in third if r.shard == 9)
+    assert 0.8 * total / 10 < moved <= total / 10
+    assert sharding.shard(empty(spark), maps()).count() == 0
+    whole = sharding.assigned(table(spark), maps(), 4)
     assert whole.count() == len(documents()) and whole.schema["shard"].dataType.simpleString() == "int" and len(set(whole.columns)) == len(whole.columns)
+    assert sharding.assigned(empty(spark), maps()).count() == 0
 
 
 def water(sizes, weights, total, most):
