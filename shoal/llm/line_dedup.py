@@ -3,12 +3,13 @@
 Lines of an edit distance up to ``edits`` share, whole and hardly moved, one of any edits + 1 segments of the shorter
 line. Each distinct line gives its own segments to an index and, for every shorter length that a partner may have,
 the few substrings that such a partner's segments can lie in; both are hashes with length and segment number, and meet
-in one hash join. Candidates are verified by a bit-parallel edit distance over the band of 2 * edits + 1 diagonals,
-for many pairs at once. Verified links' components are the classes; the first line of a class stays.
+in one hash join. With each goes a sketch of the line's characters, of which an edit changes few bits: lines that share
+a segment but differ in more elsewhere, like the members of a large family of near copies, are told apart inside the
+join and make no row. What is left is verified by a bit-parallel edit distance over the band of 2 * edits + 1
+diagonals, for many pairs at once. Verified links' components are the classes; the first line of a class stays.
 
-With ``short``, lines under ``least`` characters are compared too, with as many edits to a character as a line of
-``least`` has: two edits in two words of three letters would make one class of all of them. Equal lines of any length
-but none are one class.
+Lines of all lengths are compared: equal ones always, and from ``least`` characters on with ``edits`` edits, below with
+as many edits to a character, as two edits in two words of three letters would make one class of all of them.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import among, saved, ship, slices
-from shoal.llm.ngram_join import components, ends
+from shoal.llm.common import among, fresh, released, saved, ship, slices
+from shoal.llm.ngram_join import components
 
-#: The edits of a pair whose shorter line has LEAST_CHARS or more; below it there are fewer, or the lines stay.
+#: The edits of a pair whose shorter line has LEAST_CHARS or more; below it there are fewer in proportion.
 EDITS, LEAST_CHARS = 2, 30
 #: Distinct lines that a task remembers in order not to repeat their rows; beyond it, repeats are only dropped later.
 MEMORY = 500_000
+#: Bits of a sketch for single characters and for pairs of them; an edit changes at most 2 and 4 of these.
+ONES, TWOS = 24, 40
+#: Characters of the lines that are verified at once, and of a line that is followed by its diagonals instead.
+CELLS, LONG = 2_000_000, 2_000
 
 
 def key(line: str) -> tuple[int, int]:
@@ -62,32 +67,52 @@ def probe_places(length: int, shorter: int, edits: int) -> list[tuple[int, int,
     return out
 
 
-_PLANS: dict[tuple[int, int, int, bool], list] = {}
+_PLANS: dict[tuple[int, int, int], list] = {}
 
 
-def allowed(length: int, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> int:
+def allowed(length: int, edits: int = EDITS, least: int = LEAST_CHARS) -> int:
     """The most edits between a line of so many characters and one that is not shorter."""
-    return edits if length >= least else edits * length // least if short else 0
+    return min(edits, edits * length // least)
 
 
-def signatures(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> list[int]:
+def signatures(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS) -> list[int]:
     """The hashes that a line puts in the index, or those that it looks up there."""
     n = len(line)
-    plan = _PLANS.get((n, edits, least, short))
+    plan = _PLANS.get((n, edits, least))
     if plan is None:
-        most = allowed(n, edits, least, short)
+        most = allowed(n, edits, least)
         own = [(i << 24 | n, at, size) for i, (at, size) in enumerate(segments(n, most))] if most else []
         look = []
         for m in range(max(1, n - edits), n + 1):
-            most = allowed(m, edits, least, short)
+            most = allowed(m, edits, least)
             if most and n - m <= most:
                 look += [(i << 24 | m, at, size) for i, at, size in probe_places(n, m, most)]
-        plan = _PLANS[n, edits, least, short] = [[(tag, 4 * at, 4 * (at + size)) for tag, at, size in x] for x in (own, look)]
+        plan = _PLANS[n, edits, least] = [[(tag, 4 * at, 4 * (at + size)) for tag, at, size in x] for x in (own, look)]
     data = line.encode("utf-32-le", "surrogatepass")
     h = xxhash.xxh3_64_intdigest
     return [h(data[s:e], tag) for tag, s, e in plan[probe]]
 
 
+def sketches(lines: list[str]) -> np.ndarray:
+    """64 bits a line: whether each class of characters, and of pairs of neighbours, occurs an odd number of times."""
+    n = np.array([len(x) for x in lines], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(lines)), n)
+    with np.errstate(over="ignore"):
+        one = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(ONES)
+        two = (((codes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ codes[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(TWOS)
+    pair = of[:-1] == of[1:]
+    spots = np.concatenate((of * 64 + one.astype(np.int64), (of[:-1] * 64 + ONES + two.astype(np.int64))[pair]))
+    odd = (np.bincount(spots, minlength=64 * len(lines)) & 1).astype(np.uint8).reshape(-1, 64)
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def alike(a: Column, b: Column, edits: int) -> Column:
+    """Whether two sketches allow for so many edits."""
+    differ = a.bitwiseXOR(b)
+    return (F.bit_count(differ.bitwiseAND(F.lit((1 << ONES) - 1))) <= 2 * edits) & (F.bit_count(F.shiftrightunsigned(differ, ONES)) <= 4 * edits)
+
+
 def within_edits(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     """Whether each pair's edit distance is at most ``edits``: Hyyro's bit vectors, cut to the band, for all pairs at once.
 
@@ -99,8 +124,8 @@ def within_edits(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     w = 2 * edits + 1
     full, top = np.uint64((1 << w) - 1), np.uint64(1 << (w - 1))
-    rows = np.full((len(pairs), int(m.max(initial=0)) + 2 * edits + 1), -1, np.int64)
-    cols = np.full((len(pairs), int(n.max(initial=0)) + 1), -2, np.int64)
+    rows = np.full((len(pairs), int(m.max(initial=0)) + 2 * edits + 1), 0xFFFFFFFF, np.uint32)  # no characters
+    cols = np.full((len(pairs), int(n.max(initial=0)) + 1), 0xFFFFFFFE, np.uint32)
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         rows[i, edits : edits + len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")
         cols[i, : len(y)] = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -128,127 +153,200 @@ def within_edits(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     return (dist <= edits) & (m - n <= edits)
 
 
-def _lines(least: int):
-    """doc_id, line_no, k1, k2 of the lines that are compared; ``with_text`` adds the line."""
+def followed(a: str, b: str, edits: int) -> bool:
+    """The same for one pair of long lines: how far each diagonal of the band gets with 0, 1, ... edits."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in (a, b))
+
+    def equal_from(i: int, j: int) -> int:
+        """The end in ``x`` of what ``x`` from i and ``y`` from j have in common."""
+        step = 64
+        while i < len(x) and j < len(y):
+            n = min(step, len(x) - i, len(y) - j)
+            other = np.flatnonzero(x[i : i + n] != y[j : j + n])
+            if len(other):
+                return i + int(other[0])
+            i, j, step = i + n, j + n, min(step * 4, 1 << 20)
+        return i
+
+    goal = len(x) - len(y)  # the diagonal on which both end
+    reach = {0: equal_from(0, 0)}
+    for e in range(edits + 1):
+        if reach.get(goal, -1) >= len(x):
+            return True
+        further = {}
+        for d in range(-e - 1, e + 2):  # by a changed, a dropped or an added character
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2))
+            i = min(i, len(x), len(y) + d)
+            if i >= max(0, d):
+                further[d] = equal_from(i, i - d)
+        reach = further
+    return False
+
+
+def near(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
+    """``within_edits`` with bounded memory: pairs of like length together, long ones alone."""
+    size = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
+    out, order = np.zeros(len(pairs), bool), np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order) and size[order[at]] <= LONG:
+        end = at + 1
+        while end < len(order) and size[order[end]] <= LONG and (end + 1 - at) * size[order[end]] <= CELLS:
+            end += 1
+        out[order[at:end]] = within_edits([pairs[i] for i in order[at:end]], edits)
+        at = end
+    for i in order[at:]:
+        out[i] = followed(*pairs[i], edits)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, "text"):
-                docs, nos, k1, k2 = [], [], [], []
-                for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    for no, line in enumerate((t or "").split("\n")):
-                        if len(line) >= least:
-                            x, y = key(line)
-                            docs.append(d)
-                            nos.append(no)
-                            k1.append(x)
-                            k2.append(y)
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["doc_id", "line_no", "k1", "k2"])
 
-    return run
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers and keys of all lines that have characters."""
+    for b in batches:
+        for part in slices(b, "text"):
+            of, nos, keys = [], [], []
+            for i, t in enumerate(part["text"].to_pylist()):
+                for no, line in enumerate((t or "").split("\n")):
+                    if line:
+                        of.append(i)
+                        nos.append(no)
+                        keys.append(key(line))
+            k = np.array(keys, np.int64).reshape(-1, 2)
+            own = [part[c].take(pa.array(of, pa.int64())) for c in ("anon", "doc", "th")]
+            yield pa.record_batch([*own, pa.array(nos, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["anon", "doc", "th", "line_no", "k1", "k2"])
 
 
-def _signature_rows(probe: bool, name: str, edits: int, least: int, short: bool):
+def _signature_rows(probe: bool, name: str, edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for part in slices(b, "text"):
-                sigs, keys = [], []
+                sigs, keys, lines, n = [], [], [], []
                 for t in part["text"].to_pylist():
                     for line in (t or "").split("\n"):
-                        if not allowed(len(line), edits, least, short):
+                        if not allowed(len(line), edits, least):
                             continue
                         k = key(line)[0]
                         if k in seen:
                             continue
                         if len(seen) < MEMORY:
                             seen.add(k)
-                        own = signatures(line, probe, edits, least, short)
+                        own = signatures(line, probe, edits, least)
                         sigs += own
-                        keys += [k] * len(own)
-                yield pa.record_batch([pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.array(keys, np.int64))], names=["sig", name])
+                        keys.append(k)
+                        lines.append(line)
+                        n.append(len(own))
+                if lines:
+                    yield pa.record_batch(
+                        [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(np.repeat(sketches(lines), n))], names=["sig", name, f"sketch_{name}"]
+                    )
 
     return run
 
 
-def _texts(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, "text"):
-                lines = list({ln for t in part["text"].to_pylist() for ln in (t or "").split("\n") if len(ln) >= least})
-                yield pa.record_batch([pa.array([key(ln)[0] for ln in lines], pa.int64()), pa.array(lines, pa.string())], names=["k1", "line"])
-
-    return run
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in slices(b, "text"):
+            lines = list({ln for t in part["text"].to_pylist() for ln in (t or "").split("\n") if ln})
+            k = np.array([key(ln) for ln in lines], np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lines, pa.string())], names=["k1", "k2", "line"])
 
 
-def _verified(edits: int, least: int, short: bool):
+def _verified(edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # Of like length together, so that the columns are walked for few pairs in vain.
-            a, c = b["line_a"].to_pylist(), b["line_b"].to_pylist()
-            order = sorted(range(b.num_rows), key=lambda i: len(a[i]))
-            most = {i: allowed(min(len(a[i]), len(c[i])), edits, least, short) for i in order}
-            for own in set(most.values()):
-                alike = [i for i in order if most[i] == own]
-                for i in range(0, len(alike), 1000):
-                    part = alike[i : i + 1000]
-                    ok = within_edits([(a[j], c[j]) for j in part], own)
-                    keep = pa.array([j for j, good in zip(part, ok, strict=True) if good], pa.int64())
-                    yield pa.record_batch([b["a"].take(keep), b["b"].take(keep)], names=["a", "b"])
+            for part in slices(b, "line_a", "line_b", rows=4096, size=8_000_000):
+                pairs = list(zip(part["line_a"].to_pylist(), part["line_b"].to_pylist(), strict=True))
+                most = np.array([allowed(min(map(len, p)), edits, least) for p in pairs])
+                ok = np.zeros(len(pairs), bool)
+                for own in np.unique(most[most > 0]):
+                    which = np.flatnonzero(most == own)
+                    ok[which] = near([pairs[i] for i in which], int(own))
+                names = ["a1", "a2", "b1", "b2"]
+                yield pa.record_batch([part[c].filter(pa.array(ok)) for c in names], names=names)
 
     return run
 
 
-def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
+def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(a, b): keys of different lines within the edits that the shorter one is allowed."""
-    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least, short), f"sig long, {name} long").repartition("sig").dropDuplicates()
-    pairs = side(False, "x").join(side(True, "y"), "sig").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long").repartition("sig").dropDuplicates()
+    met = (F.col("x") != F.col("y")) & alike(F.col("sketch_x"), F.col("sketch_y"), edits)
+    x, y = side(False, "x"), side(True, "y").withColumnRenamed("sig", "asked")
+    pairs = x.join(y, (F.col("sig") == F.col("asked")) & met).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     pairs = saved(pairs.distinct(), "line-pairs")
-    wanted = saved(ends(pairs).withColumnRenamed("doc_id", "k1"), "line-candidates")
-    texts = among(docs.select("text").mapInArrow(_texts(1 if short else least), "k1 long, line string"), wanted, "k1").dropDuplicates(["k1"])
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-candidates")
+    texts = among(docs.select("text").mapInArrow(_texts, "k1 long, k2 long, line string"), wanted, "k1").dropDuplicates(["k1", "k2"])
     texts = saved(texts, "line-texts")
-    one, two = texts.select(F.col("k1").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("k1").alias("b"), F.col("line").alias("line_b"))
-    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verified(edits, least, short), "a long, b long"), "line-links")
+    one, two = (texts.select(F.col("k1").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("line").alias(f"line_{x}")) for x in "ab")
+    links = pairs.join(one, "a").join(two, "b").select("a1", "a2", "b1", "b2", "line_a", "line_b").mapInArrow(_verified(edits, least), "a1 long, a2 long, b1 long, b2 long")
+    links = saved(links.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b")), "line-links")
+    released(pairs, wanted, texts)
+    return links
+
+
+KIND = ["anon", "doc", "th"]
+
+
+def kind_of(doc_id: str, text: str) -> list[Column]:
+    """What tells rows apart, without nulls: a null id, the id, and the text's hash."""
+    return [F.col(doc_id).isNull().alias("anon"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc"), F.xxhash64(F.col(text)).alias("th")]
 
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
-    """doc_id, line_no, near for the lines to drop: all of a class but its first by document and line. ``near``: the
-    line's own text isn't that of an earlier line."""
+def kind_decisions(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """anon, doc, th, n_lines, copies, dropped, n_near, lines: one row for each different (id, text).
+
+    ``dropped`` holds for one of the equal rows, and the others lose all ``lines`` that have characters.
+    """
     ship(docs.sparkSession)
-    docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = saved(docs.mapInArrow(_lines(1 if short else least), "doc_id long, line_no int, k1 long, k2 long"), "lines")
-    place = F.struct("doc_id", "line_no")
+    n_lines = F.greatest(F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)), F.lit(0)).alias("n_lines")
+    docs = docs.select(*kind_of(doc_id, text), F.col(text).alias("text"), n_lines)
+    kinds = saved(docs.groupBy(*KIND).agg(F.count(F.lit(1)).alias("copies"), F.first("n_lines").alias("n_lines")), "line-rows")
+    lines = saved(docs.select(*KIND, "text").mapInArrow(_lines, "anon boolean, doc long, th long, line_no int, k1 long, k2 long"), "lines")
+    place = F.struct(*KIND, "line_no")
     equal = saved(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "equal-lines")
-    group = components(near_links(docs, edits, least, short), "line-classes")
-    roots = group.select(F.col("root").alias("node"), "root").distinct()
-    group = group.unionByName(roots).withColumnRenamed("node", "k1")
-    equal = equal.join(group, "k1", "left")
+    group = components(near_links(docs, edits, least), "line-classes")
+    group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).select("root", "node.k1", "node.k2")
+    equal = equal.join(group, ["k1", "k2"], "left")
     heads = equal.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
     classed = equal.where("root is not null or n > 1").join(heads, "root", "left").select("k1", "k2", "first", F.coalesce("head", "first").alias("head"))
     classed = saved(classed, "classed-lines")
-    found = lines.join(classed, ["k1", "k2"]).where(place != F.col("head"))
-    return found.select("doc_id", "line_no", (place == F.col("first")).alias("near"))
+    found = lines.join(classed, ["k1", "k2"]).where(place != F.col("head")).select(*KIND, "line_no", (place == F.col("first")).alias("near"))
+    found = found.groupBy(*KIND).agg(F.collect_set(F.struct("line_no", "near")).alias("d"))  # a document's own lines
+    again = saved(kinds.where("copies > 1").select(*KIND), "repeated-rows")
+    every = lines.join(again, KIND).groupBy(*KIND).agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    none = F.array().cast("array<int>")
+    out = kinds.join(found, KIND, "left").join(every, KIND, "left")
+    out = out.select(*KIND, "n_lines", "copies", F.coalesce(F.array_sort(F.col("d.line_no")), none).alias("dropped"), F.coalesce(F.size(F.filter("d", lambda x: x["near"])), F.lit(0)).alias("n_near"), F.coalesce("lines", none).alias("lines"))
+    return out.withColumn("n_near", F.greatest("n_near", F.lit(0)))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near, dropped (line numbers from 0) for every row.
 
-    Lines are cut at line feeds. Null text has no lines, an empty text one. Lines of fewer than ``least`` characters
-    stay, unless ``short``: then only lines without characters do. Rows with a null id are compared with nothing; rows that repeat an id share what is dropped under it. An
-    empty table gives no rows. Other columns, whatever their names, are not read. Integer ids only.
+    Lines are cut at line feeds; lines without characters stay. Null text has no lines, an empty text one. Every row
+    is judged by itself, also where ids repeat or are null: lines go by id, rows without one last, then by text and
+    number, and of equal rows one comes first. ``n_near`` counts the dropped lines that aren't equal to a kept or an
+    earlier one. Very long lines are compared like others. An empty table gives no rows. Other columns, whatever
+    their names, are not read. Integer ids only.
     """
-    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0)).alias("n_lines"))
-    every = every.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    drop = line_decisions(docs, edits, least, doc_id, text, short).distinct().groupBy("doc_id")
-    drop = drop.agg(F.array_sort(F.collect_list("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))  # a document's own lines
-    out = every.join(drop, "doc_id", "left")
-    none = F.array().cast("array<int>")
-    return out.select("doc_id", "n_lines", F.size(F.coalesce("dropped", none)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
-
-
-def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
-    """``docs``, all columns, with the dropped lines taken out of ``text``."""
-    drop = line_dedup(docs, edits, least, short=short).where("n_dropped > 0").select(F.col("doc_id").alias("_drop_id"), F.col("dropped").alias("_drop_lines")).dropDuplicates(["_drop_id"])
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_drop_lines"), i)), "\n")
-    joined = docs.join(drop, F.col("doc_id") == F.col("_drop_id"), "left")
-    return joined.withColumn("text", F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
+    got = kind_decisions(docs, edits, least, doc_id, text)
+    row = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("row")
+    first = F.col("row") == 1
+    out = got.select("*", row).select(
+        F.when(~F.col("anon"), F.col("doc")).alias("doc_id"), "n_lines", F.when(first, F.col("dropped")).otherwise(F.col("lines")).alias("dropped"), F.when(first, F.col("n_near")).otherwise(F.lit(0)).alias("n_near")
+    )
+    return out.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "n_near", "dropped")
+
+
+def deduplicated(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns and rows, with the dropped lines taken out of ``text``; null texts stay null."""
+    row, kind, own = fresh(docs, "row", "kind", "own")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")  # written, so numbers stay
+    got = kind_decisions(rows, edits, least, doc_id, text).where("size(dropped) > 0 or copies > 1")
+    firsts = rows.groupBy(*kind_of(doc_id, text)).agg(F.min(row).alias("first"))
+    got = got.join(firsts, KIND).select(F.struct(*KIND).alias(kind), F.struct("first", "dropped", "lines").alias(own))
+    got = saved(got, "line-decisions")
+    gone = F.when(F.col(own)["first"] == F.col(row), F.col(own)["dropped"]).otherwise(F.col(own)["lines"])
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    joined = among(rows.withColumn(kind, F.struct(*kind_of(doc_id, text))), got, kind, "left")
+    return joined.withColumn(text, F.when(F.col(own).isNull(), F.col(text)).otherwise(kept)).select(docs.columns)

@@ -99,44 +99,68 @@ def test_banded_distance_and_signatures(edits):
             assert set(line_dedup.signatures(short, False, edits, 12)) & set(line_dedup.signatures(long, True, edits, 12))
 
 
-def test_line_dedup(spark):
-    rng = random.Random(9)
-    base = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(26, 60))) for _ in range(25)]
-    rows = [(i, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) for _ in range(rng.randrange(5)))) for i in range(60)]
-    rows += [(900, None), (901, ""), (902, "\n\n"), (None, base[0])]
-    lines = [(d, n, x) for d, t in rows if d is not None and t is not None for n, x in enumerate(t.split("\n")) if len(x) >= 30]
+def test_distance_of_long_lines_follows_diagonals():
+    rng = random.Random(2)
+    for _ in range(400):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(30)))
+        b = changed(rng, a, rng.randrange(5))
+        for edits in (1, 2, 3):
+            assert line_dedup.followed(a, b, edits) == (distance(a, b) <= edits), (a, b, edits)
+    a = "".join(rng.choice("abcd ") for _ in range(1_000_000))
+    far = "x" + a[1:500_000] + a[500_001:]
+    assert list(line_dedup.near([(a, far), (a, "y" + far[:-1]), ("", "a"), ("ab" * 40, "ab" * 39 + "b")], 2)) == [True, False, True, True]
+
+
+def test_sketches_allow_for_every_near_pair():
+    rng = random.Random(8)
+    for _ in range(500):
+        a = "".join(rng.choice("abcdefgh éß") for _ in range(rng.randrange(15, 60)))
+        x, y = line_dedup.sketches([a, changed(rng, a, 2)])
+        differ = int(x ^ y) & (2**64 - 1)
+        assert (differ & (2**24 - 1)).bit_count() <= 4 and (differ >> 24).bit_count() <= 8
+
+
+def brute_lines(rows, th):
+    """What each row loses, as a multiset of (id, lines, dropped), by comparing all lines with all."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, th[rows[i][1]]))
+    lines = [(i, n, x) for i in order if rows[i][1] for n, x in enumerate(rows[i][1].split("\n")) if x]
     texts = sorted({x for _, _, x in lines})
-    root = rooted(range(len(texts)), [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2])
-    at, first, want = {x: root[i] for i, x in enumerate(texts)}, {}, {d: (0 if t is None else t.count("\n") + 1, []) for d, t in rows}
-    for d, n, x in sorted(lines):
-        if first.setdefault(at[x], (d, n)) != (d, n):
-            want[d][1].append(n)
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dropped string").repartition(3)
-    got = line_dedup.line_dedup(df).collect()
-    assert {r.doc_id: (r.n_lines, list(r.dropped)) for r in got} == want and sum(r.n_near for r in got) > 0
-    out = {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}
-    for d, t in rows:
-        assert out[d] == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[d][1]))
-    assert line_dedup.line_dedup(empty(spark)).count() == 0
+    near = lambda a, b: distance(a, b) <= min(2, min(len(a), len(b)) // 15)
+    root = rooted(range(len(texts)), [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if abs(len(a) - len(b)) <= 2 and near(a, b)])
+    at, first, gone = {x: root[i] for i, x in enumerate(texts)}, {}, {}
+    for i, n, x in lines:
+        if first.setdefault(at[x], (i, n)) != (i, n):
+            gone.setdefault(i, []).append(n)
+    return [(d, 0 if t is None else t.count("\n") + 1, tuple(gone.get(i, ()))) for i, (d, t) in enumerate(rows)]
 
 
-def test_line_dedup_of_short_lines(spark, tmp_path):
-    """The query compares lines of all lengths, with an edit for each 15 characters up to two."""
+def test_line_dedup(spark, tmp_path):
+    """Lines of 1 to 60 characters, repeated and null ids, equal rows, one long line twice; through the query."""
+    from pyspark.sql import functions as F
+
     from shoal.llm import registry
 
-    rng = random.Random(4)
-    base = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in [1, 2, 3, 5, 8, 13, 14, 15, 16, 17, 20, 25, 28, 29, 30, 31, 45] * 2] + ["Les."]
-    rows = [(i, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(1, 7)))) for i in range(80)]
-    rows += [(900, None), (901, ""), (902, "\n\nLes.\n"), (903, "Les.\nLes."), (None, base[0])]
-    lines = [(d, n, x) for d, t in rows if d is not None and t is not None for n, x in enumerate(t.split("\n")) if x]
-    texts = sorted({x for _, _, x in lines})
-    near = lambda a, b: distance(a, b) <= min(2, min(len(a), len(b)) // 15)
-    root = rooted(range(len(texts)), [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if near(a, b)])
-    at, first, want = {x: root[i] for i, x in enumerate(texts)}, {}, {d: (0 if t is None else t.count("\n") + 1, []) for d, t in rows}
-    for d, n, x in sorted(lines):
-        if first.setdefault(at[x], (d, n)) != (d, n):
-            want[d][1].append(n)
-    assert want[903][1] == [0, 1] and any(len(x) < 30 and root[i] != i for i, x in enumerate(texts))
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in [*range(1, 32), 45, 60] * 2]
+    rows = [(rng.randrange(60), "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) for _ in range(rng.randrange(6)))) for _ in range(90)]
+    rows += [(900, None), (901, ""), (902, "\n\nLes.\n"), (903, "Les.\nLes."), (None, base[0] + "\n" + base[40]), (None, base[0] + "\n" + base[40]), rows[0], rows[0], (2, "boilerplate line of some length here"), (2, "a line that only this row has, and it stays")]
+    schema = "doc_id long, text string, dropped string, th string"
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], schema).repartition(3)
+    th = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = brute_lines(rows, th)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()
-    assert {r.doc_id: (r.n_lines, list(r.dropped)) for r in got} == want
+    assert sorted(map(str, ((r.doc_id, r.n_lines, tuple(r.dropped)) for r in got))) == sorted(map(str, want))
+    assert sum(r.n_near for r in got) > 0 and all(r.n_dropped == len(r.dropped) for r in got)
+    out = [(r.doc_id, r.text) for r in line_dedup.deduplicated(df).collect()]
+    kept = [(d, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)) for (d, t), (_, _, gone) in zip(rows, want, strict=True)]
+    assert sorted(map(str, out)) == sorted(map(str, kept)) and line_dedup.deduplicated(df).columns == df.columns
+    assert line_dedup.line_dedup(empty(spark)).count() == 0 and line_dedup.deduplicated(empty(spark)).count() == 0
+
+
+def test_line_dedup_of_a_long_line(spark):
+    rng = random.Random(1)
+    a = "".join(rng.choice("abcd ") for _ in range(1_000_000))
+    rows = [(1, a), (2, "x" + a[:-1]), (3, a[:600_000]), (4, "one\n" + a + "x")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.dropped) for r in got} == {1: [], 2: [0], 3: [], 4: [1]}
