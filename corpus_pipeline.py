@@ -1,7 +1,8 @@
 """From raw documents to shards: language ID, near-duplicate removal, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents. Rows without an id pass every stage that decides by id.
+docs. All but the last return the columns of documents. Every row is judged by itself, by a key made of all its
+columns: rows that repeat an id or have none are judged like others, and equal rows are one document.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm import decontamination, language_id, mixing, ngram_join, sharding
-from shoal.llm.common import among, read, saved
+from shoal.llm.common import among, fresh, read, saved, scratch_path
 
 #: Texts whose n-grams no learned language has to this part aren't in any of them.
 LEAST_SCORE = 0.3
@@ -19,21 +20,39 @@ WIDTH, NUM, DEN = 5, 80, 100
 SHARDS = 16
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` less the rows of the ids, which are saved and broadcast if few."""
-    return among(docs, saved(ids.where("doc_id is not null").select("doc_id").distinct(), name), "doc_id", "left_anti")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of 64 bits for each different row, and that column's name."""
+    (key,) = fresh(docs, "key")
+    return docs.withColumn(key, F.xxhash64(*docs.columns)), key
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` without those that repeat another; only repeated ones are shuffled, after one of each task."""
+    again = saved(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated-rows")
+    if again.isEmpty():
+        return rows
+    return among(rows, again, key, "left_anti").unionByName(among(rows, again, key).dropDuplicates([key]))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the languages that the labelled documents show, go."""
-    got = language_id.language_id(docs, language_id.train(docs))
-    return without(docs, got.where((F.col("lang_pred") == language_id.UND) | (F.col("score") < LEAST_SCORE)), "rejected")
+    rows, key = keyed(docs)
+    got = language_id.language_id(rows, language_id.train(docs), doc_id=key)
+    bad = got.where((F.col("lang_pred") == language_id.UND) | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias(key))
+    return among(rows, saved(bad.distinct(), "rejected"), key, "left_anti").drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id stays of each component of near duplicates."""
-    got = ngram_join.ngram_join(docs, WIDTH, NUM, DEN)
-    return without(docs, got.where("doc_id <> component_id"), "near-duplicates")
+    """The document of the least id stays of each component of near duplicates, and equal rows stay once."""
+    rows, key = keyed(docs)
+    got = ngram_join.ngram_join(rows, WIDTH, NUM, DEN, doc_id=key).select(F.col("doc_id").alias(key), "component_id").distinct()
+    got = saved(got, "row-components")
+    groups = saved(got.where(F.col(key) != F.col("component_id")).select("component_id").distinct(), "near-groups")
+    members = among(got, groups, "component_id").join(rows.select(key, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key).alias("place")), key)
+    members = saved(members.select(key, "component_id", "place"), "near-members")
+    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = members.join(first, "component_id").where(F.col("place") != F.col("first")).select(key).distinct()
+    return once(among(rows, saved(gone, "near-duplicates"), key, "left_anti"), key).drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +62,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; of the one a source is cut in, the nearest number of times."""
-    got = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias("_times"))
-    got = saved(got.where("doc_id is not null").groupBy("doc_id").agg(F.max("_times").alias("_times")), "mix-times")
-    every = docs.where("doc_id is null")
-    taken = among(docs, got.where("_times > 0"), "doc_id", "inner").where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return taken.select(docs.columns).unionByName(every)
+    rows, key = keyed(docs)
+    times, copy = fresh(rows, "times", "copy")
+    got = mixing.mix(rows, doc_id=key)
+    each = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0)
+    got = saved(got.groupBy(F.col("doc_id").alias(key)).agg(F.sum(each).cast("int").alias(times)).where(F.col(times) > 0), "mix-times")
+    taken = among(once(rows, key), got, key, "inner").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return taken.select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard, virtual slot and the version of the map."""
-    return sharding.assigned(docs, SHARDS)
+    return sharding.assigned(docs, scratch_path(spark, "slot-maps"), SHARDS)
 
 
 STAGES = [("language_id", language), ("ngram_join", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
