@@ -9,6 +9,7 @@ from shoal.functions.validate import clamp
 
 #: White space that the wider trim takes off: Unicode's space separators, line ends and the byte order mark.
 WIDE_SPACE = r"[\x09-\x0D\x20   -     　﻿]"
+#: How a program announces its directory.
 OSC7_HINT = "\x1b]7;"
 OSC7 = r"\x1b\]7;file://[^/]*([^\x07\x1b]*)(?:\x07|\x1b\\)"
 
@@ -19,6 +20,11 @@ def clean_title(c: Column, most: int = 512) -> Column:
 
 
 def shown_title(c: Column, most: int = 120) -> Column:
+    return capped(c, most)
+
+
+def capped(c: Column, most: int) -> Column:
+    """The first characters; null is empty."""
     return F.substring(F.coalesce(c, F.lit("")), 1, most)
 
 

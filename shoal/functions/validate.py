@@ -11,10 +11,23 @@ UUID_V4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}
 SAFE_SCHEMES = ("https", "http", "mailto")
 LOCAL_PREFIXES = ("file://", "devtools://", "data:")
 INVOKE_CHANNELS = (
-    "pty:create pty:write pty:resize pty:kill pty:cwd pty:title settings:get settings:set shell:openExternal "
-    "clipboard:read clipboard:write app:info window:minimize window:toggleMaximize window:close"
-).split()
-EVENT_CHANNELS = "pty:data pty:exit pty:cwd menu:action theme:changed settings:changed".split()
+    "pty:create",
+    "pty:write",
+    "pty:resize",
+    "pty:kill",
+    "pty:cwd",
+    "pty:title",
+    "settings:get",
+    "settings:set",
+    "shell:openExternal",
+    "clipboard:read",
+    "clipboard:write",
+    "app:info",
+    "window:minimize",
+    "window:toggleMaximize",
+    "window:close",
+)
+EVENT_CHANNELS = ("pty:data", "pty:exit", "pty:cwd", "menu:action", "theme:changed", "settings:changed")
 
 
 def holds(c: Column) -> Column:

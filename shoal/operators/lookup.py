@@ -40,10 +40,23 @@ def resolved(df: DataFrame, table: DataFrame, wanted: str, key: str, fallback: s
     return joined.withColumn("resolved", F.coalesce("_name", fallback)).drop("_name")
 
 
+#: Characters of a key that lead to the words which may hold it.
+GRAM = 3
+
+
 def unread_keys(keys: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """Keys that no text of the corpus contains as a word: texts are cut into words once, then an anti join."""
-    words = corpus.select(F.explode(F.split(text, r"[^\p{L}\p{N}_]+")).alias(key)).distinct()
-    return keys.join(words, key, "left_anti")
+    """Keys without white space that no text of the corpus contains, inside words too.
+
+    Texts are cut into their distinct words once. A key begins with one of the grams of each word that holds it, so
+    keys and words meet in an equi-join, and only those that meet are compared. The empty key is in every text.
+    """
+    words = corpus.select(F.explode(F.split(text, r"\s+")).alias("_word")).distinct().where("_word <> ''")
+    n = F.length("_word")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(GRAM))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr("_word", i, k)))))
+    asked = keys.select(F.col(key).alias("_key"), F.substring(key, 1, GRAM).alias("_gram")).distinct()
+    met = words.select("_word", F.explode(grams).alias("_gram")).join(asked, "_gram").where(F.contains("_word", "_key"))
+    found = met.select(F.col("_key").alias(key)).distinct()
+    return keys.where(F.col(key) != "").join(found, key, "left_anti")
 
 
 def first_existing(candidates: DataFrame, existing: DataFrame, case: str, priority: str, path: str, last: str) -> DataFrame:
@@ -75,6 +88,33 @@ def first_admitted(creates: DataFrame, owner: str, order: list[str], most: int =
     return creates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
+def released_all(held: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """What is left when the groups in ``gone`` have released all they held."""
+    return held.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def before_exit(rows: DataFrame, exits: DataFrame, key: str, at: str) -> DataFrame:
+    """``rows`` with ``accepted``: false from the key's first exit on. A key without one accepts all."""
+    first = exits.groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_exit"))
+    joined = rows.join(first, F.col(key) == F.col("_key"), "left")
+    return joined.withColumn("accepted", F.col("_exit").isNull() | (F.col(at) < F.col("_exit"))).drop("_key", "_exit")
+
+
+def holding(chunks: DataFrame, key: str, order: list[str], text: str, wanted: str) -> DataFrame:
+    """Keys whose chunks, joined in order, contain the wanted text, also across chunks."""
+    return ordered_text(chunks, key, order, text).where(F.contains("output", F.lit(wanted))).select(key)
+
+
+def last_directories(tabs: DataFrame, order: list[str], directory: str, most: int = 20) -> DataFrame:
+    """The first ``most`` directories in tab order, without nulls and empty ones: each task keeps its first ones only."""
+    return tabs.where(F.col(directory).isNotNull() & (F.col(directory) != "")).orderBy(*order).limit(most)
+
+
+def restored(saved: DataFrame, existing: DataFrame, directory: str, default: DataFrame) -> DataFrame:
+    """Saved directories that still exist; the default row if none does."""
+    return with_default(known(saved, existing, directory), default)
+
+
 def with_default(df: DataFrame, default: DataFrame) -> DataFrame:
     """``df``, or the default rows if it has none."""
     any_row = df.select(F.lit(1).alias("_any")).limit(1)

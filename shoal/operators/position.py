@@ -46,3 +46,8 @@ def changes(df: DataFrame, group: str, order: list[str], value: str) -> DataFram
 def latest(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """The last value of each group in order."""
     return df.groupBy(group).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def active_changes(events: DataFrame, active: DataFrame, group: str, member: str, order: list[str], value: str) -> DataFrame:
+    """Changes of ``value`` among the events of each group's active member only."""
+    return changes(events.join(active.select(group, member), [group, member], "left_semi"), group, order, value)

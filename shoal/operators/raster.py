@@ -24,6 +24,12 @@ def segment_distance(x: Column, y: Column, ax: float, ay: float, bx: float, by:
     return F.hypot(x - (t * dx + ax), y - (t * dy + ay))
 
 
+def nearest_segment(x: Column, y: Column, segments: list[tuple[float, float, float, float]]) -> Column:
+    """The least of the distances to some segments, at least one."""
+    each = [segment_distance(x, y, *s) for s in segments]
+    return F.least(*each) if len(each) > 1 else each[0]
+
+
 def rounded_box_distance(x: Column, y: Column, left: float, top: float, right: float, bottom: float, radius: float) -> Column:
     """From the rounded rectangle's edge, negative inside."""
     cx = F.greatest(F.lit(float(left + radius)), F.least(x, F.lit(float(right - radius))))

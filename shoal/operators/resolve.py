@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.config import merged, without_keys
@@ -14,8 +14,19 @@ FALLBACKS = {
     "linux": ["/bin/bash", "/usr/bin/bash", "/bin/zsh", "/bin/sh"],
     "win32": ["C:\\Program Files\\PowerShell\\7\\pwsh.exe", "C:\\Windows\\System32\\WindowsPowerShell\\v1.0\\powershell.exe", "C:\\Windows\\System32\\cmd.exe"],
 }
-STRIPPED = "ELECTRON_RUN_AS_NODE ELECTRON_NO_ATTACH_CONSOLE ELECTRON_NO_ASAR ELECTRON_FORCE_IS_PACKAGED ELECTRON_ENABLE_LOGGING ELECTRON_ENABLE_STACK_DUMPING NODE_OPTIONS GDK_BACKEND".split()
+STRIPPED = (
+    "ELECTRON_RUN_AS_NODE",
+    "ELECTRON_NO_ATTACH_CONSOLE",
+    "ELECTRON_NO_ASAR",
+    "ELECTRON_FORCE_IS_PACKAGED",
+    "ELECTRON_ENABLE_LOGGING",
+    "ELECTRON_ENABLE_STACK_DUMPING",
+    "NODE_OPTIONS",
+    "GDK_BACKEND",
+)
 DARK_DEFAULT, LIGHT_DEFAULT = "Tokyo Night", "GitHub Light"
+#: Background, symbols and height of a window's overlay, dark and light.
+OVERLAY = (("#1a1b26", "#c0caf5", 40), ("#ffffff", "#24292f", 40))
 
 
 def login_args(path: Column, platform: Column) -> Column:
@@ -56,7 +67,15 @@ def theme(setting: Column, light: Column, dark: Column, prefers_dark: Column, na
     return F.when(wanted.isin(names), wanted).otherwise(F.when(prefers_dark, DARK_DEFAULT).otherwise(LIGHT_DEFAULT))
 
 
-def sum_command(path: Column) -> Column:
-    """The arithmetic command of each kind of shell."""
-    name = F.lower(basename(F.coalesce(path, F.lit(""))))
-    return F.when(name.isin("cmd.exe", "cmd"), "set /a 11111*11111\r").when(name.isin("pwsh.exe", "powershell.exe"), "11111*11111\r").otherwise("echo $((11111*11111))\r")
+def overlay(prefers_dark: Column) -> Column:
+    """color, symbol and height by the dark flag; null counts as light."""
+    of = lambda t: F.struct(*[F.lit(v).alias(k) for k, v in zip(("color", "symbol", "height"), t, strict=True)])
+    return F.when(prefers_dark, of(OVERLAY[0])).otherwise(of(OVERLAY[1]))
+
+
+def palette(spark: SparkSession, fixed: list[tuple[str, str | None]], themes: DataFrame) -> DataFrame:
+    """ordinal, label, hint: the fixed entries, then one for each theme of (name, dark) by name."""
+    own = spark.createDataFrame([(i, *e) for i, e in enumerate(fixed)], "ordinal int, label string, hint string")
+    place = F.row_number().over(Window.orderBy("name")) + len(fixed) - 1  # a handful of themes
+    more = themes.select(place.cast("int").alias("ordinal"), F.concat(F.lit("Theme: "), "name").alias("label"), F.when(F.col("dark"), "dark").otherwise("light").alias("hint"))
+    return own.unionByName(more)

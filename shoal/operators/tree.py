@@ -24,7 +24,8 @@ def leaf(df: DataFrame, tab: str, id_: str) -> DataFrame:
 
 def split_leaves(tree: DataFrame, edits: DataFrame) -> DataFrame:
     """edits: tab, target, new_id, direction. The target leaf becomes a half-and-half split of itself and the new
-    leaf; a direction other than row and column is row, an absent target changes nothing."""
+    leaf; a direction other than row and column is row, an absent target changes nothing, and a tab without a tree
+    gets one of the new leaf."""
     none = F.lit(None)
     e = edits.select(F.col("tab").alias("_tab"), "target", "new_id", F.col("direction").alias("_dir"))
     j = tree.join(e, (F.col("tab") == F.col("_tab")) & (F.col("id") == F.col("target")), "left")
@@ -32,7 +33,8 @@ def split_leaves(tree: DataFrame, edits: DataFrame) -> DataFrame:
     p = F.col("path")
     three = F.array(row(p, none, way, F.lit(0.5), F.lit(0.5)), row(F.concat(p, F.lit("0")), F.col("id"), none, none, none), row(F.concat(p, F.lit("1")), F.col("new_id"), none, none, none))
     own = F.array(row(p, F.col("id"), F.col("direction"), F.col("size0"), F.col("size1")))
-    return j.select("tab", F.inline(F.when(F.col("_tab").isNotNull(), three).otherwise(own)))
+    edited = j.select("tab", F.inline(F.when(F.col("_tab").isNotNull(), three).otherwise(own)))
+    return edited.unionByName(leaf(edits.join(tree.select("tab").distinct(), "tab", "left_anti"), "tab", "new_id"))
 
 
 def remove_leaves(tree: DataFrame, edits: DataFrame) -> DataFrame:
@@ -61,6 +63,12 @@ def leaves(tree: DataFrame) -> DataFrame:
     return tree.where("id is not null").select("tab", "id", (F.row_number().over(w) - 1).alias("ordinal"))
 
 
+def leaf_counts(tree: DataFrame) -> DataFrame:
+    """tab, n_leaves, many: whether a tab has more than one leaf."""
+    n = tree.groupBy("tab").agg(F.count_if(F.col("id").isNotNull()).alias("n_leaves"))
+    return n.withColumn("many", F.col("n_leaves") > 1)
+
+
 def first_leaf(tree: DataFrame) -> DataFrame:
     return tree.where("id is not null").groupBy("tab").agg(F.min_by("id", "path").alias("id"))
 

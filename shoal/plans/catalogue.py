@@ -245,12 +245,13 @@ def ordered_output(spark, sf_dir):
 
 @query(
     r"""
-    with k as (select distinct split_part(p_name, ' ', 1) as word from part), w as (select distinct unnest(regexp_split_to_array(text, '[^\p{L}\p{N}_]+')) as word from documents)
-    select word from k where word not in (select word from w)
+    with k as (select distinct split_part(p_name, ' ', 1) as word from part union select distinct substr(p_brand, 7, 2) || chr(cast(97 + p_size % 26 as int)) from part)
+    select word from k where not exists (select 1 from documents where contains(text, word))
     """
 )
 def unread_keys(spark, sf_dir):
-    keys = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("word")).distinct()
+    part = table(spark, sf_dir, "part")
+    keys = part.select(F.split("p_name", " ")[0].alias("word")).union(part.select(F.concat(F.substring("p_brand", 7, 2), F.char(F.col("p_size") % 26 + 97)))).distinct()
     return lookup.unread_keys(keys, table(spark, sf_dir, "documents"), "word", "text")
 
 
@@ -287,7 +288,7 @@ def theme_resolve(spark, sf_dir):
 @query(
     """
     select s_suppkey, case when s_suppkey % 4 = 0 and s_nationkey % 2 = 0 then '/bin/zsh' when s_suppkey % 4 = 1 then '/opt/fish' when s_nationkey % 2 = 0 then '/bin/zsh' else '/bin/sh' end as file,
-           case when s_suppkey % 4 = 1 or s_nationkey % 2 = 0 then 1 else 0 end as n_args from supplier
+           case when s_suppkey % 4 = 1 or s_nationkey % 2 = 0 then '-l' else '' end as args from supplier
     """
 )
 def program_resolve(spark, sf_dir):
@@ -295,7 +296,7 @@ def program_resolve(spark, sf_dir):
     env = F.create_map(F.lit("SHELL"), F.when(F.col("s_nationkey") % 2 == 0, "/bin/zsh").otherwise("/missing"))
     existing = F.array(F.lit("/opt/fish"), F.when(F.col("s_nationkey") % 2 == 0, "/bin/zsh").otherwise("/none"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", resolve.resolved_program(F.lit("linux"), env, explicit, existing).alias("r"))
-    return s.select("s_suppkey", F.col("r.file").alias("file"), F.size("r.args").alias("n_args"))
+    return s.select("s_suppkey", F.col("r.file").alias("file"), F.array_join("r.args", " ").alias("args"))
 
 
 @query("select event_id, case when event_type = 'click' then props else 'request failed' end as message from events")
