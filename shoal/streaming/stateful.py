@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from shoal.functions.config import coerced
 from shoal.operators.folds import FLUSH_MS, FLUSH_SIZE, RATE_BYTES, RATE_MS
 
 BATCHES = "key string, batch_id long, opened_at long, n_chunks int, size long, reason string, payload string"
@@ -23,25 +24,35 @@ def ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 class MicroBatcher(StatefulProcessor):
     """Rows (key, at in ms, seq, chunk, is_exit) to batches: an open batch ends when a row comes at or after its
-    deadline, its size reaches the limit, or an exit row comes, which also drops the key's state."""
+    deadline, its size reaches the limit, or an exit row comes. A quiet key's open batch is ended by a timer of the
+    engine's clock, ``patience`` after the trigger that opened it.
 
-    def __init__(self, gap: int = FLUSH_MS, most: int = FLUSH_SIZE):
-        self.gap, self.most = gap, most
+    A key stays known after its exit: rows that come later are rejected, and so reported, with their number and texts
+    but without a batch id. Batch ids never repeat.
+    """
+
+    def __init__(self, gap: int = FLUSH_MS, most: int = FLUSH_SIZE, patience: int | None = None):
+        self.gap, self.most, self.patience = gap, most, gap if patience is None else patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "batch_id long, opened_at long, n_chunks int, size long, payload string")
+        self.handle = handle
+        self.open = handle.getValueState("open", "batch_id long, opened_at long, n_chunks int, size long, payload string, timer long, ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch, opened, n, size, text = self.open.get() if self.open.exists() else (0, None, 0, 0, "")
-        out, ended = [], False
+        batch, opened, n, size, text, timer, ended = self.open.get() if self.open.exists() else (0, None, 0, 0, "", None, False)
+        out, parts, late = [], [text], []
 
         def close(reason: str) -> None:
-            nonlocal batch, opened, n, size, text
+            nonlocal batch, opened, n, size, parts
             if opened is not None:
-                out.append((key[0], batch, opened, n, size, reason, text))
-                batch, opened, n, size, text = batch + 1, None, 0, 0, ""
+                out.append((key[0], batch, opened, n, size, reason, "".join(parts)))
+                batch, opened, n, size, parts = batch + 1, None, 0, 0, []
 
         for r in ordered(rows).itertuples():
+            if ended:
+                if not r.is_exit:
+                    late.append(r)
+                continue
             if opened is not None and r.at >= opened + self.gap:
                 close("timer")
             if r.is_exit:
@@ -49,59 +60,111 @@ class MicroBatcher(StatefulProcessor):
                 ended = True
                 continue
             opened = r.at if opened is None else opened
-            n, size, text = n + 1, size + len(r.chunk), text + r.chunk
+            n, size = n + 1, size + len(r.chunk)
+            parts.append(r.chunk)
             if size >= self.most:
                 close("size")
-        if ended:
-            self.open.clear()
-        else:
-            self.open.update((batch, opened, n, size, text))
-        yield pd.DataFrame(out, columns=["key", "batch_id", "opened_at", "n_chunks", "size", "reason", "payload"])
+        if late:
+            out.append((key[0], None, late[0].at, len(late), sum(len(r.chunk) for r in late), "rejected", "".join(r.chunk for r in late)))
+        if timer is not None and (opened is None or out):
+            self.handle.deleteTimer(timer)
+            timer = None
+        if opened is not None and timer is None:
+            timer = int(timerValues.getCurrentProcessingTimeInMs()) + self.patience
+            self.handle.registerTimer(timer)
+        self.open.update((batch, None if opened is None else int(opened), n, size, "".join(parts), timer, ended))
+        yield framed(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.open.exists():
+            batch, opened, n, size, text, timer, ended = self.open.get()
+            if opened is not None and timer is not None and timer <= expiredTimerInfo.getExpiryTimeInMs():
+                out.append((key[0], batch, opened, n, size, "timer", text))
+                self.open.update((batch + 1, None, 0, 0, "", None, ended))
+        yield framed(out)
 
     def close(self) -> None:
         pass
 
 
+def framed(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["key", "batch_id", "opened_at", "n_chunks", "size", "reason", "payload"])
+    return out.astype({"batch_id": "Int64"})
+
+
 class RateLimiter(StatefulProcessor):
-    """Rows (key, at in ms, seq, size) to decisions; the window is anchored at the first row at or after its end."""
+    """Rows (key, at in ms, seq, size) to decisions; the window is anchored at the first row at or after its end. With a
+    column is_exit, an exit row gives no decision, and all that comes after a key's exit is rejected."""
 
     def __init__(self, budget: int = RATE_BYTES, window: int = RATE_MS):
         self.budget, self.window = budget, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "reset_at long, left long")
+        self.state = handle.getValueState("state", "reset_at long, left long, ended boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        reset, left = self.state.get() if self.state.exists() else (None, 0)
+        reset, left, ended = self.state.get() if self.state.exists() else (None, 0, False)
         out = []
         for r in ordered(rows).itertuples():
+            if getattr(r, "is_exit", False):
+                ended = True
+                continue
+            if ended:
+                out.append((key[0], r.at, r.seq, r.size, False))
+                continue
             if reset is None or r.at >= reset:
                 reset, left = r.at + self.window, self.budget
             ok = r.size <= left
             left -= r.size if ok else 0
             out.append((key[0], r.at, r.seq, r.size, ok))
-        if out:
-            self.state.update((int(reset), int(left)))
+        self.state.update((None if reset is None else int(reset), int(left), ended))
         yield pd.DataFrame(out, columns=["key", "at", "seq", "size", "accepted"])
 
     def close(self) -> None:
         pass
 
 
-def streamed_batches(chunks: DataFrame, gap: int = FLUSH_MS, most: int = FLUSH_SIZE) -> DataFrame:
+def streamed_batches(chunks: DataFrame, gap: int = FLUSH_MS, most: int = FLUSH_SIZE, patience: int | None = None) -> DataFrame:
     """A stream of (key, at, seq, chunk, is_exit) as a stream of batches. Needs the RocksDB state store provider."""
-    return chunks.groupBy("key").transformWithStateInPandas(MicroBatcher(gap, most), BATCHES, outputMode="Append", timeMode="None")
+    return chunks.groupBy("key").transformWithStateInPandas(MicroBatcher(gap, most, patience), BATCHES, outputMode="Append", timeMode="ProcessingTime")
 
 
 def streamed_limits(writes: DataFrame, budget: int = RATE_BYTES, window: int = RATE_MS) -> DataFrame:
     return writes.groupBy("key").transformWithStateInPandas(RateLimiter(budget, window), WRITES, outputMode="Append", timeMode="None")
 
 
+def chunk_source(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """Chunks (output, keystrokes, exits as rows with is_exit) from files as they come, so many a trigger."""
+    return spark.readStream.schema("key string, at long, seq long, chunk string, is_exit boolean").option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def routed_stream(batches: DataFrame, panes: DataFrame, key: str = "key") -> DataFrame:
     """Stream-static join: batches of no pane are dropped."""
     return batches.join(panes, key)
 
 
+def pushed(batches: DataFrame, folder: str, checkpoint: str, window: str = "window_id") -> DataStreamWriter:
+    """A writer that appends each window's batches to its own subfolder. A trigger's rows go to a subfolder of its
+    number, which a retry overwrites, so that each batch is there once."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("_window", F.col(window)).withColumn("_trigger", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_window", "_trigger").parquet(folder)
+
+    return batches.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def configured(rows: DataFrame, settings: Callable[[], DataFrame], key: str, sink: Callable[[DataFrame], None]) -> DataStreamWriter:
+    """A writer that joins each trigger's rows with the settings as they then are, so that changes reach all consumers."""
+    return rows.writeStream.outputMode("append").foreachBatch(lambda part, _: sink(part.join(settings(), key, "left")))
+
+
+def settings_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Configuration rows (key, at, json) from files as they come, coerced."""
+    raw = spark.readStream.schema("key string, at long, json string").parquet(folder)
+    return raw.select("key", "at", coerced(F.col("json")).alias("settings"))
+
+
 def latest_by_trigger(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """The last value of each key so far; in update mode each trigger emits the keys that changed."""
     return rows.groupBy(key).agg(F.max_by(value, at).alias(value))
