@@ -64,3 +64,15 @@ def test_settings(spark):
     hundred = '{"shellArgs": [%s], "lastSession": [%s]}' % (",".join(['"a"'] * 100), ",".join(['"b"'] * 50))
     assert [len(x) for x in got([hundred], "shellArgs") + got([hundred], "lastSession")] == [32, 20]
     assert got(['{"theme": "%s"}' % ("x" * 513), '{"theme": "Nord", "evil": 1}'], "theme") == ["auto", "Nord"]
+
+
+def test_settings_read_strict_json_and_the_last_of_equal_keys(spark):
+    rows = ['{"fontSize":20,"fontSize":30}', '{"fontSize":20} x', '{"fontSize":20}{"fontSize":30}', '{"fontSize":20},{}', "{'fontSize':20}", '{"fontSize":1e999}', '{"fontSize":NaN}', ' {"fontSize" : 20 } ', "", None]
+    assert values(spark, "string", rows, config.coerced(F.col("v"))["fontSize"]) == [30, 14, 14, 14, 14, 14, 14, 20, 14, 14]
+
+
+def test_asserted_ids_end_the_query(spark):
+    good = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    assert values(spark, "string", [good], validate.asserted_uuid(F.col("v"))) == [good]
+    with pytest.raises(Exception, match="not a version 4 uuid"):
+        values(spark, "string", [good + "\n"], validate.asserted_uuid(F.col("v")))

@@ -148,3 +148,42 @@ def test_raster(spark):
     px = raster.pixels(spark, 8, 4).select("x", "y", raster.coverage(raster.rounded_box_distance(F.col("x"), F.col("y"), 1, 1, 6, 3, 1)).alias("c")).collect()
     assert len(px) == 32 and {(p.x, p.y): p.c for p in px}[(3.0, 2.0)] == 1.0 and {(p.x, p.y): p.c for p in px}[(7.0, 0.0)] == 0.0
     assert spark.range(1).select(raster.blended(F.lit(10), F.lit(20), F.lit(0.25))).first()[0] == 13
+
+
+def test_one_burst_of_a_hot_key_takes_linear_time(spark):
+    """400,000 rows of one key without a pause: arrays that grow a row at a time would take hours."""
+    n = 400_000
+    df = spark.range(n).selectExpr("'k' as k", "cast(id div 100 as bigint) as at", "id as seq", "1L as size", "case when id % 3 = 0 then -1 else 1 end as change", "id % 7 as sid")
+    made = folds.micro_batches(df, "k", ["at", "seq"], "at", "size", gap=10, most=250)
+    assert made.count() == n // 250 and made.agg(F.sum("n_chunks")).first()[0] == n
+    assert folds.rate_limited(df, "k", ["at", "seq"], "at", "size", budget=50, window=10).where("accepted").count() == n // 1000 * 50
+    assert folds.admitted(df, "k", ["at", "seq"], "change", "sid", most=3).count() == n
+
+
+def test_folds_of_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, 1, 1, 5), (None, 2, 2, 5), ("a", 1, 1, 5)], "k string, at long, seq long, size long")
+    assert {(r.k, r.n_chunks) for r in folds.micro_batches(df, "k", ["at", "seq"], "at", "size").collect()} == {(None, 2), ("a", 1)}
+    assert folds.micro_batches(df.where("false"), "k", ["at", "seq"], "at", "size").count() == 0
+
+
+def test_a_missing_tree_becomes_a_leaf_and_counts(spark):
+    t = spark.createDataFrame([("t", "r", "a", None, None, None)], TREE)
+    edits = spark.createDataFrame([("u", "a", "b", "row")], "tab string, target string, new_id string, direction string")
+    out = tree.split_leaves(t, edits)
+    assert {(r.tab, r.path, r.id) for r in out.collect()} == {("t", "r", "a"), ("u", "r", "b")}
+    assert {(r.tab, r.n_leaves, r.many) for r in tree.leaf_counts(out).collect()} == {("t", 1, False), ("u", 1, False)}
+
+
+def test_keys_are_found_inside_words(spark):
+    keys = spark.createDataFrame([("font",), ("size",), ("zz",), ("q",), ("long-key-here",), ("",)], "k string")
+    corpus = spark.createDataFrame([("myfontSizes, x",), (None,), ("(long-key-here)=1",)], "t string")
+    assert {r.k for r in lookup.unread_keys(keys, corpus, "k", "t").collect()} == {"size", "zz", "q"}
+
+
+def test_restoring_skips_what_is_gone(spark):
+    saved = spark.createDataFrame([("/a",), ("/b",)], "d string")
+    default = spark.createDataFrame([("~",)], "d string")
+    assert [r.d for r in lookup.restored(saved, spark.createDataFrame([("/b",)], "d string"), "d", default).collect()] == ["/b"]
+    assert [r.d for r in lookup.restored(saved, spark.createDataFrame([], "d string"), "d", default).collect()] == ["~"]
+    tabs = spark.createDataFrame([(3, "/c"), (1, "/a"), (2, None), (4, "")], "n int, d string")
+    assert [r.d for r in lookup.last_directories(tabs, ["n"], "d", 20).collect()] == ["/a", "/c"]
