@@ -1,14 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are all words, by their hashes, and the end. The root's distribution is the smoothed unigram one. Contexts of
-up to ``DEPTH`` words are grown level by level: a context is a candidate if it occurs at least ``EVIDENCE`` times in
-the training texts, however many these are, and stays if its next-word counts diverge from its parent's by ``DIVERGE``
-nats in sum, or if a longer context that ends in it stays. Distributions are smoothed with the parent's by Witten and
-Bell's rule, so a text's score is its base score and, for each context met that stays, the log of the ratio of its
-probability to its parent's. These ratios are tables by (context, word), joined with the texts' distinct ones.
-
-Words and contexts are counted by Spark aggregations over all training texts; nothing of the tree is collected.
-``Automaton`` is the same tree of a small alphabet in memory.
+Symbols are all words, by their hashes, and the end. The root's distribution is the smoothed unigram one. Longer
+contexts, up to ``DEPTH`` words, are counted level by level: an event, a word after a context, counts from
+``EVIDENCE`` occurrences in the training texts on, however many these are. A context keeps (n - 1) / size for events that
+make up a ``SHARE``-th of it or occur ``OFTEN`` times, and the rest of its mass goes to the distribution of the context
+less its first word, so every distribution sums to one. A context stays if its training occurrences gain ``DIVERGE``
+nats by it, or if a longer one that ends in it stays.
+
+A text's score is its base score and, for each context met that stays, the log of the ratio of its probability to the
+shorter context's. An event of one level is a context of the next, so all of this is one value for each event that
+occurs in a text: the *table*. Its most frequent rows go to the tasks, the others are joined; nothing that grows with
+the corpus is collected, and no key of the join is a hot one.
 """
 
 from __future__ import annotations
@@ -17,26 +19,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import id_crc, saved, ship, slices
-from shoal.llm.hashing import P, Q, lowered, mixed, word_hashes
+from shoal.llm.common import id_crc, released, saved, ship, slices
+from shoal.llm.hashing import lowered, word_hashes
 
-DEPTH, EVIDENCE, DIVERGE = 3, 2, 20.0
-#: So many of the most frequent words go to the tasks with their counts; the others' counts are joined.
-HEAD = 1 << 16
-END = 0
-SHIFT = 12  # bits a symbol in a code of the automaton
+DEPTH, EVIDENCE, SHARE, OFTEN, DIVERGE = 2, 2, 8, 16, 20.0
+#: So many of the table's most frequent rows go to the tasks: 24 bytes each.
+HEAD = 1 << 20
 END_KEY = 0x0E0D
-PIECE = 256
-#: Bits and probes of the filters that keep rows of contexts that can't stay from the shuffles. They only spare rows,
-#: as the joins decide: a filter that a large corpus fills lets more through, and the results are the same.
+#: Bits and probes of the filters that keep rows without a partner from the shuffles. They only spare rows, as counts
+#: and joins decide: a filter that a large corpus fills lets more through, and the results are the same.
 FILTER_BITS, FILTER_PROBES = 1 << 27, 2
 
+#: The primes of 64-bit xxHash.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def joined(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64(pre, suf) gives for two longs: the key of the words that both stand for together."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(pre), 42, np.uint64)
+        for part in (pre, suf):
+            h = h + _P5 + np.uint64(8)
+            h = _turned(h ^ (_turned(part * _P2, 31) * _P1), 27) * _P1 + _P4
+            h = (h ^ (h >> np.uint64(33))) * _P2
+            h = (h ^ (h >> np.uint64(29))) * _P3
+            h ^= h >> np.uint64(32)
+        return h
+
+
+def sequences(raw: list[bytes], depth: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """For every word and end: its text, and for lengths from 1 word on the key of the words up to it and whether it has
+    so many. One end may stand before a text's first word."""
+    words, text = word_hashes(raw)
+    n = np.bincount(text, minlength=len(raw))
+    x = np.insert(words, np.cumsum(n), np.uint64(END_KEY))
+    place = np.arange(len(x)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    keys, valid = [x], [np.ones(len(x), bool)]
+    for back in range(1, depth + 1):
+        keys.append(joined(before(keys[-1]), keys[-1]))
+        valid.append(place >= back - 1)
+    return np.repeat(np.arange(len(raw)), n + 1), keys, valid
+
+
+def before(keys: np.ndarray) -> np.ndarray:
+    """The key one place earlier; before the first text stands an end like between texts."""
+    return np.concatenate((np.array([END_KEY], np.uint64), keys[:-1]))
+
 
 def _folding(names: list[str], rows):
-    """Counts of distinct first columns: ``rows`` of a batch gives arrays, the last one the counts to be added."""
+    """Counts of distinct keys: ``rows`` of a batch gives the key, other columns and the counts to be added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -47,7 +85,7 @@ def _folding(names: list[str], rows):
             held[:] = [(keys, *(c[first] for c in cols[1:]), np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64))]
 
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", rows=4096, size=8_000_000):
                 held.append(rows(part))
                 if sum(len(x[0]) for x in held) > 3_000_000:
                     fold()
@@ -58,8 +96,9 @@ def _folding(names: list[str], rows):
             yield from given(held.pop())
 
     def given(cols: tuple) -> Iterator[pa.RecordBatch]:
+        own = cols[-len(names) :]
         for i in range(0, len(cols[0]), 1 << 16):
-            yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in cols], names=names)
+            yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in own], names=names)
 
     return run
 
@@ -70,116 +109,22 @@ def _word_rows(part: pa.RecordBatch) -> tuple:
     return np.concatenate((keys, [END_KEY])), np.concatenate((n, [len(raw)]))
 
 
-def codes(sym: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each place, the ``length`` symbols before it as one integer; before a text stand ends."""
-    place = np.arange(len(sym)) - np.repeat(starts[:-1], np.diff(starts))
-    out = np.zeros(len(sym), np.int64)
-    for back in range(1, length + 1):
-        moved = np.zeros(len(sym), np.int64)
-        moved[back:] = sym[: len(sym) - back]
-        out |= np.where(place >= back, moved, END) << (SHIFT * (back - 1))
-    return out
+def _event_rows(length: int, shared):
+    """key, context, shorter, n: how often each word follows a context of ``length`` words, where filters allow it."""
 
+    def rows(part: pa.RecordBatch) -> tuple:
+        _, keys, valid = sequences(lowered(part["text"].to_pylist()), length)
+        pre, suf, ok = before(keys[length - 1]), keys[length - 1], valid[length]
+        seen = maybe(shared.value, suf)
+        ok = ok & seen & np.concatenate(([True], seen[:-1]))
+        key, first, n = np.unique(keys[length][ok], return_index=True, return_counts=True)
+        return key, pre[ok][first].view(np.int64), suf[ok][first].view(np.int64), n
 
-class Level:
-    """The candidate contexts of one length, sorted, with their next-symbol counts as rows of a matrix."""
-
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray):
-        self.contexts, self.counts = contexts, counts
-
-    def at(self, ctx: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.contexts, ctx)
-
-
-class Automaton:
-    """``next`` and ``log10`` by state and symbol; state 0 is the empty context."""
-
-    def __init__(self, root: np.ndarray, levels: list[Level], diverge: float = DIVERGE):
-        k = len(root)
-        stay: list[set[int]] = [{0}]
-        for d, level in enumerate(levels, 1):
-            if d == 1:
-                rate = root[None, :]
-            else:
-                c = levels[d - 2].counts[levels[d - 2].at(level.contexts & ((1 << (SHIFT * (d - 1))) - 1))]
-                rate = c / np.maximum(c.sum(axis=1, keepdims=True), 1)
-            n = np.maximum(level.counts.sum(axis=1, keepdims=True, dtype=np.float64), 1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                nats = np.where(level.counts > 0, level.counts * np.log(level.counts / n / rate), 0).sum(axis=1)
-            stay.append({int(c) for c in level.contexts[nats >= diverge]})
-        for d in range(len(levels), 1, -1):  # suffixes of what stays stay too
-            stay[d - 1] |= {c & ((1 << (SHIFT * (d - 1))) - 1) for c in stay[d]}
-        unpack = lambda c, d: tuple(c >> (SHIFT * i) & ((1 << SHIFT) - 1) for i in range(d - 1, -1, -1))
-        kept = {unpack(c, d): (levels[d - 1], c) for d in range(1, len(levels) + 1) for c in stay[d]}
-        # States: every substring of a context, so that each one's prefixes and suffixes are states too.
-        states = {()} | {s[i:j] for s in kept for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
-        order = sorted(states, key=lambda s: (len(s), s))
-        at = {s: i for i, s in enumerate(order)}
-        longer: dict[tuple, list[tuple]] = {}
-        for s in order[1:]:
-            longer.setdefault(s[:-1], []).append(s)
-        self.k, self.depth = k, len(order[-1])
-        self.next = np.zeros((len(order), k), np.int32)
-        self.log10 = np.zeros((len(order), k), np.float32)
-        self.log10[0] = np.log10(root)
-        for i, s in enumerate(order):
-            if s:
-                up = at[s[1:]]
-                self.next[i], self.log10[i] = self.next[up], self.log10[up]
-            if s in kept:
-                level, c = kept[s]
-                counts = level.counts[int(level.at(np.array([c]))[0])].astype(np.float64)
-                kinds = (counts > 0).sum()
-                self.log10[i] = np.log10((counts + kinds * 10.0 ** self.log10[up].astype(np.float64)) / (counts.sum() + kinds))
-            for t in longer.get(s, ()):
-                self.next[i, t[-1]] = at[t]
-
-    def score(self, sym: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text's symbols."""
-        size = np.diff(starts)
-        pieces = -(-size // PIECE)
-        text = np.repeat(np.arange(len(size)), pieces)
-        begin = starts[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-        width = np.minimum(PIECE, starts[1:][text] - begin)
-        by = np.argsort(-width, kind="stable")  # longest first: those still going are a prefix
-        begin, width, text = begin[by], width[by], text[by]
-        going = np.searchsorted(-width, -np.arange(1, PIECE + 1), "right")
-        table, logs, k = self.next.ravel(), self.log10.ravel(), self.k
-        state, sums = np.zeros(len(begin), np.int64), np.zeros(len(begin))
-        for back in range(self.depth, 0, -1):
-            before = np.where(begin - back >= starts[:-1][text], sym[np.maximum(begin - back, 0)], END)
-            state = table[state * k + before].astype(np.int64)
-        for t in range(int(width.max(initial=0))):
-            m = going[t]
-            at = state[:m] * k + sym[begin[:m] + t]
-            sums[:m] += logs[at]
-            state[:m] = table[at]
-        return np.bincount(text, weights=sums, minlength=len(size))
-
-
-def events(raw: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For every word and end: its text, its place, and for lengths from 0 the keys of its context and of both.
-
-    A context's key is made from its last word on, ends stand before a text; without a context the key is the word's.
-    """
-    words, text = word_hashes(raw)
-    n = np.bincount(text, minlength=len(raw))
-    x = np.insert(words, np.cumsum(n), np.uint64(END_KEY))
-    text = np.repeat(np.arange(len(raw)), n + 1)
-    place = np.arange(len(x)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
-    contexts, keys = [np.zeros(len(x), np.uint64)], [x]
-    with np.errstate(over="ignore"):
-        for back in range(1, depth + 1):
-            before = np.full(len(x), END_KEY, np.uint64)
-            before[back:] = np.where(place[back:] >= back, x[: max(0, len(x) - back)], np.uint64(END_KEY))
-            contexts.append(mixed(contexts[-1] * P + before + np.uint64(back)))
-            keys.append(mixed(contexts[-1] * Q + x))
-    return text, place, [c.view(np.int64) for c in contexts], [k.view(np.int64) for k in keys]
+    return _folding(["c", "up", "n"], rows)
 
 
 def _spots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    u = keys.view(np.uint64)
-    return [(u >> np.uint64(30 * i)) % np.uint64(bits) for i in range(FILTER_PROBES)]
+    return [(keys >> np.uint64(30 * i)) & np.uint64(bits - 1) for i in range(FILTER_PROBES)]
 
 
 def maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -195,185 +140,156 @@ def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
     bits = bits or FILTER_BITS
     k = F.col(keys.columns[0])
     spot = F.explode(F.array(*[F.shiftrightunsigned(k, 30 * i).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_PROBES)]))
-    one = keys.select(spot.alias("s")).select(F.shiftright("s", 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    one = keys.select(spot.alias("s")).select(F.shiftright("s", 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
     t = one.groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits >> 6, np.int64)
     out[t["at"].to_numpy()] = t["b"].to_numpy()
     return out.view(np.uint64)
 
 
-def _event_rows(length: int, shared):
-    """e, c, up, n: the keys of (context, word), of the context and of (shorter context, word), where the context,
-    as the word at its end after the others, may occur often enough."""
-
-    def rows(part: pa.RecordBatch) -> tuple:
-        _, place, contexts, keys = events(lowered(part["text"].to_pylist()), length)
-        ok = np.ones(len(place), bool)
-        if shared.value is not None:
-            ok[1:] = maybe(shared.value, keys[length - 1][:-1]) | (place[1:] < length)
-        e, first, n = np.unique(keys[length][ok], return_index=True, return_counts=True)
-        return e, contexts[length][ok][first], keys[length - 1][ok][first], n
-
-    return _folding(["e", "c", "up", "n"], rows)
+def key_of(pre: str = "c", suf: str = "up") -> Column:
+    return F.xxhash64(pre, suf)
 
 
-def grown(train: DataFrame, words: DataFrame, norm: float, depth: int = DEPTH, evidence: int = EVIDENCE, diverge: float = DIVERGE) -> list[tuple[DataFrame, DataFrame]]:
-    """For each level: (e, c, gain, seen) of what follows the contexts that stay, and (c, back) of these.
+def grown(train: DataFrame, words: DataFrame, norm: float, depth: int = DEPTH, evidence: int = EVIDENCE, diverge: float = DIVERGE) -> DataFrame:
+    """key, n, gain, base of the table's rows: what each occurrence of an event adds to a text's log10 probability.
 
-    gain: log10 of the ratio of the probability to that by the shorter context. back: that ratio, if the word never
-    follows. seen: what gain is above back.
+    For an event whose context keeps it and stays, that is the log of its ratio to the shorter context's probability,
+    less the context's rest (``back``), which the occurrence of the context itself adds. ``base`` is for words only.
     """
     sc = train.sparkSession.sparkContext
-    upper = words.select(F.col("key").alias("up"), F.lit(0).cast("long").alias("shorter"), ((F.col("n") + F.lit(0.5)) / F.lit(float(norm))).alias("below"))
-    upper = upper.withColumn("rate_below", F.col("below"))
-    levels, wanted = [], None
+    base = (F.col("n") + F.lit(0.5)) / F.lit(float(norm))
+    rest = (F.col("size") - F.col("own")) / F.col("size")
+    kept = (F.col("n") * SHARE >= F.col("size")) | (F.col("n") >= OFTEN)
+    # Of each level: key, n, its shorter form and probability as an event; the words are level 0.
+    lower = words.select("key", "n", F.lit(0).cast("long").alias("up"), base.alias("p"))
+    wanted, levels = bitmap(words.where(F.col("n") >= evidence).select("key")), []
     for length in range(1, depth + 1):
-        counts = train.select("text").mapInArrow(_event_rows(length, sc.broadcast(wanted)), "e long, c long, up long, n long")
-        counts = saved(counts.groupBy("e").agg(F.first("c").alias("c"), F.first("up").alias("up"), F.sum("n").alias("n")), "lm-events")
-        contexts = counts.groupBy("c").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")).where(F.col("size") >= evidence)
-        level = counts.join(contexts, "c").join(upper, "up").withColumn("rate", F.col("n") / F.col("size"))
-        level = level.withColumn("p", (F.col("n") + F.col("kinds") * F.col("below")) / (F.col("size") + F.col("kinds")))
-        level = saved(level.select("e", "c", "shorter", "n", "size", "kinds", "below", "rate", "rate_below", "p"), "lm-level")
-        levels.append(level)
-        upper = level.select(F.col("e").alias("up"), F.col("c").alias("shorter"), F.col("p").alias("below"), F.col("rate").alias("rate_below"))
-        wanted = bitmap(counts.where(F.col("n") >= evidence).select("e"))
+        counts = train.select("text").mapInArrow(_event_rows(length, sc.broadcast(wanted)), "c long, up long, n long")
+        counts = saved(counts.groupBy("c", "up").agg(F.sum("n").alias("n")).where(F.col("n") >= evidence), "lm-events")
+        if length < depth:
+            wanted = bitmap(counts.select(key_of()))
+        sized = counts.join(lower.select(F.col("key").alias("c"), F.col("n").alias("size"), F.col("up").alias("shorter")), "c").withColumn("kept", kept)
+        sized = saved(sized if length < depth else sized.where("kept"), "lm-sized")
+        sums = sized.where("kept").groupBy("c").agg(F.sum(F.col("n") - 1).alias("own"), F.sum("n").alias("known"), F.first("size").alias("size"), F.first("shorter").alias("shorter"))
+        sums = saved(sums, "lm-sums")
+        level = sized.join(sums.select("c", rest.alias("rest")), "c", "left").join(lower.select(F.col("key").alias("up"), F.col("p").alias("below")), "up")
+        p = F.when(F.col("kept"), (F.col("n") - 1) / F.col("size")).otherwise(0) + F.coalesce("rest", F.lit(1.0)) * F.col("below")
+        level = level.select("c", "up", "n", F.when(F.col("kept"), F.log(p / F.col("below"))).alias("ratio"), *([p.alias("p")] if length < depth else []))
+        level = saved(level, "lm-level")
+        released(counts, sized)
+        levels.append((level, sums))
+        if length < depth:
+            lower = level.select(key_of().alias("key"), "n", "up", "p")
     out, needed = [], None
-    for level in levels[::-1]:
-        nats = F.sum(F.col("n") * F.log(F.col("rate") / F.col("rate_below")))
-        each = level.groupBy("c").agg(nats.alias("nats"), F.first("shorter").alias("shorter"), F.first("size").alias("size"), F.first("kinds").alias("kinds"))
-        if needed is None:
-            stay = each.where(F.col("nats") >= diverge)
-        else:
-            stay = each.join(needed, "c", "left").where((F.col("nats") >= diverge) | F.col("needed"))
-        stay = saved(stay.select("c", "shorter", F.log10(F.col("kinds") / (F.col("size") + F.col("kinds"))).alias("back")), "lm-contexts")
+    for level, sums in levels[::-1]:
+        known = level.where("ratio is not null")
+        gain = known.groupBy("c").agg(F.sum(F.col("n") * F.col("ratio")).alias("nats")).join(sums, "c")
+        good = F.col("nats") + (F.col("size") - F.col("known")) * F.log(rest) >= diverge
+        gain = gain.where(good) if needed is None else gain.join(needed, "c", "left").where(good | F.col("needed"))
+        stay = saved(gain.select("c", "shorter", "size", F.log10(rest).alias("back")), "lm-contexts")
         needed = stay.select(F.col("shorter").alias("c")).distinct().withColumn("needed", F.lit(True))
-        gain = F.log10(F.col("p") / F.col("below"))
-        out.append((level.join(stay.select("c", "back"), "c").select("e", "c", gain.alias("gain"), (gain - F.col("back")).alias("seen")), stay.select("c", "back")))
-    return out[::-1]
-
-
-def _asked(depth: int, shared):
-    """th, held_out, key, m: a text's keys of (context, word), and if it is held out, of contexts, and how often."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, "text"):
-                text, _, contexts, keys = events(lowered(part["text"].to_pylist()), depth)
-                th, held = part["th"].to_numpy(), part["held_out"].to_numpy(zero_copy_only=False)
-                of, key = [], []
-                for c, k, stays in zip(contexts[1:], keys[1:], shared.value, strict=True):
-                    ok = maybe(stays, c)
-                    of.append(text[ok])
-                    key.append(k[ok])
-                    ok &= held[text]
-                    of.append(text[ok])
-                    key.append(c[ok])
-                of, key = np.concatenate(of), np.concatenate(key)
-                by = np.lexsort((key, of))
-                of, key = of[by], key[by]
-                new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])))) if len(of) else np.empty(0, np.int64)
-                m = np.diff(np.append(new, len(of)))
-                yield pa.record_batch([pa.array(th[of[new]]), pa.array(held[of[new]]), pa.array(key[new]), pa.array(m.astype(np.int32))], names=["th", "held_out", "key", "m"])
-
-    return run
-
-
-def gains(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """th, held_out, gain: what the tree adds to the log10 of a text's probability by words alone, by the text's hash.
-
-    A word that is learned from always follows its contexts; for held-out texts, contexts count alike and what follows
-    is added where it is known.
-    """
-    sc = rows.sparkSession.sparkContext
-    table = None
-    for level, stay in levels:
-        own = level.select(F.col("e").alias("key"), "gain", "seen").unionByName(stay.select(F.col("c").alias("key"), F.col("back").alias("gain"), F.col("back").alias("seen")))
-        table = own if table is None else table.unionByName(own)
-    table = saved(table, "lm-table")
-    shared = sc.broadcast([bitmap(stay.select("c")) for _, stay in levels])
-    asked = rows.select("th", "held_out", "text").mapInArrow(_asked(len(levels), shared), "th long, held_out boolean, key long, m int")
-    got = asked.join(table, "key").groupBy("th", "held_out").agg(F.sum(F.col("m") * F.when(F.col("held_out"), F.col("seen")).otherwise(F.col("gain"))).alias("gain"))
-    copies = rows.groupBy("th", "held_out").agg(F.count(F.lit(1)).alias("copies"))  # each copy asked
-    return saved(got.join(copies, ["th", "held_out"]).select("th", "held_out", (F.col("gain") / F.col("copies")).alias("gain")), "lm-gains")
-
-
-def _stored(shared):
-    """The head's part of the base score, and the words whose counts have to be joined, for each text."""
+        out.append(known.join(stay.select("c", "back"), "c").select(key_of().alias("key"), "n", (F.col("ratio") / float(np.log(10)) - F.col("back")).alias("gain")))
+        out.append(stay.select(F.col("c").alias("key"), F.col("size").alias("n"), F.col("back").alias("gain")))
+    *longer, first = out  # the last ones are the words that stay
+    for more in longer[1:]:
+        longer[0] = longer[0].unionByName(more)
+    longer = longer[0].groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"))
+    first = words.join(first.select("key", "gain"), "key", "left").select("key", "n", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.log10(base).alias("base"))
+    table = saved(first.unionByName(longer.withColumn("base", F.lit(None).cast("double"))), "lm-table")
+    released(*(t for pair in levels for t in pair))
+    return table
+
+
+def parted(table: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Keys, gains and bases of at most ``most`` of the most frequent rows, sorted by key, and the other rows."""
+    most = most or HEAD
+    bucket = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(table.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)  # at most 512 rows
+    least, held = 1 << 20, 0
+    for b, k in sizes:
+        if held + k > most:
+            break
+        least, held = b, held + k
+    t = table.where(bucket >= least).select("key", "gain", "base").toArrow()
+    key = t["key"].to_numpy().view(np.uint64)
+    by = np.argsort(key)
+    return key[by], t["gain"].to_numpy()[by], t["base"].to_numpy()[by], table.where(bucket < least)
+
+
+def _scored(depth: int, shared):
+    """What a text gains by the table's head, and the keys that have to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        heads, counts, norm = shared.value
+        head, gains, bases, every, norm = shared.value
+        unknown = np.log10(0.5 / norm)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for part in slices(b, "text"):
-                words, text = word_hashes(lowered(part["text"].to_pylist()))
-                words = words.view(np.int64)
                 m = part.num_rows
-                at = np.minimum(np.searchsorted(heads, words), len(heads) - 1)
-                head = heads[at] == words
-                base = np.bincount(text[head], weights=np.log10((counts[at[head]] + 0.5) / norm), minlength=m).astype(np.float64)
-                rest = np.concatenate(([0], np.cumsum(np.bincount(text[~head], minlength=m)))).astype(np.int32)
+                text, keys, valid = sequences(lowered(part["text"].to_pylist()), depth)
+                of, tail, gain = [], [], np.zeros(m)
+                for k, (key, ok) in enumerate(zip(keys, valid, strict=True)):
+                    ok = ok & maybe(every, key)
+                    rows, own = text[ok], key[ok]
+                    at = np.minimum(np.searchsorted(head, own), max(len(head) - 1, 0))
+                    hit = head[at] == own if len(head) else np.zeros(len(own), bool)
+                    gain += np.bincount(rows[hit], weights=gains[at[hit]], minlength=m)
+                    of.append(rows[~hit])
+                    tail.append(own[~hit])
+                    if not k:  # words; one of the tail may still be unknown, see lm_scores
+                        known, asked = np.bincount(rows[hit], minlength=m), np.bincount(of[0], minlength=m)
+                        base = np.bincount(rows[hit], weights=bases[at[hit]], minlength=m) + unknown * np.bincount(text[~ok], minlength=m)
+                of, tail = np.concatenate(of), np.concatenate(tail)
+                tail = tail[np.argsort(of, kind="stable")].view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=m)))).astype(np.int32)
                 yield pa.record_batch(
                     [
-                        pa.array(np.arange(row, row + m)), part["doc_id"], part["held_out"], part["th"], pa.array(np.bincount(text, minlength=m) + 1), pa.array(np.bincount(text[head], minlength=m)), pa.array(base),
-                        pa.ListArray.from_arrays(pa.array(rest), pa.array(words[~head])),
+                        pa.array(np.arange(row, row + m)), part["doc_id"], part["held_out"], pa.array(np.bincount(text, minlength=m)), pa.array(known), pa.array(asked), pa.array(base), pa.array(gain),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(tail)),
                     ],
-                    names=["row", "doc_id", "held_out", "th", "n_tokens", "known", "base", "tail"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "asked", "base", "gain", "tail"],
                 )
                 row += m
 
     return run
 
 
-def lm_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, evidence: int = EVIDENCE, diverge: float = DIVERGE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     ``held_out`` is a boolean Column over ``docs``; rows where it is not true are learned from. Null text counts as
-    empty and scores its end alone. Repeated rows count and are scored each. With nothing to learn from, score and
-    base are the same. An empty table gives no rows. Other columns, whatever their names, are not read. Words,
-    contexts and texts are told apart by 64-bit hashes.
+    empty and scores its end alone. Repeated rows count and are scored each; ties don't arise. Very long texts are
+    taken whole, one at a time in a task. With nothing to learn from, score and base are the same. An empty table gives
+    no rows. Other columns, whatever their names, are not read. Words and contexts are told apart by 64-bit hashes.
     """
     spark = ship(docs.sparkSession)
-    sc = spark.sparkContext
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    rows = rows.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     train = rows.where("not held_out")
     words = train.select("text").mapInArrow(_folding(["key", "n"], _word_rows), "key long, n long")
     words = saved(words.groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = n + 0.5 * (v + 1)
-    # The end's count is known to all; head and tail are words only.
-    ends = words.where(F.col("key") == END_KEY).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    only = words.where(F.col("key") != END_KEY)
-    top = only.orderBy(F.desc("n"), "key").limit(HEAD).toArrow()
-    keys, counts = top["key"].to_numpy(), top["n"].to_numpy()
-    by = np.argsort(keys)
-    heads, head_counts = (keys[by], counts[by]) if len(keys) else (np.array([END_KEY]), np.array([0]))
+    table = grown(train, words, norm, depth, evidence, diverge)
+    *head, rest = parted(table)
+    shared = spark.sparkContext.broadcast((*head, bitmap(table.select("key")), norm))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    first = rows.mapInArrow(
-        _stored(sc.broadcast((heads, head_counts, norm))), f"row long, doc_id {kind}, held_out boolean, th long, n_tokens long, known long, base double, tail array<long>"
-    )
+    first = rows.mapInArrow(_scored(depth, shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, asked long, base double, gain double, tail array<long>")
     first = saved(first, "lm-texts")
-    tail = first.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("m"))
-    known = tail.join(only, "key", "left").groupBy("row").agg(
-        F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(norm)))).alias("tail_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("tail_known"),
-    )
-    out = first.drop("tail").join(known, "row", "left")
-    if n:
-        out = out.join(gains(rows, grown(train, words, norm, depth)), ["th", "held_out"], "left")
-    else:
-        out = out.withColumn("gain", F.lit(0.0))
-    base = F.col("base") + F.coalesce("tail_base", F.lit(0.0)) + F.lit(float(np.log10((ends + 0.5) / norm)))
+    found = first.select("row", F.explode("tail").alias("key")).join(rest.select("key", "gain", "base"), "key")
+    found = found.groupBy("row").agg(F.sum("gain").alias("more_gain"), F.count("base").alias("more_known"), F.sum("base").alias("more_base"))
+    out = first.drop("tail").join(found, "row", "left").na.fill(0, ["more_known"]).na.fill(0.0, ["more_gain", "more_base"])
+    base = F.col("base") + F.col("more_base") + (F.col("asked") - F.col("more_known")) * F.lit(float(np.log10(0.5 / norm)))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
+        (F.col("known") + F.col("more_known")).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        (base + F.col("gain") + F.col("more_gain")).alias("score"),
     )
 
 
