@@ -38,6 +38,8 @@ WIDEN, SPARE = 1.38, 1.35
 COMMON = 32
 #: Documents in a group of the matrix, and documents that one task looks up in a group.
 GROUP, ASKING = 256, 512
+#: Bytes of the members' texts of a group, beyond one member, and of those that one task looks up in it.
+BYTES = 64_000_000
 
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,18 +202,21 @@ def checked(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_check_pairs(width, num, den), "a long, b long")
 
 
-def grouped(named: DataFrame) -> DataFrame:
-    """(doc, comp, gid): groups of about ``GROUP`` documents that share bands and, as far as it goes, a component."""
-    own = saved(named.groupBy("doc").agg(F.first("comp").alias("comp"), F.min("lead").alias("family")), "families")
-    sized = own.join(own.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_n")), "comp").join(own.groupBy("family").agg(F.count(F.lit(1)).alias("family_n")), "family")
-    part = lambda of, n: F.pmod(F.xxhash64(of), F.ceil(F.col(n) / GROUP))
-    gid = F.when(F.col("comp_n") >= GROUP, F.xxhash64(F.lit("c"), "comp", part("doc", "comp_n"))).otherwise(F.xxhash64(F.lit("f"), "family", part("comp", "family_n")))
+def grouped(named: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc, comp, gid): groups of about ``GROUP`` documents or ``BYTES`` that share bands and, as far as it goes, a
+    component. ``sizes`` has the bytes of each (doc_id)."""
+    own = named.groupBy("doc").agg(F.first("comp").alias("comp"), F.min("lead").alias("family"))
+    own = saved(own.join(sizes.select(F.col("doc_id").alias("doc"), "bytes"), "doc"), "families")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("bytes") / BYTES))
+    sized = own.join(own.groupBy("comp").agg(parts.alias("comp_n")), "comp").join(own.groupBy("family").agg(parts.alias("family_n")), "family")
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n))
+    gid = F.when(F.col("comp_n") > 1, F.xxhash64(F.lit("c"), "comp", part("doc", "comp_n"))).otherwise(F.xxhash64(F.lit("f"), "family", part("comp", "family_n")))
     return saved(sized.select("doc", "comp", gid.alias("gid")), "groups")
 
 
-def qualifying(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+def qualifying(named: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, comp, gid) of the groups to open for each document, and the members of all groups."""
-    members = grouped(named)
+    members = grouped(named, sizes)
     rows = named.select("token", "doc", "need", "comp").join(members.select("doc", "gid"), "doc")
     matrix = rows.select("token", "gid").distinct()
     whole = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -234,6 +239,14 @@ def _search(width: int, num: int, den: int):
         order = np.argsort(own, kind="stable")
         own, owner = own[order], owner[order]
         a, b = [], []
+        up: dict[int, int] = {}  # components that this task has connected
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
         for q in asking:
             mine = h[at[q] : at[q + 1]]
             lo, hi = np.searchsorted(own, mine), np.searchsorted(own, mine, "right")
@@ -243,21 +256,27 @@ def _search(width: int, num: int, den: int):
             spots = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             both = np.bincount(owner[spots], minlength=len(inside))
             ok = (den * both >= num * (len(mine) + size[inside] - both)) & (both > 0) & (comps[inside] != comps[q])
-            for c in np.unique(comps[inside[ok]]):  # one link to each component is enough
-                a.append(docs[q])
-                b.append(docs[inside[ok & (comps[inside] == c)][0]])
+            for c, first in zip(*np.unique(comps[inside[ok]], return_index=True), strict=True):  # one link to each component
+                x, y = top(int(c)), top(int(comps[q]))
+                if x != y:  # and none to what is connected already
+                    up[max(x, y)] = min(x, y)
+                    a.append(docs[q])
+                    b.append(docs[inside[ok][first]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def searched(opened: DataFrame, members: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between documents and members of the groups opened for them, one for each component linked.
+    """Links (a, b) between documents and members of the groups opened for them, of each task as many as it takes to
+    connect what it finds linked: less than one a document and task.
 
-    A task has one group and at most about ``ASKING`` of the documents that ask for it, with their whole texts.
+    A task has one group and at most about ``ASKING`` of the documents that ask for it, or ``BYTES`` of their texts.
     """
-    asked = opened.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("parts"))
     text = texts.select(F.col("doc_id").alias("doc"), "text")
+    size = text.groupBy("doc").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sums = opened.join(size, "doc").groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    asked = sums.select("gid", F.greatest(F.ceil(F.col("n") / ASKING), F.ceil(F.col("bytes") / BYTES)).cast("int").alias("parts"))
     own = members.join(asked, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gid", "part", "doc", "comp", F.lit(True).alias("member"))
     asking = opened.join(asked, "gid").select("gid", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), "doc", "comp", F.lit(False).alias("member"))
     rows = own.unionByName(asking).join(text, "doc")
@@ -297,8 +316,9 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, d
     """doc_id, n_shingles, component_id for every row; links are pairs with den * intersection >= num * union.
 
     Null, empty and wordless texts have an empty set, link with nothing and are their own component. Rows that
-    repeat an id are one node. Rows with a null id are compared with nothing and have a null component. An empty
-    table gives no rows. Other columns, whatever their names, are not read. Integer ids only.
+    repeat an id are one node. Rows with a null id are compared with nothing and have a null component. Very long texts
+    are compared whole, few at a time in a task. An empty table gives no rows. Other columns, whatever their names, are
+    not read. Integer ids only.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -331,8 +351,9 @@ def ngram_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, d
     named = named.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).where("lo < hi")
     named = saved(named.select("token", "doc", "need", "comp", F.min("doc").over(bucket).alias("lead")), "cross-bands")
     if not named.isEmpty():
-        opened, members = qualifying(named)
-        wanted = saved(among(reps, saved(members.select(F.col("doc").alias("doc_id")), "cross-candidates"), "doc_id"), "cross-texts")
+        crossing = saved(named.select(F.col("doc").alias("doc_id")).distinct(), "cross-candidates")
+        wanted = saved(among(reps, crossing, "doc_id"), "cross-texts")
+        opened, members = qualifying(named, wanted.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes")))
         links = links.unionByName(saved(searched(opened, members, wanted, width, num, den), "cross-links"))
         group = components(links, "all-components")
     copies = sets.where("doc_id is not null and n_shingles > 0").join(equal.drop("copies"), ["n_shingles", "s1", "s2"])
