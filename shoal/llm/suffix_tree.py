@@ -26,8 +26,9 @@ from shoal.llm.common import id_crc, released, saved, ship, slices
 from shoal.llm.hashing import lowered, word_hashes
 
 DEPTH, EVIDENCE, SHARE, OFTEN, DIVERGE = 2, 2, 8, 16, 20.0
-#: So many of the table's most frequent rows go to the tasks: 24 bytes each.
-HEAD = 1 << 20
+#: Rows of the table that occur once in so many tokens or more go to the tasks, at most so many a level, 24 bytes each:
+#: the others' part of the texts, which is joined, follows the input at every size.
+HEAD = 2_000_000
 END_KEY = 0x0E0D
 #: Bits and probes of the filters that keep rows without a partner from the shuffles. They only spare rows, as counts
 #: and joins decide: a filter that a large corpus fills lets more through, and the results are the same.
@@ -85,7 +86,7 @@ def _folding(names: list[str], rows):
             held[:] = [(keys, *(c[first] for c in cols[1:]), np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64))]
 
         for b in batches:
-            for part in slices(b, "text", rows=4096, size=8_000_000):
+            for part in slices(b, "text", rows=2048, size=2_000_000):
                 held.append(rows(part))
                 if sum(len(x[0]) for x in held) > 3_000_000:
                     fold()
@@ -181,13 +182,14 @@ def grown(train: DataFrame, words: DataFrame, norm: float, depth: int = DEPTH, e
         levels.append((level, sums))
         if length < depth:
             lower = level.select(key_of().alias("key"), "n", "up", "p")
-    out, needed = [], None
+    out, needed, stays = [], None, []
     for level, sums in levels[::-1]:
         known = level.where("ratio is not null")
         gain = known.groupBy("c").agg(F.sum(F.col("n") * F.col("ratio")).alias("nats")).join(sums, "c")
         good = F.col("nats") + (F.col("size") - F.col("known")) * F.log(rest) >= diverge
         gain = gain.where(good) if needed is None else gain.join(needed, "c", "left").where(good | F.col("needed"))
         stay = saved(gain.select("c", "shorter", "size", F.log10(rest).alias("back")), "lm-contexts")
+        stays.append(stay)
         needed = stay.select(F.col("shorter").alias("c")).distinct().withColumn("needed", F.lit(True))
         out.append(known.join(stay.select("c", "back"), "c").select(key_of().alias("key"), "n", (F.col("ratio") / float(np.log(10)) - F.col("back")).alias("gain")))
         out.append(stay.select(F.col("c").alias("key"), F.col("size").alias("n"), F.col("back").alias("gain")))
@@ -197,24 +199,17 @@ def grown(train: DataFrame, words: DataFrame, norm: float, depth: int = DEPTH, e
     longer = longer[0].groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"))
     first = words.join(first.select("key", "gain"), "key", "left").select("key", "n", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.log10(base).alias("base"))
     table = saved(first.unionByName(longer.withColumn("base", F.lit(None).cast("double"))), "lm-table")
-    released(*(t for pair in levels for t in pair))
+    released(*(t for pair in levels for t in pair), *stays)
     return table
 
 
-def parted(table: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
-    """Keys, gains and bases of at most ``most`` of the most frequent rows, sorted by key, and the other rows."""
-    most = most or HEAD
-    bucket = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(table.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)  # at most 512 rows
-    least, held = 1 << 20, 0
-    for b, k in sizes:
-        if held + k > most:
-            break
-        least, held = b, held + k
-    t = table.where(bucket >= least).select("key", "gain", "base").toArrow()
+def parted(table: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Keys, gains and bases of the frequent rows, sorted by key, and the other rows."""
+    frequent = F.col("n") * HEAD >= tokens
+    t = table.where(frequent).select("key", "gain", "base").toArrow()
     key = t["key"].to_numpy().view(np.uint64)
     by = np.argsort(key)
-    return key[by], t["gain"].to_numpy()[by], t["base"].to_numpy()[by], table.where(bucket < least)
+    return key[by], t["gain"].to_numpy()[by], t["base"].to_numpy()[by], table.where(~frequent)
 
 
 def _scored(depth: int, shared):
@@ -273,7 +268,8 @@ def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: s
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = n + 0.5 * (v + 1)
     table = grown(train, words, norm, depth, evidence, diverge)
-    *head, rest = parted(table)
+    *head, rest = parted(table, n)
+    released(words)
     shared = spark.sparkContext.broadcast((*head, bitmap(table.select("key")), norm))
     kind = rows.schema["doc_id"].dataType.simpleString()
     first = rows.mapInArrow(_scored(depth, shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, asked long, base double, gain double, tail array<long>")
