@@ -88,9 +88,9 @@ def _folding(names: list[str], rows):
         for b in batches:
             for part in slices(b, "text", rows=2048, size=2_000_000):
                 held.append(rows(part))
-                if sum(len(x[0]) for x in held) > 3_000_000:
+                if sum(len(x[0]) for x in held) > 2_000_000:
                     fold()
-                    if len(held[0][0]) > 2_000_000:
+                    if len(held[0][0]) > 1_500_000:
                         yield from given(held.pop())
         if held:
             fold()
