@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import decontamination, exact_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, sharding, suffix_tree, token_codes
+from shoal.llm import decontamination, exact_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, phrases, pivot_clusters, sharding, suffix_tree, token_codes, url_filters
 from shoal.llm.common import read, scratch_path
 
 QUERIES: dict = {}
@@ -128,3 +128,76 @@ def op9(spark, sf_dir):
 @query("op10_language_id")
 def op10(spark, sf_dir):
     return language_id.identified(read(spark, sf_dir, "documents"))
+
+
+#: (host, path, verdict) of the contract.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query(
+    "op11_url_filters",
+    f"""
+    with r(host, path, verdict) as (values {", ".join(map(str, URL_RULES))}),
+    u as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) as raw from u),
+    p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) as path from h),
+    k as (select p.host, p.path, max((length(r.host || r.path), length(r.host), r.host || r.path, r.verdict)) as best
+          from (select distinct host, path from p) p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by p.host, p.path)
+    select page_id, host, path, best[3] as rule, coalesce(best[4], 'allow') as verdict from p left join k using (host, path)
+    """,
+)
+def op11(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.url_filters(read(spark, sf_dir, "pages"), rules)
+
+
+@query(
+    "op12_phrases",
+    r"""
+    with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    p as (select lang, regexp_extract_all(unnest(regexp_extract_all(text, '[^.,;:!?
+-
+]+')), '[^ 	]+') as w from d),
+    g as (select lang, w, unnest(range(1, len(w) + 1)) as i from p),
+    f as (select lang, m, array_to_string(w[i : i + m - 1], ' ') as phrase, count(*) as f from g, (select unnest([1, 2, 3, 4]) as m) where i + m - 1 <= len(w) group by all),
+    n as (select lang, sum(f)::bigint as n from f where m = 1 group by lang),
+    c as (select lang, phrase, m, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30),
+    k as (select lang, phrase, m, a, array_to_string(w[1:k], ' ') as one, array_to_string(w[k + 1:m], ' ') as two, k from c, (select unnest([1, 2, 3]) as k) where k < m),
+    s as (select k.*, l.f as l, r.f as r, 2000000::hugeint * a // (l.f + r.f) as score from k join f l on l.lang = k.lang and l.phrase = one join f r on r.lang = k.lang and r.phrase = two),
+    b as (select lang, phrase, a, min((score, k, l, r)) as best from s group by all),
+    i as (select lang, array_to_string(w[j : j + size - 1], ' ') as phrase, max(a) as longer from c, (select unnest([1, 2, 3]) as j), (select unnest([2, 3]) as size) where size < m and j + size - 1 <= m group by all),
+    t as (select lang, phrase, a, best, row_number() over (partition by lang order by best[1] desc, a desc, phrase) as rank from b left join i using (lang, phrase) where longer is null or 100::hugeint * longer < 80::hugeint * a)
+    select lang, rank::bigint as rank, phrase, a::bigint as a, best[3]::bigint as l, best[4]::bigint as r, n, best[1]::bigint as score from t join n using (lang) where rank <= 2000
+    """,
+)
+def op12(spark, sf_dir):
+    return phrases.phrases(read(spark, sf_dir, "documents"))
+
+
+def _cluster_rounds(rounds: int = 3) -> str:
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"d{i} as (select v.row, c.cluster, sum((v.x - c.x) * (v.x - c.x)) as distance from v join c{i} c using (i) group by all)")
+        parts.append(f"a{i} as (select row, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance from d{i} group by row)")
+        if i < rounds:
+            parts.append(f"m{i} as (select cluster, i, sum(x) as s, count(*) as n from v join a{i} using (row) group by all)")
+            parts.append(f"c{i + 1} as (select cluster, i, coalesce((s - ((s % n) + n) % n) // n, x) as x from c{i} left join m{i} using (cluster, i))")
+    return ", ".join(parts)
+
+
+@query(
+    "op13_pivot_clusters",
+    f"""
+    with k as (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+               where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+    v as (select row, unnest(range(64)) as i, unnest(v)::hugeint as x from k),
+    f as (select row, row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), v) - 1 as cluster from k qualify cluster < 16),
+    c0 as (select cluster, i, x from f join v using (row)),
+    {_cluster_rounds()},
+    h as (select cluster, sha256(string_agg(x::varchar, ',' order by i)) as centroid_sha256 from c3 group by cluster)
+    select vec_id, cluster::int as cluster, distance::bigint as distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, centroid_sha256
+    from k join a3 using (row) join h using (cluster)
+    """,
+)
+def op13(spark, sf_dir):
+    return pivot_clusters.clusters(read(spark, sf_dir, "embeddings"))
