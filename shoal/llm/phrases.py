@@ -25,11 +25,11 @@ from shoal.llm.common import saved, ship, slices
 #: Words of the longest phrase.
 LONGEST = 4
 #: Bytes of text from which a task builds an automaton at once, and bytes of text to a prefix range.
-SHARD, RANGE = 6_000_000, 24_000_000
+SHARD, RANGE = 6_000_000, 8_000_000
 #: Arcs that a task gathers before it unites them.
-ARCS = 8_000_000
+ARCS = 3_000_000
 #: Cuts are of at most so many words of a sample, each cut off after so many bytes, so that they take 170 MB at most; beyond
-#: some 25 TB of text ranges grow instead.
+#: some 8 TB of text ranges grow instead.
 MOST_RANGES, CUT_BYTES = 1 << 20, 32
 #: The sample that places the cuts (nothing else depends on it): of so many documents one, of its windows so many.
 SAMPLE, EVERY = 0.005, 16
@@ -159,9 +159,9 @@ def united(parts: list[Automaton]) -> Automaton:
         number = np.empty(len(key), np.int64)
         number[order] = np.cumsum(new) - 1
         state = np.split(number, np.cumsum([len(p.labels[d]) for p in parts])[:-1])
-        own = np.concatenate([p.weights[d] for p in parts])[order]
-        labels.append(ordered[begin] & 0xFFFFFFFF)
-        parents.append(ordered[begin] >> 32)
+        own = np.concatenate([p.weights[d] for p in parts]).astype(np.int64)[order]
+        labels.append((ordered[begin] & 0xFFFFFFFF).astype(np.int32))
+        parents.append((ordered[begin] >> 32).astype(np.int32))
         weights.append(np.add.reduceat(own, begin) if len(begin) else np.empty(0, np.int64))
     return Automaton(list(langs), list(words), labels, parents, weights)
 
@@ -184,8 +184,8 @@ def unpacked(data: bytes, langs: list[str]) -> Automaton:
     head = 8 * (1 + 6 * LONGEST)
     ends = head + np.cumsum(np.frombuffer(raw[:head], "<i8"))
     field = [raw[a:b] for a, b in zip([head, *ends[:-1]], ends, strict=True)]
-    arrays = [np.frombuffer(x, k.decode()).astype(np.int64) for k, x in zip(field[1::2], field[2::2], strict=True)]
-    parents = [np.repeat(np.arange(len(n)), n) for n in arrays[1::3]]
+    arrays = [np.frombuffer(x, k.decode()) for k, x in zip(field[1::2], field[2::2], strict=True)]  # as narrow as they came
+    parents = [np.repeat(np.arange(len(n), dtype=np.int32), n) for n in arrays[1::3]]
     return Automaton(langs, field[0].split(b" ") if field[0] else [], arrays[0::3], parents, arrays[2::3])
 
 
