@@ -72,12 +72,18 @@ def live_counts(owners: DataFrame, sessions: DataFrame, owner: str, session_owne
     return owners.join(n, owner, "left").withColumn("n_sessions", F.coalesce("n_sessions", F.lit(0)))
 
 
+def close_confirmations(owners: DataFrame, sessions: DataFrame, owner: str, session_owner: str, flag: str = "confirm_on_close") -> DataFrame:
+    """``owners`` with ``n_sessions`` and ``confirm``: whether closing one asks first, that is its ``flag`` is set (null
+    counts as not) and it has more than one session."""
+    return live_counts(owners, sessions, owner, session_owner).withColumn("confirm", F.coalesce(F.col(flag), F.lit(False)) & (F.col("n_sessions") > 1))
+
+
 def ids_by_owner(sessions: DataFrame, owner: str, session: str) -> DataFrame:
     return sessions.groupBy(owner).agg(F.array_sort(F.collect_set(session)).alias("session_ids"))
 
 
 def ordered_text(chunks: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
-    """A key's chunks joined in order."""
+    """A key's chunks joined in order, as one value a key; where outputs are too long for that, see chains.offsets."""
     parts = F.array_sort(F.collect_list(F.struct(*order, text)))
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[text]), "").alias("output"))
 
@@ -100,11 +106,6 @@ def before_exit(rows: DataFrame, exits: DataFrame, key: str, at: str) -> DataFra
     return joined.withColumn("accepted", F.col("_exit").isNull() | (F.col(at) < F.col("_exit"))).drop("_key", "_exit")
 
 
-def holding(chunks: DataFrame, key: str, order: list[str], text: str, wanted: str) -> DataFrame:
-    """Keys whose chunks, joined in order, contain the wanted text, also across chunks."""
-    return ordered_text(chunks, key, order, text).where(F.contains("output", F.lit(wanted))).select(key)
-
-
 def last_directories(tabs: DataFrame, order: list[str], directory: str, most: int = 20) -> DataFrame:
     """The first ``most`` directories in tab order, without nulls and empty ones: each task keeps its first ones only."""
     return tabs.where(F.col(directory).isNotNull() & (F.col(directory) != "")).orderBy(*order).limit(most)

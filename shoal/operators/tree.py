@@ -110,3 +110,49 @@ def rectangles(tree: DataFrame) -> DataFrame:
         )
 
     return j.groupBy("tab", "id").agg(path.alias("steps")).select("tab", "id", F.aggregate("steps", zero, fold).alias("box")).select("tab", "id", "box.*")
+
+
+def from_nested(layouts: DataFrame, tab: str, layout: str) -> DataFrame:
+    """Path tables from nested layouts as JSON texts: ``{"type": "leaf", "id": …}`` or ``{"type": "split", "direction": …,
+    "children": [a, b], "sizes": [x, y]}``.
+
+    A text is parsed once, and its tree is opened level by level within its row, without a shuffle or a job a level. A node
+    that is neither is left out with all below it; so is a text that isn't JSON, and a null. Sizes that are missing are null.
+    """
+    at = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    node = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    child = lambda n, i: node(F.concat(n["path"], F.lit(str(i))), at(n["v"], f"$.children[{i}]", "variant"))
+    good = lambda n: F.coalesce(F.when(at(n["v"], "$.type", "string") == "leaf", at(n["v"], "$.id", "string").isNotNull()).when(at(n["v"], "$.type", "string") == "split", F.size(at(n["v"], "$.children", "array<variant>")) == 2), F.lit(False))
+    split = lambda n: at(n["v"], "$.type", "string") == "split"
+
+    def deeper(acc: Column, _: Column) -> Column:
+        below = F.filter(F.flatten(F.transform(F.filter(acc["open"], split), lambda n: F.array(child(n, 0), child(n, 1)))), good)
+        return F.struct(F.concat(acc["done"], acc["open"]).alias("done"), below.alias("open"))
+
+    root = layouts.select(F.col(tab).alias("tab"), F.try_parse_json(layout).alias("v"), F.col(layout).alias("raw"))
+    first = F.filter(F.array(node(F.lit("r"), F.col("v"))), good)
+    none = F.filter(first, lambda n: F.lit(False))
+    most = F.size(F.split("raw", '"children"'))  # a tree isn't deeper than it has splits
+    opened = root.where("v is not null").select("tab", F.aggregate(F.sequence(F.lit(1), most), F.struct(none.alias("done"), first.alias("open")), deeper)["done"].alias("nodes"))
+    n = opened.select("tab", F.explode("nodes").alias("n"))
+    v, inner = F.col("n.v"), at(F.col("n.v"), "$.type", "string") == "split"
+    size = lambda i: F.when(inner, at(v, f"$.sizes[{i}]", "double"))
+    way = F.when(inner, F.when(at(v, "$.direction", "string") == "column", "column").otherwise("row"))
+    return n.select("tab", F.col("n.path").alias("path"), F.when(~inner, at(v, "$.id", "string")).alias("id"), way.alias("direction"), size(0).alias("size0"), size(1).alias("size1"))
+
+
+def nested(tree: DataFrame) -> DataFrame:
+    """tab, layout: each tree as one JSON text, which ``from_nested`` reads. A tree's nodes are folded from its last path to
+    its first, so that both children are there when their split is reached."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", "$1")
+
+    def add(held: Column, n: Column) -> Column:
+        a, b = F.element_at(held, -1), F.element_at(held, -2)
+        sizes = F.concat(F.lit('],"sizes":['), n["size0"].cast("string"), F.lit(","), n["size1"].cast("string"), F.lit("]}"))
+        whole = F.concat(F.lit('{"type":"split","direction":"'), n["direction"], F.lit('","children":['), a, F.lit(","), b, sizes)
+        own = F.concat(F.lit('{"type":"leaf","id":'), n["quoted"], F.lit("}"))
+        return F.when(n["id"].isNotNull(), F.array_append(held, own)).otherwise(F.array_append(F.slice(held, F.lit(1), F.size(held) - 2), whole))
+
+    nodes = F.reverse(F.array_sort(F.collect_list(F.struct("path", "id", "direction", "size0", "size1", "quoted"))))
+    rows = tree.withColumn("quoted", quoted(F.col("id"))).groupBy("tab").agg(nodes.alias("nodes"))
+    return rows.select("tab", F.get(F.aggregate("nodes", F.array().cast("array<string>"), add), F.lit(0)).alias("layout"))

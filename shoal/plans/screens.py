@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoal.functions import config, text, validate
-from shoal.operators import lookup, position, raster, resolve, tree
+from shoal.operators import chains, lookup, position, raster, resolve, tree
 from shoal.plans.catalogue import CHAIN, chain, query, requests, stream
 from shoal.session import table
 
@@ -153,7 +153,7 @@ def writes_after_exit(spark, sf_dir):
 
 @query("with c as (select conv_id, string_agg(text, '' order by turn) as t from conversations group by 1) select conv_id from c where contains(t, 'the')")
 def output_contains(spark, sf_dir):
-    return lookup.holding(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", "the")
+    return chains.holding(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", "the")
 
 
 @query("select page_id, url from pages where url <> '' order by page_id limit 20")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from shoal.plans import catalogue, screens  # noqa: F401
+from shoal.plans import catalogue, ordered, screens  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
