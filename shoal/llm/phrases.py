@@ -25,7 +25,7 @@ from shoal.llm.common import saved, ship, slices
 #: Words of the longest phrase.
 LONGEST = 4
 #: Bytes of text from which a task builds an automaton at once, and bytes of text to a prefix range.
-SHARD, RANGE = 6_000_000, 8_000_000
+SHARD, RANGE = 4_000_000, 8_000_000
 #: Arcs that a task gathers before it unites them.
 ARCS = 3_000_000
 #: Cuts are of at most so many words of a sample, each cut off after so many bytes, so that they take 170 MB at most; beyond
@@ -35,9 +35,11 @@ MOST_RANGES, CUT_BYTES = 1 << 20, 32
 SAMPLE, EVERY = 0.005, 16
 UND = "und"
 
+#: What ends a piece, as single bytes.
+BREAKS = [bytes([c]) for c in b".,;:!?\x0a\x0b\x0c\x0d"]
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
-_KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
+_KIND[[c[0] for c in BREAKS]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -69,45 +71,48 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], pa.Array]
     np.cumsum(end - begin, out=offsets[1:])
     own = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
     order = pc.array_sort_indices(own.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(1, len(order) + 1)
-    ids = rank[own.indices.to_numpy(zero_copy_only=False)] if len(begin) else np.empty(0, np.int64)
+    ids = rank[own.indices.to_numpy(zero_copy_only=False)] if len(begin) else np.empty(0, np.int32)
     piece = np.cumsum(kind == 2, dtype=np.int64)[begin]
     ranks = [ids]
     for k in range(1, LONGEST):
-        later = np.zeros(len(ids), np.int64)
+        later = np.zeros(len(ids), np.int32)
         if len(ids) > k:
             later[:-k] = np.where(piece[k:] == piece[:-k], ids[k:], 0)
         ranks.append(later)
-    return np.searchsorted(edges, begin, "right"), ranks, own.dictionary.take(pa.array(order))
+    return np.searchsorted(edges, begin, "right").astype(np.int32), ranks, own.dictionary.take(pa.array(order))
 
 
 def built(langs: list[str], lang: np.ndarray, ranks: list[np.ndarray], words: list[bytes], cuts: list[tuple]) -> Iterator[tuple[int, Automaton]]:
     """The automaton of windows, in parts between the cuts: the number of each part that has windows, and the part."""
     if not len(lang):
         return
-    pairs, first = np.unique(lang * (len(words) + 1) + ranks[0], return_inverse=True)
-    one, two = (first << 32) | ranks[1], (ranks[2] << 32) | ranks[3]
+    pairs, first = np.unique(lang.astype(np.int64) * (len(words) + 1) + ranks[0], return_inverse=True)
+    one, two = (first << 32) | ranks[1], (ranks[2].astype(np.int64) << 32) | ranks[3]
     order = np.lexsort((two, one))
     one, two = one[order], two[order]
+    del first, order
     starts = np.array([0, *(placed(c, langs, words, pairs, one, two) for c in cuts), len(one)])
     change = np.zeros(len(one), bool)
     change[starts[:-1][starts[:-1] < len(one)]] = True
     change[0] = True
     labels, parents, weights, at = [], [], [], []
-    for d, column in enumerate((one >> 32, one & 0xFFFFFFFF, two >> 32, two & 0xFFFFFFFF)):
+    for d in range(LONGEST):
+        column = ((one, two)[d // 2] >> (0 if d % 2 else 32)).astype(np.int32)  # the low half, as it is, or the high one
         change[1:] |= column[1:] != column[:-1]
         begin = np.flatnonzero(change)
         n, label = np.diff(np.append(begin, len(one))), column[begin]
         begin, n, label = (begin, n, label) if d == 0 else (x[label > 0] for x in (begin, n, label))
         if d == 0:
-            parents.append(pairs[label] // (len(words) + 1))
-            label = pairs[label] % (len(words) + 1)
+            parents.append((pairs[label] // (len(words) + 1)).astype(np.int32))
+            label = (pairs[label] % (len(words) + 1)).astype(np.int32)
         else:
-            parents.append(np.searchsorted(at[-1], begin, "right") - 1)
+            parents.append((np.searchsorted(at[-1], begin, "right") - 1).astype(np.int32))
         at.append(begin)
         labels.append(label - 1)
-        weights.append(n)
+        weights.append(n.astype(np.int32))
+    del one, two, change
     for r in np.flatnonzero(np.diff(starts)):
         low, high = zip(*(np.searchsorted(a, starts[r : r + 2]) for a in at), strict=True)
         own = [x[a:b] for x, a, b in zip(labels, low, high, strict=True)]
@@ -151,7 +156,7 @@ def united(parts: list[Automaton]) -> Automaton:
     labels, parents, weights = [], [], []
     state = to_lang  # of each part, the new number of each state one level up
     for d in range(LONGEST):
-        key = np.concatenate([(s[p.parents[d]] << 32) | w[p.labels[d]] for p, s, w in zip(parts, state, to_word, strict=True)])
+        key = np.concatenate([(s[p.parents[d]].astype(np.int64) << 32) | w[p.labels[d]] for p, s, w in zip(parts, state, to_word, strict=True)])
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, bool)
@@ -189,15 +194,29 @@ def unpacked(data: bytes, langs: list[str]) -> Automaton:
     return Automaton(langs, field[0].split(b" ") if field[0] else [], arrays[0::3], parents, arrays[2::3])
 
 
+def at_breaks(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of at most ``size`` bytes, which end where pieces do; a longer piece is a part of its own."""
+    start = 0
+    while len(text) - start > size:
+        end = max(text.rfind(c, start, start + size) for c in BREAKS)
+        if end < 0:
+            end = min((at for c in BREAKS if (at := text.find(c, start + size)) >= 0), default=len(text) - 1)
+        yield text[start : end + 1]
+        start = end + 1
+    yield text[start:]
+
+
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, list[np.ndarray], list[bytes]]]:
-    """The windows of at most SHARD bytes of text at a time (a longer text is one): languages, and of each window its one and its ranks."""
+    """The windows of at most SHARD bytes of text at a time (a longer text is taken in parts): languages, and of each window its one and its ranks."""
     for whole in batches:
         for b in slices(whole, "text", rows=1 << 30, size=SHARD):
-            of, ranks, words = windows(b["text"].cast(pa.large_binary()).to_pylist())
-            own = b["lang"].to_pylist()
+            texts, own = b["text"].cast(pa.large_binary()).to_pylist(), b["lang"].to_pylist()
             langs = sorted(set(own), key=str.encode)
             place = {x: i for i, x in enumerate(langs)}
-            yield langs, np.array([place[x] for x in own], np.int64)[of], ranks, words.to_pylist()
+            codes = np.array([place[x] for x in own], np.int32)
+            for part in [texts] if len(texts) > 1 else ([t] for t in at_breaks(texts[0], SHARD)):
+                of, ranks, words = windows(part)
+                yield langs, codes[of], ranks, words.to_pylist()
 
 
 CUT = ["lang", *(f"w{k}" for k in range(1, LONGEST + 1))]
