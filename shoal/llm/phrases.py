@@ -274,7 +274,7 @@ def counted(docs: DataFrame, least: int) -> DataFrame:
             yield frequent(united(held), part, sent.value, least)
 
     parts = docs.mapInArrow(build, "part int, langs array<string>, automaton binary")
-    got = parts.repartition("part").sortWithinPartitions("part").mapInArrow(unite, "lang string, phrase string, n_words int, f long")
+    got = parts.repartition(len(sent.value) + 1, "part").sortWithinPartitions("part").mapInArrow(unite, "lang string, phrase string, n_words int, f long")
     return got.groupBy("lang", "phrase", "n_words").agg(F.sum("f").cast("long").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
 
 
