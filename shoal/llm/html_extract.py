@@ -29,9 +29,15 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 SECTIONS = set("article main section aside header footer nav".split())
 #: Elements that make boxes of the page, by which its text is shared out.
 BOXES = set("body main article section aside header footer nav div td form".split())
+#: Fixed values, HTML's rules for end tags that may be left out: what may be in a head, what ends an open paragraph, and
+#: what an open paragraph isn't looked for beyond.
+HEADED = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
+ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section table ul".split())
+P_SCOPE = set("applet button caption html marquee object table td template th".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: A block also ends where these start again without an end tag.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)|[^<]+|<", re.S)
 #: An attribute's name and, after an equals sign, its value, with or without quotes.
 PAIR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -52,8 +58,9 @@ class Block:
 def attributes(src: str, pos: int) -> tuple[list[tuple[str, str]], bool, int]:
     """Names and values from after a tag's name on, whether the tag closes itself, and the place behind it.
 
-    Quotes count only behind an equals sign. A quoted value that holds the end of this tag and the start of another has
-    lost its closing quote: it then ends with this tag. A tag that doesn't end is the rest of the page.
+    Quotes count only behind an equals sign. A quoted value that holds the end of this tag and the start of another, and
+    behind whose closing quote neither space nor the tag's end comes, has lost its own closing quote: that one is another
+    tag's, and the value ends with this tag. A tag that doesn't end is the rest of the page.
     """
     out = []
     while True:
@@ -63,7 +70,7 @@ def attributes(src: str, pos: int) -> tuple[list[tuple[str, str]], bool, int]:
             return out, pos < len(src) and src[pos - 1] == "/", pos + 1
         m = PAIR.match(src, pos)
         value, end = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "", m.end()
-        if m[4] is None and ">" in value and "<" in value[value.index(">") :]:
+        if m[4] is None and end < len(src) and src[end] not in " \t\n\r\f>" and src[end : end + 2] != "/>" and ">" in value and "<" in value[value.index(">") :]:
             value = value[: value.index(">")]
             end = src.index(">", m.end(1))
         elif m[4] and m[4][0] in "\"'":
@@ -104,6 +111,15 @@ def blocks(page: str | None) -> list[Block]:
             open_now[e[0]] -= 1
         del stack[at:]
 
+    def close_last(names: set[str], beyond: set[str]) -> None:
+        """Closes the innermost open element of these names, if none of the others is inside it."""
+        for at in range(len(stack) - 1, -1, -1):
+            if stack[at][0] in names:
+                close(at)
+                return
+            if stack[at][0] in beyond:
+                return
+
     src, pos = page or "", 0
     while pos < len(src):
         m = TOKEN.match(src, pos)
@@ -113,6 +129,8 @@ def blocks(page: str | None) -> list[Block]:
             got = m[0]
             if got[0] == "<" and len(got) > 1 and not got.startswith("<![CDATA["):
                 continue
+            if dark and stack[-1][0] == "head" and not got.isspace():
+                close_last({"head"}, set())  # text isn't in a head
             if not dark:
                 text = html.unescape(got if not got.startswith("<![CDATA[") else got[9:].removesuffix("]]>"))
                 parts.append(text)
@@ -130,6 +148,12 @@ def blocks(page: str | None) -> list[Block]:
                     at -= 1
                 close(at)
             continue
+        if open_now["head"] and name not in HEADED:
+            close_last({"head"}, {"template"})
+        if open_now["p"] and name in ENDS_P:
+            close_last({"p"}, P_SCOPE)
+        if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
+            close(len(stack) - 1)
         if name in VOID:
             if name not in INLINE and name not in ("img", "input"):
                 flush()
@@ -138,12 +162,7 @@ def blocks(page: str | None) -> list[Block]:
         if not marks and name in SECTIONS:
             marks.append(f"bare:{name}")
         if name in IMPLIED:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] in IMPLIED[name]:
-                    close(at)
-                    break
-                if stack[at][0] in ("table", "ul", "ol", "dl", "div", "article", "section", "body"):
-                    break
+            close_last(IMPLIED[name], {"table", "ul", "ol", "dl", "div", "article", "section", "body"})
         if name not in INLINE:
             flush()
         if ends and name not in INLINE | {"p", "div"}:
@@ -195,7 +214,7 @@ def features(page: list[Block]) -> list[list[str]]:
         f += [f"len:{size[i]}", f"links:{way[i]}", "words:" + str(min(5, b.text.count(" ").bit_length()))]
         if b.text[-1] in ".!?\"'”»…:;。！？":
             f.append("ends")
-        if "©" in b.text or "(c)" in b.text:
+        if len(b.text) < 200 and ("©" in b.text[:24] or "(c)" in b.text[:24]):  # a notice begins so; prose may hold the sign
             f.append("copyright")
         for j, box in enumerate(reversed(b.boxes)):
             share = held[box] / total
@@ -352,7 +371,11 @@ class Page:
         for _ in range(rng.randint(1, 8)):
             kind = rng.random()
             text = "+" + (_phrase(rng, 1, 4) if rng.random() < 0.2 else _phrase(rng, 8, 80))
-            if kind < 0.6:
+            if rng.random() < 0.05:
+                text = text[: len(text) // 2] + " \u00a9 " + text[len(text) // 2 :]
+            if kind < 0.03 and self.family in ("article", "main"):
+                out.append(f"<p><a href='/s'>{text}</a></p>")
+            elif kind < 0.6:
                 out.append(rng.choice((f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}</b></p>", f"<p><b>{text}<br>", f"<p>{text} <a href='/x'>ti vo</a> ne.</p>")))
             elif kind < 0.7:
                 out.append(f"<h2>+{_phrase(rng, 1, 6)}</h2>")
@@ -385,7 +408,10 @@ class Page:
     def talk(self) -> str:
         rng = self.rng
         forms = ("<div class='comment'><p>-{}</p></div>", "<li><p>-{}</p></li>", "<article class='comment'><p>-{}</p></article>")
-        return self.wrap("section", "talk", "".join(rng.choice(forms).format(_phrase(rng, 3, 40)) for _ in range(rng.randint(1, 4))))
+        head = f"<h{rng.randint(2, 4)}>-{_phrase(rng, 1, 3)}" if rng.random() < 0.5 else ""
+        head += f"</{head[1:3]}>" if head else ""
+        by = rng.choice(("", "", "<b>-{}</b>", "<div class='author'>-{}</div>", "<p>-{}</p>"))
+        return self.wrap("section", "talk", head + "".join(by.format(_phrase(rng, 1, 2)) + rng.choice(forms).format(_phrase(rng, 3, 40)) for _ in range(rng.randint(1, 4))))
 
     def drawn(self) -> str:
         rng, family = self.rng, self.family

@@ -78,6 +78,30 @@ def test_deep_and_long_pages_take_linear_time(crf):
     assert len(html_extract.main_text(crf, f"<article><h1>A title</h1><p>{TEXT * 20_000}</p></article>")) > 1_000_000
 
 
+PROSE = "The river was high that spring and the old bridge stood in water up to its arches, so nobody crossed it for weeks."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<html><head><title>t</title><body><article><p>{PROSE}</p></article>", PROSE),
+        (f"<html><head><title>t</title><meta charset=utf-8><style>p {{}}</style><article><p>{PROSE}<p>{PROSE}</article>", f"{PROSE} {PROSE}"),
+        (f"<article><p hidden>gone<h2>Shown</h2><p>{PROSE}</p></article>", f"Shown {PROSE}"),
+        (f"<article><!--><p>{PROSE}</p><!---><p>{PROSE}</p><!-- <p>gone</p> --!></article>", f"{PROSE} {PROSE}"),
+        (f'<article><p data-x="<b>bold</b>">{PROSE}</p></article>', PROSE),
+        (f'<article><p>{PROSE} <a href="/x>here</a> and <a href="/y">there</a>.</p></article>', f"{PROSE} here and there."),
+        (f"<article><p>{PROSE} The sign © marks it.</p></article>", f"{PROSE} The sign © marks it."),
+        (f"<article><h1>Title<h2>Sub</h2><p>{PROSE}<table><tr><td>1<td>2</table>after the table it goes on for some words.</article>", f"Title Sub {PROSE} 1 2 after the table it goes on for some words."),
+        (f"<html><head></head>Text before <article><p>{PROSE}</p></article></html>", None),
+        (f"<body><article><h1>Bridge</h1><p>{PROSE}</p><p>{PROSE}</p></article><section id=comments><h2>Comments</h2><b>Ann</b><div class=comment><p>I liked it very much, thanks.</p></div></section></body>", f"Bridge {PROSE} {PROSE}"),
+    ],
+)
+def test_extraction_by_the_rules_of_html(crf, page, want):
+    """Left-out end tags, empty comments, quotes, the copyright sign in prose and comments with a heading."""
+    got = html_extract.main_text(crf, page)
+    assert got == want if want is not None else PROSE in got
+
+
 def test_extraction_of_the_table(spark, sf, crf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract(pages, crf).collect()}
