@@ -54,11 +54,13 @@ def op5(spark, sf_dir):
     with recursive crc as (
         select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as crc
     ),
-    d as (
-        select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint % 4096 as virtual_slot,
+    t as (
+        select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size,
                xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) as text_crc32
         from documents, crc
     ),
+    o as (select *, coalesce(cast(doc_id as varchar), 'null:' || size || ':' || text_crc32 || ':' || (row_number() over (partition by doc_id, text_crc32 order by size) - 1)) as owner from t),
+    d as (select doc_id, size, text_crc32, ('0x' || substr(md5(owner), 1, 8))::bigint % 4096 as virtual_slot from o),
     s as (
         select virtual_slot, coalesce(sum(size), 0)::bigint as bytes, count(size) as n, row_number() over (order by coalesce(sum(size), 0) desc, virtual_slot) as place
         from (select range as virtual_slot from range(4096)) left join d using (virtual_slot) group by virtual_slot

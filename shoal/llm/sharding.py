@@ -12,17 +12,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.common import saved, text_or_empty
+from shoal.llm.common import fresh, saved, text_or_empty
+from shoal.operators import ranges
 
 SLOTS = 4096
 
 
 def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
-    """A function of the id alone; null ids share the slot of the empty string."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8)
+    """A function of the id alone."""
+    digits = F.substring(F.md5(doc_id.cast("string")), 1, 8)
     return F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
+def slotted(rows: DataFrame, doc_id: str, size: Column, crc: Column, slots: int = SLOTS) -> DataFrame:
+    """``rows`` with virtual_slot. Rows without an id go by size and crc of their text and their place among those of the same,
+    so that no slot gets more than its share of them; only they are shuffled."""
+    named = rows.where(F.col(doc_id).isNotNull()).withColumn("virtual_slot", virtual_slot(F.col(doc_id), slots))
+    anonymous = rows.where(F.col(doc_id).isNull())
+    if anonymous.select(doc_id).isEmpty():
+        return named
+    a, b, place = fresh(rows, "crc", "size", "place")
+    anonymous = ranges.scanned(anonymous.withColumns({a: crc, b: size}), a, [b], place)
+    return named.unionByName(anonymous.withColumn("virtual_slot", virtual_slot(F.concat_ws(":", F.lit("null"), F.col(b), F.col(a), F.col(place)), slots)).drop(a, b, place))
+
+
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     """virtual_slot, bytes, n for all slots, empty ones too."""
     every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
@@ -91,13 +104,13 @@ def numbered(rows: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFram
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *sized(text))
+    return slotted(rows, "doc_id", F.col("size"), F.col("text_crc32"), slots)
+
+
+def sized(text: str) -> tuple[Column, Column]:
     body = text_or_empty(text)
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body).cast("long").alias("text_crc32"),
-        virtual_slot(F.col(doc_id), slots).alias("virtual_slot"),
-    )
+    return (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).cast("long").alias("text_crc32")
 
 
 def shard(docs: DataFrame, maps: str, shards: int = 16, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -105,7 +118,7 @@ def shard(docs: DataFrame, maps: str, shards: int = 16, doc_id: str = "doc_id",
 
     Law ``bytes``: shards get nearly equal sizes, as near as whole virtual slots allow. Stores the map as version 1 in the
     folder ``maps``, and as version 2 its edit for one shard more, where a row goes to ``next_shard``. Null text has size
-    1 and crc 0; null ids share one virtual slot; repeated rows lie side by side in one. Rows that tie on id, size and
+    1 and crc 0; rows with null ids are spread over the virtual slots (``slotted``); repeated rows lie side by side in one. Rows that tie on id, size and
     crc are numbered in any order. Very long texts are rows like others. An empty table gives no rows. Other columns,
     whatever their names, are not read.
     """
@@ -131,10 +144,10 @@ def shard(docs: DataFrame, maps: str, shards: int = 16, doc_id: str = "doc_id",
 def assigned(docs: DataFrame, maps: str, shards: int = 16, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """``docs``, all columns and rows, with shard, virtual_slot and map_version; columns of these names are replaced.
 
-    A row's shard follows from its id and the map, one row a slot, so that texts aren't shuffled. The map is stored
+    A row's shard follows from its id and the map, one row a slot, so that texts of rows with ids aren't shuffled. The map is stored
     as version 1 in the folder ``maps``. Nulls, repeats and empty tables as in ``shard``.
     """
     sizes = slot_sizes(measured(docs, doc_id, text, slots), slots)
     slot_map = loaded(docs.sparkSession, maps, stored(first_map(sizes, shards), maps)).select("virtual_slot", "shard", F.col("version").alias("map_version"))
-    plain = docs.drop("shard", "virtual_slot", "map_version").withColumn("virtual_slot", virtual_slot(F.col(doc_id), slots))
+    plain = slotted(docs.drop("shard", "virtual_slot", "map_version"), doc_id, *sized(text), slots)
     return plain.join(F.broadcast(slot_map), "virtual_slot").select(*plain.columns[:-1], "shard", "virtual_slot", "map_version")

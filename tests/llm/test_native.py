@@ -97,6 +97,21 @@ def water(sizes, weights, total, most):
         full |= over
 
 
+def test_rows_without_ids_are_spread(spark):
+    """Half the rows have no id, half of these one text: shards stay as even as slots are, and each row has one place."""
+    rows = [(None if i % 2 else i, "same text" if i % 4 == 1 else f"text {i} " * (i % 5), "en", "s", 1, "", "", "") for i in range(20_000)]
+    got = sharding.shard(table(spark, rows), scratch_path(spark, "test-maps"), shards=8).collect()
+    size, slot = Counter(), Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+        slot[r.virtual_slot] += r["size"]
+    assert len(got) == 20_000 and max(size.values()) - min(size.values()) <= max(slot.values())
+    assert max(slot.values()) < 4 * sum(slot.values()) / sharding.SLOTS + 200
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
+    whole = sharding.assigned(table(spark, rows), scratch_path(spark, "test-maps"), 8).collect()
+    assert Counter(r.shard for r in whole) == Counter(r.shard for r in got) and len(whole) == 20_000
+
+
 def test_mixing(spark):
     rows = documents()
     got = mixing.mix(table(spark)).collect()
