@@ -21,9 +21,24 @@ SHARDS = 16
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a key of 64 bits for each different row, and that column's name."""
+    """``docs`` with a key of 128 bits for each different row, and that column's name. A column counts with its length, or as
+    null, so that rows whose values only stand elsewhere differ."""
     (key,) = fresh(docs, "key")
-    return docs.withColumn(key, F.xxhash64(*docs.columns)), key
+    value = lambda c: F.col(c).cast("string")
+    parts = [F.coalesce(F.concat(F.length(value(c)).cast("string"), F.lit(":"), value(c)), F.lit("null")) for c in docs.columns]
+    return docs.withColumn(key, F.md5(F.concat_ws(",", *parts))), key
+
+
+def numbered(rows: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``rows`` with a number of 64 bits for each key, and that column's name; keys of one number get others."""
+    num, again = fresh(rows, "num", "again")
+    rows = rows.withColumn(num, F.xxhash64(key))
+    same = rows.groupBy(num).agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a < b").select(num, F.lit(1).alias(again))
+    same = saved(same, "same-numbers")
+    if same.isEmpty():
+        return rows, num
+    both = rows.join(F.broadcast(same), num, "left")  # some few of 10^10 rows
+    return both.withColumn(num, F.when(F.col(again) == 1, F.xxhash64(key, F.lit("again"))).otherwise(F.col(num))).drop(again), num
 
 
 def once(rows: DataFrame, key: str) -> DataFrame:
@@ -45,14 +60,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id stays of each component of near duplicates, and equal rows stay once."""
     rows, key = keyed(docs)
-    got = ngram_join.ngram_join(rows, WIDTH, NUM, DEN, doc_id=key).select(F.col("doc_id").alias(key), "component_id").distinct()
+    rows, num = numbered(rows, key)
+    got = ngram_join.ngram_join(rows, WIDTH, NUM, DEN, doc_id=num).select(F.col("doc_id").alias(num), "component_id").distinct()
     got = saved(got, "row-components")
-    groups = saved(got.where(F.col(key) != F.col("component_id")).select("component_id").distinct(), "near-groups")
-    members = among(got, groups, "component_id").join(rows.select(key, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key).alias("place")), key)
+    groups = saved(got.where(F.col(num) != F.col("component_id")).select("component_id").distinct(), "near-groups")
+    members = among(got, groups, "component_id").join(rows.select(num, key, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key).alias("place")), num)
     members = saved(members.select(key, "component_id", "place"), "near-members")
     first = members.groupBy("component_id").agg(F.min("place").alias("first"))
     gone = members.join(first, "component_id").where(F.col("place") != F.col("first")).select(key).distinct()
-    return once(among(rows, saved(gone, "near-duplicates"), key, "left_anti"), key).drop(key)
+    return once(among(rows, saved(gone, "near-duplicates"), key, "left_anti"), key).drop(key, num)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from fixtures import documents, empty, table
+from pyspark.sql import functions as F
 from test_joins import brute
 from test_native import leak_of, water, words
 
@@ -82,5 +83,25 @@ def test_stages_of_empty_tables_and_clashing_names(spark, tmp_path):
     assert {r.doc_id for r in docs.collect()} == {1}
 
 
+def test_rows_that_differ_only_in_where_a_null_stands_stay_apart(spark, tmp_path, monkeypatch):
+    """Also where the numbers that the join needs collide."""
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    other = lambda i: " ".join(f"{w}{i}" for w in ITEM.split())
+    rows = [(7, other(1), None, "en", 5), (7, other(2), "en", None, 5), (None, other(1) + " and more of it", "7", "en", 5), (7, other(2), None, "en", 5), (7, other(3), "e", "n", 5), (7, other(3), "en", "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    keys, key = pipeline.keyed(docs)
+    assert keys.select(key).distinct().count() == len(rows)
+    for hashed in (F.xxhash64, lambda *c: F.lit(1).cast("long") if len(c) == 1 else F.crc32(c[0])):
+        monkeypatch.setattr(pipeline.F, "xxhash64", hashed)
+        rows2, num = pipeline.numbered(keys, key)
+        assert rows2.select(num).distinct().count() == len(rows) and rows2.count() == len(rows)
+    monkeypatch.undo()
+    whole = spark.createDataFrame([(None, "a b", "x", None, 1), (None, "a b", None, "x", 1)], docs.schema)
+    assert Counter(pipeline.once(*pipeline.keyed(whole.union(whole))).drop("_key").collect()) == Counter(whole.collect())
+    mixed = Counter(tuple(r) for r in pipeline.mix(spark, docs, str(tmp_path)).collect())
+    assert set(mixed) <= set(rows) and len(mixed) >= 3
+    assert {tuple(r) for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()} <= set(rows)
+
+
 def test_run_reads_the_tables(spark, sf):
     assert pipeline.run(spark, sf).count() > 100
