@@ -5,7 +5,7 @@ template; a word is typed by its own letters, wherever it stands. Windows of tem
 benchmark's; a document that covers an item, or holds a long run of it, is a candidate, and the values that fill the
 placeholders of an occurrence, which is where the item begins in the document, must be consistent: each value of the
 item stands for one value there, wherever it recurs (two of the item may become one). Other occurrences don't count, but
-those that hold enough of the item's own words do. Items of too few windows are looked for as a whole, by their own
+those that hold enough of the item's own words do. A copy all in capitals or small letters is met by an item's form without names. Items of too few windows are looked for as a whole, by their own
 words; in scripts without spaces, every character is a word. DataFrame functions only.
 """
 
@@ -135,9 +135,12 @@ def row_kind(key: str, text: str) -> Column:
 
 
 def leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """row, item, coverage, run, n_slots, n_changed: rows of documents and items of the benchmark as ``row_kind``."""
+    """row, item, coverage, run, n_slots, n_changed: rows of documents as ``row_kind``, and so items, with their form."""
+    # Names are known by their capitals, so an item has a second form without them: a copy in one case shows none.
     b = benchmark.select(row_kind(item_id, item_text).alias("item"), F.col(item_text).alias("b_text"))
-    typed = windows(b.select("item", "b_text", words(template(text_or_empty("b_text"))).alias("typed"), words(text_or_empty("b_text")).alias("raw")), "typed", width)
+    forms = F.array_distinct(F.array(words(template(text_or_empty("b_text"))), words(template(F.lower(text_or_empty("b_text"))))))
+    b = b.select("item", "b_text", F.posexplode(forms).alias("form", "typed"))
+    typed = windows(b.select(F.struct("item.*", "form").alias("item"), "b_text", "typed", words(text_or_empty("b_text")).alias("raw")), "typed", width)
     b = saved(typed.select("item", "b_text", "typed", "raw", "h").dropDuplicates(["item"]), "items")
     literal = F.size(F.filter(F.slice("typed", F.col("at") + 1, width), lambda w: ~w.rlike("^[\x01-\x04]$")))
     keys = b.select("item", "typed", F.posexplode("h").alias("at", "h")).where(literal >= min(LITERAL, width)).select("h", "item", F.col("at").alias("item_at"))
@@ -173,7 +176,7 @@ def leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     right = reached(runs.join(found.select("row", "item"), ["row", "item"], "left_semi").join(wrong, ["row", "item", "shift"], "left_anti"), totals)
     counts = judged.join(wrong, ["row", "item", "shift"], "left_anti").groupBy("row", "item").agg(F.sum("n_slots").alias("n_slots"), F.sum("n_changed").alias("n_changed"))
     out = right.join(counts, ["row", "item"], "left").na.fill(0, ["n_slots", "n_changed"]).select("row", "item", "coverage", F.col("run").cast("int"), "n_slots", "n_changed")
-    scarce = saved(b.select("item", text_or_empty("b_text").alias("b_text")).join(totals.where(F.col("windows") >= FEW), "item", "left_anti"), "scarce")
+    scarce = saved(b.where("item.form = 0").select("item", text_or_empty("b_text").alias("b_text")).join(totals.where(F.col("windows") >= FEW), "item", "left_anti"), "scarce")
     if scarce.isEmpty():
         return out
     more = whole(d, scarce).select("row", "item", F.lit(1.0).alias("coverage"), F.col("run").cast("int"), F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_changed"))

@@ -185,6 +185,11 @@ def typed_words(text):
 
 
 def leak_of(doc, item):
+    """Whether a document leaks an item in either form, with its names and in small letters."""
+    return leaks_form(doc, item) or leaks_form(doc, (item or "").lower())
+
+
+def leaks_form(doc, item):
     """Whether a document leaks an item: windows by all places, occurrences by shift, whole items."""
     import regex
 
@@ -218,6 +223,18 @@ def leak_of(doc, item):
     return len(counted) < 5 and any(c.isalpha() for c in item or "") and bool(w) and any(x[i : i + len(w)] == w for i in range(len(x)))
 
 
+def test_copies_in_one_case_are_found(spark):
+    """A copy in capitals or small letters shows no names; one with other names in it is no copy."""
+    item = "What is the capital of France and which river runs through the old city of Paris before it meets the Marne near the royal park"
+    texts = [item.upper(), item.lower(), f"so {item.upper()} then", item, item.upper().replace("RIVER", "ROAD 7").replace("CAPITAL", "X").replace("OLD CITY", "Y"), "THE CAPITAL OF FRANCE", item.upper().replace("FRANCE", "SPAIN")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item.upper())], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
+    want = {(i, k) for i, t in enumerate(texts) for k, b in ((1, item), (2, item.upper())) if leak_of(t, b)}
+    assert got == want and {(i, 1) for i in range(4)} <= got and not {(4, 1), (5, 1)} & got
+    assert {(0, 2), (1, 2), (2, 2)} <= got
+
+
 def test_leaks_equal_brute_force(spark):
     """Random items and documents of copies, other figures and names, cut and inconsistent ones; repeated and null ids."""
     rng = random.Random(12)
