@@ -81,9 +81,16 @@ def _folding(names: list[str], rows):
         held: list[tuple] = []
 
         def fold() -> None:
-            *cols, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, first, inv = np.unique(cols[0], return_index=True, return_inverse=True)
-            held[:] = [(keys, *(c[first] for c in cols[1:]), np.bincount(inv, weights=n, minlength=len(keys)).astype(np.int64))]
+            """One column after the other, so that no more than two are there twice at a time."""
+            whole = lambda j: np.concatenate([h[j] for h in held])
+            keys = whole(0)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+            first, keys = order[begin], keys[begin]
+            n = np.add.reduceat(whole(-1)[order], begin) if len(begin) else whole(-1)
+            del order
+            held[:] = [(keys, *(whole(j)[first] for j in range(1, len(held[0]) - 1)), n)]
 
         for b in batches:
             for part in slices(b, "text", rows=2048, size=2_000_000):
