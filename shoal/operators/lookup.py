@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.stored import saved
+
 
 def owned(requests: DataFrame, sessions: DataFrame, keys=("session_id", "window_id")) -> DataFrame:
     """Requests whose session exists and belongs to the window that asks."""
@@ -40,21 +42,24 @@ def resolved(df: DataFrame, table: DataFrame, wanted: str, key: str, fallback: s
     return joined.withColumn("resolved", F.coalesce("_name", fallback)).drop("_name")
 
 
-#: Characters of a key that lead to the words which may hold it.
-GRAM = 3
+#: Characters of a key that lead to the words which may hold it, and how many keys may be broadcast.
+GRAM, MOST_KEYS = 3, 1_000_000
 
 
 def unread_keys(keys: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
     """Keys without white space that no text of the corpus contains, inside words too.
 
     Texts are cut into their distinct words once. A key begins with one of the grams of each word that holds it, so
-    keys and words meet in an equi-join, and only those that meet are compared. The empty key is in every text.
+    keys and words meet in an equi-join, and only those that meet are compared. The keys' grams, where a count shows
+    them to be few, go to the words instead, so that no gram of a word is shuffled. The empty key is in every text.
     """
     words = corpus.select(F.explode(F.split(text, r"\s+")).alias("_word")).distinct().where("_word <> ''")
     n = F.length("_word")
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(GRAM))), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr("_word", i, k)))))
     asked = keys.select(F.col(key).alias("_key"), F.substring(key, 1, GRAM).alias("_gram")).distinct()
-    met = words.select("_word", F.explode(grams).alias("_gram")).join(asked, "_gram").where(F.contains("_word", "_key"))
+    asked = saved(asked, "asked-keys")
+    few = asked.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    met = words.select("_word", F.explode(grams).alias("_gram")).join(F.broadcast(asked) if few else asked, "_gram").where(F.contains("_word", "_key"))
     found = met.select(F.col("_key").alias(key)).distinct()
     return keys.where(F.col(key) != "").join(found, key, "left_anti")
 

@@ -13,8 +13,13 @@ def neighbours(df: DataFrame, group: str, order: list[str], value: str, name: st
 
 
 def cycled(df: DataFrame, group: str, order: list[str], value: str, delta: int, name: str = "target") -> DataFrame:
-    """The value ``delta`` places on, around the group; the own value in groups of one."""
+    """The value ``delta`` places on, around the group; the own value in groups of one. One place on or back is one window's
+    neighbour or its other end; further ones meet by their places."""
     own, every = Window.partitionBy(group).orderBy(*order), Window.partitionBy(group)
+    if abs(delta) == 1:
+        whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        beside, end = (F.lead, F.first) if delta == 1 else (F.lag, F.last)
+        return df.withColumn(name, F.coalesce(beside(F.struct(value)).over(own), end(F.struct(value)).over(whole))[value])
     placed = df.withColumn("_at", F.row_number().over(own) - 1).withColumn("_n", F.count(F.lit(1)).over(every))
     to = placed.select(F.col(group).alias("_g"), F.col("_at").alias("_to"), F.col(value).alias(name))
     met = placed.join(to, (F.col(group) == F.col("_g")) & (F.pmod(F.col("_at") + delta, F.col("_n")) == F.col("_to")))
