@@ -8,7 +8,7 @@ block knows where it is entered and marks its starts in one pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -137,6 +137,16 @@ def rate_limited(df: DataFrame, key: str, order: list[str], at: str, size: str,
     return got.select(F.col("_window.k").alias(key), *fields, "accepted")
 
 
+def by_size(df: DataFrame, key: str, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], most: int = BLOCK) -> DataFrame:
+    """``small`` of the rows of keys that have at most ``most`` rows, and ``large`` of the other keys': a fold costs one shuffle
+    and suits keys that a task reads in no time, list ranking costs several and suits keys of any size."""
+    hot = saved(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key), "hot-keys")
+    if hot.isEmpty():
+        return small(df)
+    few = F.broadcast(hot) if hot.count() <= 1_000_000 else hot  # at most one key in ``most`` rows
+    return small(matched(df, few, [key], "left_anti")).unionByName(large(matched(df, few, [key], "left_semi")))
+
+
 def compose(f: Column, g: Column) -> Column:
     """Two maps of states to states as arrays, first ``f``, then ``g``."""
     return F.transform(f, lambda s: F.get(g, s))

@@ -106,6 +106,19 @@ def test_batches_and_limits_of_hot_keys_equal_the_loop(parted, seed, block):
     assert accepted == {k: limits(each, 50, 10) for k, each in data.items()}
 
 
+def test_keys_go_by_their_size(parted):
+    """Large keys by list ranking, small ones and the null key by the fold; together the same as all by the fold."""
+    rows = [(k, at, i, (v or 0)) for k, at, i, v in keyed_rows(4)]
+    df = parted.createDataFrame(rows, "k string, at long, seq long, size long").repartition(5)
+    seen = []
+    fold = lambda part: seen.append(("fold", part.select("k").distinct().count())) or folds.micro_batches(part, "k", ["at", "seq"], "at", "size", 8, 20)
+    rank = lambda part: seen.append(("rank", part.select("k").distinct().count())) or chains.micro_batches(part, "k", ["at", "seq"], "at", "size", 8, 20, block=50)
+    got = Counter(map(tuple, chains.by_size(df, "k", fold, rank, most=100).select("k", "batch_id", "opened_at", "n_chunks", "size", "reason").collect()))
+    assert seen == [("fold", 31), ("rank", 1)]
+    assert got == Counter(map(tuple, folds.micro_batches(df, "k", ["at", "seq"], "at", "size", 8, 20).collect()))
+    assert Counter(map(tuple, chains.by_size(df, "k", fold, rank, most=10_000).collect())) == got and seen[-1] == ("fold", 32)
+
+
 def test_a_hot_key_is_spread_over_tasks(parted):
     """One key of 200,000 rows: the same batches as the fold, while no task walks through more than a block."""
     df = parted.range(200_000).select(F.lit("hot").alias("k"), (F.col("id") * 3 + F.col("id") % 7).alias("at"), F.col("id").alias("seq"), (F.col("id") % 11).alias("size"))
