@@ -3,10 +3,12 @@
 Lines of an edit distance up to ``edits`` share, whole and hardly moved, one of any edits + 1 segments of the shorter
 line. Each distinct line gives its own segments to an index and, for every shorter length that a partner may have,
 the few substrings that such a partner's segments can lie in; both are hashes with length and segment number, and meet
-in one hash join. With each goes a sketch of the line's characters, of which an edit changes few bits: lines that share
-a segment but differ in more elsewhere, like the members of a large family of near copies, are told apart inside the
-join and make no row. What is left is verified by a bit-parallel edit distance over the band of 2 * edits + 1
-diagonals, for many pairs at once. Verified links' components are the classes; the first line of a class stays.
+in one hash join. A segment that more than ``MANY`` lines index is not joined: what it leaves of a line is cut into
+pieces, more than the edits can touch, so a partner also shares one of them, and such lines meet by segment and piece
+together; pieces that are still shared by many are followed by pieces of the rest. So the lines that are compared grow
+with the lines. With each goes a sketch of the line's characters, of which an edit changes few bits: lines that meet but
+differ in more elsewhere make no row. What is left is verified by a bit-parallel edit distance over the band of
+2 * edits + 1 diagonals, for many pairs at once. Verified links' components are the classes; the first line of a class stays.
 
 Lines of all lengths are compared: equal ones always, and from ``least`` characters on with ``edits`` edits, below with
 as many edits to a character, as two edits in two words of three letters would make one class of all of them.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from shoal.llm.ngram_join import components
 EDITS, LEAST_CHARS = 2, 30
 #: Distinct lines that a task remembers in order not to repeat their rows; beyond it, repeats are only dropped later.
 MEMORY = 500_000
+#: Lines that may index one segment or piece before a further piece is asked for, and the most pieces that are.
+MANY, PIECES = 256, 3
 #: Bits of a sketch for single characters and for pairs of them; an edit changes at most 2 and 4 of these.
 ONES, TWOS = 24, 40
 #: Characters of the lines that are verified at once, and of a line that is followed by its diagonals instead.
@@ -77,20 +82,53 @@ def allowed(length: int, edits: int = EDITS, least: int = LEAST_CHARS) -> int:
 
 def signatures(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS) -> list[int]:
     """The hashes that a line puts in the index, or those that it looks up there."""
+    return [sig for sig, _ in tagged(line, probe, edits, least)]
+
+
+def tagged(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS) -> list[tuple[int, int]]:
+    """The same, each with its segment's number and, in the low 40 bits, the shorter line's length."""
     n = len(line)
     plan = _PLANS.get((n, edits, least))
     if plan is None:
         most = allowed(n, edits, least)
-        own = [(i << 24 | n, at, size) for i, (at, size) in enumerate(segments(n, most))] if most else []
+        own = [(i << 40 | n, at, size) for i, (at, size) in enumerate(segments(n, most))] if most else []
         look = []
         for m in range(max(1, n - edits), n + 1):
             most = allowed(m, edits, least)
             if most and n - m <= most:
-                look += [(i << 24 | m, at, size) for i, at, size in probe_places(n, m, most)]
+                look += [(i << 40 | m, at, size) for i, at, size in probe_places(n, m, most)]
         plan = _PLANS[n, edits, least] = [[(tag, 4 * at, 4 * (at + size)) for tag, at, size in x] for x in (own, look)]
     data = line.encode("utf-32-le", "surrogatepass")
     h = xxhash.xxh3_64_intdigest
-    return [h(data[s:e], tag) for tag, s, e in plan[probe]]
+    return [(h(data[s:e], tag), tag) for tag, s, e in plan[probe]]
+
+
+@lru_cache(100_000)
+def pieces(length: int, edits: int, way: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Start and size of what is left of a line once the segment and the pieces of ``way`` are out, halved each time."""
+    left = segments(length, edits)
+    for out in way:
+        left = [p for i, p in enumerate(left) if i != out]
+        left = [half for at, size in left for half in ((at, size // 2), (at + size // 2, size - size // 2)) if half[1]]
+    return left
+
+
+def continued(line: str, sig: int, length: int, way: tuple[int, ...], probe: bool, edits: int) -> list[tuple[int, int]]:
+    """(hash, number) of each piece after ``way``, where a line has it or, for a probe, where a partner's can lie.
+
+    The pieces outnumber the edits, so one of them is whole in every alignment that keeps those of ``way``. What moved
+    it and what moves the end back are edits of their own.
+    """
+    gap = len(line) - length
+    moves = [s for s in range(-edits, edits + 1) if abs(s) + abs(gap - s) <= edits] if probe else [0]
+    data = line.encode("utf-32-le", "surrogatepass")
+    out = []
+    for j, (at, size) in enumerate(pieces(length, edits, way)):
+        seed = (sig + (j + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+        for p in (at + s for s in moves):
+            if 0 <= p and p + size <= len(line):
+                out.append((xxhash.xxh3_64_intdigest(data[4 * p : 4 * (p + size)], seed), j))
+    return out
 
 
 def sketches(lines: list[str]) -> np.ndarray:
@@ -243,6 +281,31 @@ def _signature_rows(probe: bool, name: str, edits: int, least: int):
     return run
 
 
+def _piece_rows(probe: bool, name: str, edits: int, least: int):
+    """The next pieces of (sig, way, line); ``way`` is empty for a segment, else the shorter length and the numbers so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "line"):
+                sigs, ways, n = [], [], []
+                lines = part["line"].to_pylist()
+                for line, sig, way in zip(lines, part["sig"].to_pylist(), part["way"].to_pylist(), strict=True):
+                    sig &= 2**64 - 1
+                    begun = [way] if way else [[tag & (1 << 40) - 1, tag >> 40] for tag in {t for h, t in tagged(line, probe, edits, least) if h == sig}]
+                    before = len(sigs)
+                    for length, *so_far in begun:
+                        for h, j in continued(line, sig, length, tuple(so_far), probe, allowed(length, edits, least)):
+                            sigs.append(h)
+                            ways.append([length, *so_far, j])
+                    n.append(len(sigs) - before)
+                yield pa.record_batch(
+                    [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.repeat(part["k"].to_numpy(), n)), pa.array(np.repeat(sketches(lines), n)), pa.array(ways, pa.list_(pa.int64()))],
+                    names=["sig", name, f"sketch_{name}", "way"],
+                )
+
+    return run
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in slices(b, "text"):
@@ -267,20 +330,43 @@ def _verified(edits: int, least: int):
     return run
 
 
+def meetings(x: DataFrame, y: DataFrame, edits: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(met, hot): rows (x, y) of lines that share a signature which few lines index and whose sketches allow for it, and,
+    with a null ``x``, those that ask for one that many do; and the latter signatures, none at the ``last`` piece."""
+    few = F.lit(False) if last else F.col("n") > MANY
+    hot = saved(x.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(few).select("sig"), "hot-segments")
+    marks = hot.select("sig", F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("sketch_x"))
+    index = among(x, hot, "sig", "left_anti").select("sig", "x", "sketch_x").unionByName(marks)
+    y = y.withColumnRenamed("sig", "asked")
+    met = F.col("x").isNull() | ((F.col("x") != F.col("y")) & alike(F.col("sketch_x"), F.col("sketch_y"), edits))
+    return saved(index.join(y, (F.col("sig") == F.col("asked")) & met).select("sig", "x", "y", "way"), "lines-met"), hot
+
+
 def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(a, b): keys of different lines within the edits that the shorter one is allowed."""
-    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long").repartition("sig").dropDuplicates()
-    met = (F.col("x") != F.col("y")) & alike(F.col("sketch_x"), F.col("sketch_y"), edits)
-    x, y = side(False, "x"), side(True, "y").withColumnRenamed("sig", "asked")
-    pairs = x.join(y, (F.col("sig") == F.col("asked")) & met).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    pairs = saved(pairs.distinct(), "line-pairs")
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), "line-candidates")
+    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long").dropDuplicates().withColumn("way", F.array().cast("array<long>"))
+    x = saved(side(False, "x"), "line-segments")
+    met, hot = meetings(x, side(True, "y"), edits, last=False)
+    wanted = saved(met.select(F.explode(F.array("x", "y")).alias("k1")).where("k1 is not null").distinct(), "line-candidates")
     texts = among(docs.select("text").mapInArrow(_texts, "k1 long, k2 long, line string"), wanted, "k1").dropDuplicates(["k1", "k2"])
     texts = saved(texts, "line-texts")
+    of = texts.select(F.col("k1").alias("k"), "line")
+    used, found = [x, met, hot, wanted, texts], [met]
+    for no in range(1, PIECES + 1):
+        if hot.isEmpty():
+            break
+        more = lambda rows, probe, name: rows.join(of, "k").mapInArrow(_piece_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long, way array<long>").dropDuplicates()
+        asking = met.where("x is null").select("sig", F.col("y").alias("k"), "way")
+        x = saved(more(among(x, hot, "sig").select("sig", F.col("x").alias("k"), "way"), False, "x"), "line-pieces")
+        met, hot = meetings(x, more(asking, True, "y"), edits, last=no == PIECES)
+        used += [x, met, hot]
+        found.append(met)
+    pairs = [m.where("x is not null").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")) for m in found]
+    pairs = saved(reduce(DataFrame.unionByName, pairs).distinct(), "line-pairs")
     one, two = (texts.select(F.col("k1").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("line").alias(f"line_{x}")) for x in "ab")
     links = pairs.join(one, "a").join(two, "b").select("a1", "a2", "b1", "b2", "line_a", "line_b").mapInArrow(_verified(edits, least), "a1 long, a2 long, b1 long, b2 long")
     links = saved(links.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b")), "line-links")
-    released(pairs, wanted, texts)
+    released(pairs, *used)
     return links
 
 

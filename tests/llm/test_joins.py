@@ -158,6 +158,56 @@ def test_line_dedup(spark, tmp_path):
     assert line_dedup.line_dedup(empty(spark)).count() == 0 and line_dedup.deduplicated(empty(spark)).count() == 0
 
 
+def test_line_dedup_by_pieces(spark, tmp_path, monkeypatch):
+    """Every segment and piece counts as shared by many, so that all levels are used; the result stays."""
+    monkeypatch.setattr(line_dedup, "MANY", 1)
+    test_line_dedup(spark, tmp_path)
+
+
+def test_pieces_hold_for_every_near_pair():
+    """A line within the edits has, by segment and three pieces, a way that it shares with the other."""
+    rng = random.Random(12)
+    for _ in range(400):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randrange(15, 70)))
+        b = changed(rng, a, rng.randrange(3))
+        x, y = sorted((a, b), key=len)
+        most = line_dedup.allowed(len(x))
+        if not most or distance(x, y) > most:
+            continue
+        ways = [{(h, (t & (1 << 40) - 1, t >> 40)) for h, t in line_dedup.tagged(z, z is y)} for z in (x, y)] if x is not y else []
+        for _ in range(4):
+            if not ways:
+                break
+            assert ways[0] & ways[1], (x, y)
+            both = ways[0] & ways[1]
+            ways = [{(h, (*w, j)) for sig, w in both for h, j in line_dedup.continued(z, sig, w[0], w[1:], probe, most)} for z, probe in ((x, False), (y, True))]
+
+
+def test_comparisons_grow_with_the_lines_of_a_hot_segment(spark, monkeypatch):
+    """Lines that share their first part and differ elsewhere: those that meet, sketches left aside, don't grow as squares."""
+    from pyspark.sql import functions as F
+
+    from shoal.llm.common import ship
+
+    ship(spark)
+    rng, met, kept = random.Random(5), {}, line_dedup.saved
+    monkeypatch.setattr(line_dedup, "MANY", 20)
+    monkeypatch.setattr(line_dedup, "alike", lambda a, b, edits: F.lit(True))
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "lines-met":
+            met[n] = met.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "saved", counted)
+    lines = ["All rights are reserved " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(4000)]
+    for n in (1000, 4000):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(lines[:n])], "doc_id long, text string")
+        assert line_dedup.near_links(df).count() == 0
+    assert met[4000] < 6 * met[1000] and met[4000] < 4000 * 100
+
+
 def test_line_dedup_of_a_long_line(spark):
     rng = random.Random(1)
     a = "".join(rng.choice("abcd ") for _ in range(1_000_000))
