@@ -35,7 +35,7 @@ EDITS, LEAST_CHARS = 2, 30
 #: Distinct lines that a task remembers in order not to repeat their rows; beyond it, repeats are only dropped later.
 MEMORY = 500_000
 #: Lines that may index one segment or piece before a further piece is asked for, and the most pieces that are.
-MANY, PIECES = 256, 3
+MANY, PIECES = 256, 2
 #: Bits of a sketch for single characters and for pairs of them; an edit changes at most 2 and 4 of these.
 ONES, TWOS = 24, 40
 #: Characters of the lines that are verified at once, and of a line that is followed by its diagonals instead.
@@ -105,11 +105,18 @@ def tagged(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS)
 
 @lru_cache(100_000)
 def pieces(length: int, edits: int, way: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Start and size of what is left of a line once the segment and the pieces of ``way`` are out, halved each time."""
+    """Start and size of edits + 1 pieces of what is left of a line once the segment and pieces of ``way`` are out: the
+    longest is halved until they are as many."""
     left = segments(length, edits)
     for out in way:
         left = [p for i, p in enumerate(left) if i != out]
-        left = [half for at, size in left for half in ((at, size // 2), (at + size // 2, size - size // 2)) if half[1]]
+        while len(left) <= edits:
+            at, size = longest = max(left, key=lambda p: p[1], default=(0, 0))
+            if size < 2:
+                left.append((0, 0))  # nothing is left to cut; an empty piece is whole everywhere
+            else:
+                i = left.index(longest)
+                left[i : i + 1] = [(at, size // 2), (at + size // 2, size - size // 2)]
     return left
 
 
@@ -128,7 +135,7 @@ def continued(line: str, sig: int, length: int, way: tuple[int, ...], probe: boo
         for p in (at + s for s in moves):
             if 0 <= p and p + size <= len(line):
                 out.append((xxhash.xxh3_64_intdigest(data[4 * p : 4 * (p + size)], seed), j))
-    return out
+    return list(dict.fromkeys(out))
 
 
 def sketches(lines: list[str]) -> np.ndarray:
@@ -253,30 +260,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*own, pa.array(nos, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["anon", "doc", "th", "line_no", "k1", "k2"])
 
 
-def _signature_rows(probe: bool, name: str, edits: int, least: int):
+def _texts(edits: int, least: int):
+    """The lines that can be near others, with their keys; those a task remembers once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             for part in slices(b, "text"):
-                sigs, keys, lines, n = [], [], [], []
+                keys, lines = [], []
                 for t in part["text"].to_pylist():
                     for line in (t or "").split("\n"):
-                        if not allowed(len(line), edits, least):
-                            continue
-                        k = key(line)[0]
-                        if k in seen:
-                            continue
-                        if len(seen) < MEMORY:
-                            seen.add(k)
-                        own = signatures(line, probe, edits, least)
-                        sigs += own
-                        keys.append(k)
-                        lines.append(line)
-                        n.append(len(own))
-                if lines:
-                    yield pa.record_batch(
-                        [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(np.repeat(sketches(lines), n))], names=["sig", name, f"sketch_{name}"]
-                    )
+                        if allowed(len(line), edits, least) and (k := key(line)) not in seen:
+                            if len(seen) < MEMORY:
+                                seen.add(k)
+                            keys.append(k)
+                            lines.append(line)
+                k = np.array(keys, np.int64).reshape(-1, 2)
+                yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lines, pa.string())], names=["k1", "k2", "line"])
+
+    return run
+
+
+def _signature_rows(edits: int, least: int):
+    """A row a line: its key, its sketch, the hashes it indexes and those it looks up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "line", rows=4096):
+                lines = part["line"].to_pylist()
+                sets = [[np.array(list(dict.fromkeys(signatures(x, probe, edits, least))), np.uint64).view(np.int64) for x in lines] for probe in (False, True)]
+                yield pa.record_batch([part["k1"], pa.array(sketches(lines)), *(pa.array(x, pa.list_(pa.int64())) for x in sets)], names=["k", "sketch", "own", "look"])
 
     return run
 
@@ -306,14 +319,6 @@ def _piece_rows(probe: bool, name: str, edits: int, least: int):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in slices(b, "text"):
-            lines = list({ln for t in part["text"].to_pylist() for ln in (t or "").split("\n") if ln})
-            k = np.array([key(ln) for ln in lines], np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lines, pa.string())], names=["k1", "k2", "line"])
-
-
 def _verified(edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,38 +335,38 @@ def _verified(edits: int, least: int):
     return run
 
 
-def meetings(x: DataFrame, y: DataFrame, edits: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(met, hot): rows (x, y) of lines that share a signature which few lines index and whose sketches allow for it, and,
-    with a null ``x``, those that ask for one that many do; and the latter signatures, none at the ``last`` piece."""
-    few = F.lit(False) if last else F.col("n") > MANY
-    hot = saved(x.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(few).select("sig"), "hot-segments")
-    marks = hot.select("sig", F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("sketch_x"))
-    index = among(x, hot, "sig", "left_anti").select("sig", "x", "sketch_x").unionByName(marks)
-    y = y.withColumnRenamed("sig", "asked")
-    met = F.col("x").isNull() | ((F.col("x") != F.col("y")) & alike(F.col("sketch_x"), F.col("sketch_y"), edits))
-    return saved(index.join(y, (F.col("sig") == F.col("asked")) & met).select("sig", "x", "y", "way"), "lines-met"), hot
+def meetings(x: DataFrame, y: DataFrame, edits: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(met, hot): the pairs x, y that share a signature which at most ``MANY`` lines index and whose sketches allow for
+    it, and the signatures that more do; at the ``last`` piece all meet."""
+    hot = None
+    if not last:
+        hot = saved(x.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("sig"), "hot-segments")
+        x = among(x, hot, "sig", "left_anti")
+    met = (F.col("x") != F.col("y")) & alike(F.col("sketch_x"), F.col("sketch_y"), edits)
+    x, y = x.drop("way"), y.drop("way").withColumnRenamed("sig", "asked")
+    return saved(x.join(y, (F.col("sig") == F.col("asked")) & met).select("x", "y"), "lines-met"), hot
 
 
 def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(a, b): keys of different lines within the edits that the shorter one is allowed."""
-    side = lambda probe, name: docs.select("text").mapInArrow(_signature_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long").dropDuplicates().withColumn("way", F.array().cast("array<long>"))
-    x = saved(side(False, "x"), "line-segments")
-    met, hot = meetings(x, side(True, "y"), edits, last=False)
-    wanted = saved(met.select(F.explode(F.array("x", "y")).alias("k1")).where("k1 is not null").distinct(), "line-candidates")
-    texts = among(docs.select("text").mapInArrow(_texts, "k1 long, k2 long, line string"), wanted, "k1").dropDuplicates(["k1", "k2"])
-    texts = saved(texts, "line-texts")
+    texts = saved(docs.select("text").mapInArrow(_texts(edits, least), "k1 long, k2 long, line string").dropDuplicates(["k1", "k2"]), "line-texts")
+    signed = saved(texts.select("k1", "line").mapInArrow(_signature_rows(edits, least), "k long, sketch long, own array<long>, look array<long>"), "line-segments")
+    side = lambda sigs, name: signed.select(F.explode(sigs).alias("sig"), F.col("k").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.array().cast("array<long>").alias("way"))
+    x, y = side("own", "x"), side("look", "y")
+    met, hot = meetings(x, y, edits, last=False)
     of = texts.select(F.col("k1").alias("k"), "line")
-    used, found = [x, met, hot, wanted, texts], [met]
+    used, found = [texts, signed, met, hot], [met]
     for no in range(1, PIECES + 1):
-        if hot.isEmpty():
+        if hot is None or hot.isEmpty():
             break
-        more = lambda rows, probe, name: rows.join(of, "k").mapInArrow(_piece_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long, way array<long>").dropDuplicates()
-        asking = met.where("x is null").select("sig", F.col("y").alias("k"), "way")
-        x = saved(more(among(x, hot, "sig").select("sig", F.col("x").alias("k"), "way"), False, "x"), "line-pieces")
-        met, hot = meetings(x, more(asking, True, "y"), edits, last=no == PIECES)
-        used += [x, met, hot]
+        more = lambda rows, probe, name: saved(
+            among(rows, hot, "sig").select("sig", F.col(name).alias("k"), "way").join(of, "k").mapInArrow(_piece_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long, way array<long>"), "line-pieces"
+        )
+        x, y = more(x, False, "x"), more(y, True, "y")
+        met, hot = meetings(x, y, edits, last=no == PIECES)
+        used += [x, y, met, *([] if hot is None else [hot])]
         found.append(met)
-    pairs = [m.where("x is not null").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")) for m in found]
+    pairs = [m.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")) for m in found]
     pairs = saved(reduce(DataFrame.unionByName, pairs).distinct(), "line-pairs")
     one, two = (texts.select(F.col("k1").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("line").alias(f"line_{x}")) for x in "ab")
     links = pairs.join(one, "a").join(two, "b").select("a1", "a2", "b1", "b2", "line_a", "line_b").mapInArrow(_verified(edits, least), "a1 long, a2 long, b1 long, b2 long")

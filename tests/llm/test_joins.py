@@ -165,7 +165,7 @@ def test_line_dedup_by_pieces(spark, tmp_path, monkeypatch):
 
 
 def test_pieces_hold_for_every_near_pair():
-    """A line within the edits has, by segment and three pieces, a way that it shares with the other."""
+    """A line within the edits has, by segment and two pieces, a way that it shares with the other."""
     rng = random.Random(12)
     for _ in range(400):
         a = "".join(rng.choice("abc ") for _ in range(rng.randrange(15, 70)))
