@@ -36,6 +36,8 @@ EDITS, LEAST_CHARS = 2, 30
 MEMORY = 500_000
 #: Lines that may index one segment or piece before a further piece is asked for, and the most pieces that are.
 MANY, PIECES = 256, 2
+#: Passes over the signatures, each with its part of them; a pass's shuffle files are freed before the next.
+PASSES = 2
 #: Bits of a sketch for single characters and for pairs of them; an edit changes at most 2 and 4 of these.
 ONES, TWOS = 24, 40
 #: Characters of the lines that are verified at once, and of a line that is followed by its diagonals instead.
@@ -335,8 +337,8 @@ def _verified(edits: int, least: int):
     return run
 
 
-def meetings(x: DataFrame, y: DataFrame, edits: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """(met, hot): the pairs x, y that share a signature which at most ``MANY`` lines index and whose sketches allow for
+def meetings(x: DataFrame, y: DataFrame, edits: int, last: bool) -> tuple[list[DataFrame], DataFrame | None]:
+    """(met, hot): the pairs x, y, a table a pass, that share a signature which at most ``MANY`` lines index and whose sketches allow for
     it, and the signatures that more do; at the ``last`` piece all meet."""
     hot = None
     if not last:
@@ -344,7 +346,8 @@ def meetings(x: DataFrame, y: DataFrame, edits: int, last: bool) -> tuple[DataFr
         x = among(x, hot, "sig", "left_anti")
     met = (F.col("x") != F.col("y")) & alike(F.col("sketch_x"), F.col("sketch_y"), edits)
     x, y = x.drop("way"), y.drop("way").withColumnRenamed("sig", "asked")
-    return saved(x.join(y, (F.col("sig") == F.col("asked")) & met).select("x", "y"), "lines-met"), hot
+    own = lambda df, sig, no: df.where(F.pmod(F.col(sig), F.lit(PASSES)) == no)
+    return [saved(own(x, "sig", no).join(own(y, "asked", no), (F.col("sig") == F.col("asked")) & met).select("x", "y"), "lines-met") for no in range(PASSES)], hot
 
 
 def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -355,7 +358,7 @@ def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     x, y = side("own", "x"), side("look", "y")
     met, hot = meetings(x, y, edits, last=False)
     of = texts.select(F.col("k1").alias("k"), "line")
-    used, found = [texts, signed, met, hot], [met]
+    used, found = [texts, signed, *met, hot], [*met]
     for no in range(1, PIECES + 1):
         if hot is None or hot.isEmpty():
             break
@@ -364,8 +367,8 @@ def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
         )
         x, y = more(x, False, "x"), more(y, True, "y")
         met, hot = meetings(x, y, edits, last=no == PIECES)
-        used += [x, y, met, *([] if hot is None else [hot])]
-        found.append(met)
+        used += [x, y, *met, *([] if hot is None else [hot])]
+        found += met
     pairs = [m.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")) for m in found]
     pairs = saved(reduce(DataFrame.unionByName, pairs).distinct(), "line-pairs")
     one, two = (texts.select(F.col("k1").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("line").alias(f"line_{x}")) for x in "ab")
