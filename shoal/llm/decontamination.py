@@ -109,21 +109,19 @@ def whole(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.where(F.col("b_text").rlike(r"\p{L}")).select("item", plain(F.col("b_text")).alias("ws")).where(F.size("ws") > 0)
     items = saved(items, "few-windows").withColumn("size", F.least(F.size("ws"), F.lit(ANCHOR)))
     hashes = lambda c: F.transform(c, lambda w: F.xxhash64(w))
-    keys = saved(items.select("item", "size", "ws", F.xxhash64("size", hashes(F.slice("ws", 1, F.col("size")))).alias("h")), "item-anchors")
+    keys = items.select("item", "size", "ws", F.xxhash64(F.get("ws", F.lit(0))).alias("first"), F.xxhash64("size", hashes(F.slice("ws", 1, F.col("size")))).alias("h"))
+    keys = saved(keys, "item-anchors")
     sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # at most ANCHOR
     kinds = {f.name: f.dataType for f in [*docs.schema, *keys.schema]}
     if not sizes:
         return docs.select("row", F.lit(None).cast(kinds["item"]).alias("item"), F.lit(0).alias("run")).where("false")
-    own = saved(docs.select("row", plain(text_or_empty("d_text")).alias("own")).withColumn("hs", hashes("own")), "plain-words")
-
-    def spots_of(n: int) -> Column:
-        at = F.when(F.size("hs") >= n, F.sequence(F.lit(1), F.size("hs") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice("hs", i, n)).alias("h")))
-
-    spots = own.select("row", "own", F.explode(F.concat(*map(spots_of, sizes))).alias("s"))
-    # The words of the place only go along, not the text's.
+    # Only places where some item's first word stands go on, each with the words from there on, not the text's.
     longest = keys.agg(F.max(F.size("ws"))).first()[0]
-    spots = spots.select("row", F.col("s.h").alias("h"), F.slice("own", F.col("s.at"), longest).alias("here"))
+    own = docs.select("row", plain(text_or_empty("d_text")).alias("own"))
+    places = own.select("row", "own", F.posexplode_outer(hashes("own")).alias("at", "first"))
+    places = among(places, saved(keys.select("first").distinct(), "first-words"), "first").select("row", F.slice("own", F.col("at") + 1, longest).alias("here"))
+    anchors = F.array(*[F.when(F.size("here") >= n, F.xxhash64(F.lit(n), hashes(F.slice("here", 1, n)))) for n in sizes])
+    spots = places.select("row", "here", F.explode_outer(anchors).alias("h"))
     few = keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS
     hits = spots.join(F.broadcast(keys) if few else keys, "h").where(F.slice("here", 1, F.size("ws")) == F.col("ws"))
     return hits.groupBy("row", "item").agg(F.max(F.size("ws")).alias("run"))
