@@ -5,8 +5,9 @@ template; a word is typed by its own letters, wherever it stands. Windows of tem
 benchmark's; a document that covers an item, or holds a long run of it, is a candidate, and the values that fill the
 placeholders of an occurrence, which is where the item begins in the document, must be consistent: each value of the
 item stands for one value there, wherever it recurs (two of the item may become one). Other occurrences don't count, but
-those that hold enough of the item's own words do. A copy all in capitals or small letters is met by an item's form without names. Items of too few windows are looked for as a whole, by their own
-words; in scripts without spaces, every character is a word. DataFrame functions only.
+those that hold enough of the item's own words do. A copy all in capitals or small letters is met by an item's form
+without names. Items of too few windows are looked for as a whole, by their own words. In scripts without spaces every
+character is a word, and a run must be twice as long. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -35,9 +36,14 @@ UNITS = (
 ).split()
 
 
+def spaced(text: Column) -> Column:
+    """The text with spaces around every character of scripts without spaces; all of those lie beyond U+0E00."""
+    return F.when(text.rlike(r"[\x{E00}-\x{10FFFF}]"), F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+
+
 def template(text: Column) -> Column:
-    """The text with each word typed or reduced to its lower-cased letters; words stay words, one for one."""
-    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?!\p{L})", NAME)
+    """The spaced text with each word typed or reduced to its lower-cased letters; words stay words, one for one."""
+    t = F.regexp_replace(spaced(text), r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?!\p{L})", NAME)
     t = F.regexp_replace(F.lower(t), r"(?<!\S)[^\s\d]*+\d\S*", NUMBER)
     t = F.regexp_replace(t, rf"(?<!\S)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
     t = F.regexp_replace(t, r"(?<!\S)[^\p{L}\p{N}\s\x01-\x03]++(?!\S)", MARK)
@@ -51,8 +57,7 @@ def words(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Its words without case and marks, every character of scripts without spaces apart."""
-    t = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\s]++", "")
-    return words(F.regexp_replace(t, f"({UNSPACED})", " $1 "))
+    return words(F.regexp_replace(spaced(F.lower(text)), r"[^\p{L}\p{M}\p{N}\s]++", ""))
 
 
 def paired(a: Column, b: Column, ahead: int) -> Column:
@@ -94,10 +99,16 @@ def longest_run(places: Column) -> Column:
     return F.aggregate(places, zero, step, lambda acc: acc["best"])
 
 
+def long_enough(typed: Column) -> Column:
+    """The words in a row that make a leak of an item with these words: more where they are single characters."""
+    single = F.filter(typed, lambda w: w.rlike(f"^{UNSPACED}$"))
+    return F.when(F.size(single) * 2 > F.size(typed), F.lit(2 * RUN)).otherwise(F.lit(RUN))
+
+
 def reached(runs: DataFrame, totals: DataFrame) -> DataFrame:
     """row, item, coverage, run where the places of all rows of ``runs`` make a leak of the item."""
     each = runs.groupBy("row", "item").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("got"), F.max("run").alias("run"))
-    found = each.join(totals, "item").withColumn("coverage", F.size("got") / F.col("windows")).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
+    found = each.join(totals, "item").withColumn("coverage", F.size("got") / F.col("windows")).where((F.col("coverage") >= COVERAGE) | (F.col("run") >= F.col("reach")))
     return found.select("row", "item", "coverage", "run")
 
 
@@ -138,12 +149,13 @@ def leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     b = benchmark.select(row_kind(item_id, item_text).alias("item"), F.col(item_text).alias("b_text"))
     forms = F.array_distinct(F.array(words(template(text_or_empty("b_text"))), words(template(F.lower(text_or_empty("b_text"))))))
     b = b.select("item", "b_text", F.posexplode(forms).alias("form", "typed"))
-    typed = windows(b.select(F.struct("item.*", "form").alias("item"), "b_text", "typed", words(text_or_empty("b_text")).alias("raw")), "typed", width)
+    typed = windows(b.select(F.struct("item.*", "form").alias("item"), "b_text", "typed", words(spaced(text_or_empty("b_text"))).alias("raw")), "typed", width)
     b = saved(typed.select("item", "b_text", "typed", "raw", "h").dropDuplicates(["item"]), "items")
     literal = F.size(F.filter(F.slice("typed", F.col("at") + 1, width), lambda w: ~w.rlike("^[\x01-\x04]$")))
     keys = b.select("item", "typed", F.posexplode("h").alias("at", "h")).where(literal >= min(LITERAL, width)).select("h", "item", F.col("at").alias("item_at"))
     keys = saved(keys, "item-windows")
-    totals = saved(keys.groupBy("item").agg(F.count(F.lit(1)).alias("windows")), "item-totals")
+    reach = b.select("item", long_enough(F.col("typed")).alias("reach"))
+    totals = saved(keys.groupBy("item").agg(F.count(F.lit(1)).alias("windows")).join(reach, "item"), "item-totals")
     d = docs.select(row_kind(doc_id, text).alias("row"), F.col(text).alias("d_text"))
     own = windows(d.select("row", words(template(text_or_empty("d_text"))).alias("typed")), "typed", width)
     # Outer: the plain form would also filter on the array's size and so evaluate all of the above once more.
@@ -157,14 +169,14 @@ def leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
     # What fills the placeholders, for candidates only.
     wanted = saved(found.select("row").distinct(), "candidate-docs")
-    texts = among(d, wanted, "row").dropDuplicates(["row"]).select("row", words(text_or_empty("d_text")).alias("d_raw"))
+    texts = among(d, wanted, "row").dropDuplicates(["row"]).select("row", words(spaced(text_or_empty("d_text"))).alias("d_raw"))
     long = runs.join(found.select("row", "item"), ["row", "item"], "left_semi").where("run >= %d" % (width + 2))
     bare = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     long = saved(long.join(b.select("item", "raw", "typed"), "item").join(texts, "row").select("row", "item", "shift", "places", "raw", "typed", F.transform("raw", lambda w, i: bare(F.get("d_raw", i + F.col("shift").cast("int")))).alias("here")), "occurrences")
     # An occurrence's own words, by place; they decide alone where they are enough.
     same = F.transform("raw", lambda w, i: F.coalesce(bare(w) == F.get("here", i), F.lit(False)))
     own = F.filter(F.transform("same", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    alike = long.withColumn("same", same).where((F.size(own) >= COVERAGE * F.size("same")) | (longest_run(own) >= RUN)).select("row", "item", "shift")
+    alike = long.withColumn("same", same).where((F.size(own) >= COVERAGE * F.size("same")) | (longest_run(own) >= long_enough(F.col("typed")))).select("row", "item", "shift")
     cover = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (width - 1)))))
     slot = F.transform(cover, lambda p: F.struct(F.get("typed", p).alias("typed"), bare(F.get("raw", p)).alias("was"), F.get("here", p).alias("is")))
     filled = long.select("row", "item", "shift", F.explode(F.filter(slot, lambda x: x["typed"].rlike("^[\x01-\x03]$"))).alias("s")).select("row", "item", "shift", "s.was", "s.is")

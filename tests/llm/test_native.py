@@ -8,6 +8,7 @@ from itertools import count, takewhile
 
 import pytest
 from fixtures import documents, empty, table, words
+from pyspark.sql import functions as F
 
 from shoal.llm import decontamination, exact_dedup, mixing, sharding
 from shoal.llm.common import scratch_path
@@ -166,6 +167,22 @@ def test_items_of_few_windows_are_found_whole(spark):
     assert got == {(i, i) for i in range(1, 6)} | {(12, 2)}  # other figures in a template
 
 
+def test_templates_in_scripts_without_spaces(spark):
+    """Every character is a word there, so other figures and names leave an item's template, other characters don't."""
+    ja = "太郎は東京の店でりんごを 3 個と本を 2 冊買いました。全部でいくつありますか"
+    zh = "下列关于细胞结构的说法正确的是哪一项并说明 4 个理由"
+    th = "กรุงเทพมหานครมีประชากรประมาณ 10 ล้านคนในปีนี้ใช่หรือไม่"
+    bench = spark.createDataFrame([(1, ja), (2, zh), (3, th)], "item_id long, text string")
+    texts = [ja, ja.replace("3", "7").replace("2", "5"), f"問題{ja}答え", ja.replace("りんごを", "みかんと").replace("東京", "大阪").replace("冊買い", "枚売り"), zh, zh.replace("4", "9"), "下列关于细胞结构的说法正确的是", th.replace("10", "12"), th[: len(th) // 3], ja.replace(" 3 ", "3"), ja[:12] + zh[:12], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2), (5, 2), (7, 3), (9, 1)}
+    assert got[0, 1].n_changed == 0 and got[1, 1].n_changed == 2 and got[9, 1].n_changed == 0
+    # The words of a template and of the text are the same places.
+    ws = docs.select(decontamination.words(decontamination.template(F.col("text"))).alias("t"), decontamination.words(decontamination.spaced(F.col("text"))).alias("r"))
+    assert all(len(r.t) == len(r.r) for r in ws.where("t is not null").collect())
+
+
 def typed_words(text):
     """The template of a text, word by word."""
     import regex
