@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -18,6 +20,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+@lru_cache(16)
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a number, modulo 2^64."""
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base % 2**64, np.uint64))))
+
+
 def lowered(texts: list[str | None]) -> list[bytes]:
     """UTF-8 with A-Z lower-cased; null is empty."""
     return [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(LOWERED) for t in texts]

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.common import among, fresh, released, saved, ship, slices
+from shoal.llm.hashing import P, Q, mixed, powers
 from shoal.llm.ngram_join import components
 
 #: The edits of a pair whose shorter line has LEAST_CHARS or more; below it there are fewer in proportion.
@@ -38,10 +39,14 @@ MEMORY = 500_000
 MANY, PIECES = 256, 2
 #: Passes over the signatures, each with its part of them; a pass's shuffle files are freed before the next.
 PASSES = 2
+#: Columns of the signatures that a line indexes and looks up in each pass.
+SETS = [f"{side}{no}" for side in ("own", "look") for no in range(PASSES)]
 #: Bits of a sketch for single characters and for pairs of them; an edit changes at most 2 and 4 of these.
 ONES, TWOS = 24, 40
 #: Characters of the lines that are verified at once, and of a line that is followed by its diagonals instead.
 CELLS, LONG = 2_000_000, 2_000
+#: Characters whose sums are taken at once for the signatures.
+BLOCK = 1 << 18
 
 
 def key(line: str) -> tuple[int, int]:
@@ -74,35 +79,74 @@ def probe_places(length: int, shorter: int, edits: int) -> list[tuple[int, int,
     return out
 
 
-_PLANS: dict[tuple[int, int, int], list] = {}
-
-
 def allowed(length: int, edits: int = EDITS, least: int = LEAST_CHARS) -> int:
     """The most edits between a line of so many characters and one that is not shorter."""
     return min(edits, edits * length // least)
 
 
+@lru_cache(100_000)
+def plan(n: int, probe: bool, edits: int, least: int) -> np.ndarray:
+    """Tag, start and end of each signature of a line of ``n`` characters; a tag has the segment's number and, in the low
+    40 bits, the shorter line's length. Those of one tag follow one another."""
+    out = []
+    if probe:
+        for m in range(max(1, n - edits), n + 1):
+            most = allowed(m, edits, least)
+            if most and n - m <= most:
+                out += [(i << 40 | m, at, at + size) for i, at, size in probe_places(n, m, most)]
+    elif most := allowed(n, edits, least):
+        out = [(i << 40 | n, at, at + size) for i, (at, size) in enumerate(segments(n, most))]
+    return np.array(out, np.int64).reshape(-1, 3).T
+
+
+def coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' sizes, and their characters one after the other."""
+    return np.array([len(x) for x in lines], np.int64), np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def signed(lines: list[str], probes: tuple[bool, ...], edits: int = EDITS, least: int = LEAST_CHARS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of the line, hash and tag of all that the lines put in the index or, for a probe, look up there, each once.
+
+    A substring's hash is the difference of two sums over the characters before its ends, of each character times a
+    power by place, turned back to the substring's start: the work is in proportion to the characters and the
+    signatures, whatever their sizes. Equal substrings of one tag have equal hashes, wherever they stand; should others
+    have them too, their lines only meet and are told apart later.
+    """
+    base, block = int(P), BLOCK
+    n, codes = coded(lines)
+    blocks = len(codes) // block + 1
+    up, down = powers(base, block), powers(pow(base, -1, 2**64), block)
+    ups, downs = (powers(pow(base, sign * block, 2**64), blocks) for sign in (1, -1))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    for i, lift in enumerate(ups):
+        own = codes[i * block : (i + 1) * block].astype(np.uint64)
+        own *= up[: len(own)]
+        own *= lift
+        np.cumsum(own, out=own)
+        np.add(own, sums[i * block], out=sums[i * block + 1 : i * block + 1 + len(own)])
+    begin, out = np.cumsum(n) - n, []
+    for probe in probes:
+        plans = [plan(k, probe, edits, least) for k in n.tolist()]
+        of = np.repeat(np.arange(len(lines)), np.array([p.shape[1] for p in plans], np.int64))
+        tag, start, end = np.concatenate([np.empty((3, 0), np.int64), *plans], axis=1)
+        start, end = start + begin[of], end + begin[of]
+        sig = mixed(((sums[end] - sums[start]) * (down[start % block] * downs[start // block])) ^ (tag.astype(np.uint64) * Q))
+        once = np.ones(len(sig), bool)
+        for by in range(1, edits + 1):  # a tag has so many further places at most
+            once[by:] &= (sig[by:] != sig[:-by]) | (of[by:] != of[:-by])
+        out.append((of[once], sig[once], tag[once]))
+    return out
+
+
 def signatures(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS) -> list[int]:
     """The hashes that a line puts in the index, or those that it looks up there."""
     return [sig for sig, _ in tagged(line, probe, edits, least)]
 
 
 def tagged(line: str, probe: bool, edits: int = EDITS, least: int = LEAST_CHARS) -> list[tuple[int, int]]:
-    """The same, each with its segment's number and, in the low 40 bits, the shorter line's length."""
-    n = len(line)
-    plan = _PLANS.get((n, edits, least))
-    if plan is None:
-        most = allowed(n, edits, least)
-        own = [(i << 40 | n, at, size) for i, (at, size) in enumerate(segments(n, most))] if most else []
-        look = []
-        for m in range(max(1, n - edits), n + 1):
-            most = allowed(m, edits, least)
-            if most and n - m <= most:
-                look += [(i << 40 | m, at, size) for i, at, size in probe_places(n, m, most)]
-        plan = _PLANS[n, edits, least] = [[(tag, 4 * at, 4 * (at + size)) for tag, at, size in x] for x in (own, look)]
-    data = line.encode("utf-32-le", "surrogatepass")
-    h = xxhash.xxh3_64_intdigest
-    return [(h(data[s:e], tag), tag) for tag, s, e in plan[probe]]
+    """The same, each with its tag."""
+    [(_, sig, tag)] = signed([line], (probe,), edits, least)
+    return list(zip(sig.tolist(), tag.tolist(), strict=True))
 
 
 @lru_cache(100_000)
@@ -142,16 +186,26 @@ def continued(line: str, sig: int, length: int, way: tuple[int, ...], probe: boo
 
 def sketches(lines: list[str]) -> np.ndarray:
     """64 bits a line: whether each class of characters, and of pairs of neighbours, occurs an odd number of times."""
-    n = np.array([len(x) for x in lines], np.int64)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    of = np.repeat(np.arange(len(lines)), n)
+    n, codes = coded(lines)
+    if not len(codes):
+        return np.zeros(len(lines), np.int64)
+    one = codes.astype(np.uint64)
     with np.errstate(over="ignore"):
-        one = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(ONES)
-        two = (((codes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ codes[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(TWOS)
-    pair = of[:-1] == of[1:]
-    spots = np.concatenate((of * 64 + one.astype(np.int64), (of[:-1] * 64 + ONES + two.astype(np.int64))[pair]))
-    odd = (np.bincount(spots, minlength=64 * len(lines)) & 1).astype(np.uint8).reshape(-1, 64)
-    return np.packbits(odd, axis=1, bitorder="little").view("<i8").ravel()
+        two = one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        two ^= one[1:]
+        for x, classes, before in ((one, ONES, 0), (two, TWOS, ONES)):  # each character's and pair's bit
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x >>= np.uint64(40)
+            x *= np.uint64(classes)
+            x >>= np.uint64(24)
+            x += np.uint64(before)
+            np.left_shift(np.uint64(1), x, out=x)
+    end = np.cumsum(n)
+    two[end[(end > 0) & (end < len(codes))] - 1] = 0  # no pair over two lines
+    one[:-1] ^= two
+    out = np.zeros(len(lines), np.uint64)
+    out[n > 0] = np.bitwise_xor.reduceat(one, (end - n)[n > 0])
+    return out.view(np.int64)
 
 
 def alike(a: Column, b: Column, edits: int) -> Column:
@@ -284,14 +338,18 @@ def _texts(edits: int, least: int):
 
 
 def _signature_rows(edits: int, least: int):
-    """A row a line: its key, its sketch, the hashes it indexes and those it looks up."""
+    """A row a line: its key, its sketch, and for each pass the hashes that it indexes and those that it looks up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "line", rows=4096):
-                lines = part["line"].to_pylist()
-                sets = [[np.array(list(dict.fromkeys(signatures(x, probe, edits, least))), np.uint64).view(np.int64) for x in lines] for probe in (False, True)]
-                yield pa.record_batch([part["k1"], pa.array(sketches(lines)), *(pa.array(x, pa.list_(pa.int64())) for x in sets)], names=["k", "sketch", "own", "look"])
+            for part in slices(b, "line", rows=4096, size=BLOCK):
+                lines, sets = part["line"].to_pylist(), []
+                for of, sig, _ in signed(lines, (False, True), edits, least):
+                    for no in range(PASSES):
+                        own = sig % np.uint64(PASSES) == no
+                        ends = np.concatenate(([0], np.cumsum(np.bincount(of[own], minlength=len(lines))))).astype(np.int32)
+                        sets.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(sig[own].view(np.int64))))
+                yield pa.record_batch([part["k1"], pa.array(sketches(lines)), *sets], names=["k", "sketch", *SETS])
 
     return run
 
@@ -304,9 +362,14 @@ def _piece_rows(probe: bool, name: str, edits: int, least: int):
             for part in slices(b, "line"):
                 sigs, ways, n = [], [], []
                 lines = part["line"].to_pylist()
-                for line, sig, way in zip(lines, part["sig"].to_pylist(), part["way"].to_pylist(), strict=True):
+                [(of, sig, tag)] = signed(lines, (probe,), edits, least)
+                met = sig == part["sig"].to_numpy().view(np.uint64)[of]
+                tags: dict[int, list[int]] = {}
+                for i, t in zip(of[met].tolist(), tag[met].tolist(), strict=True):
+                    tags.setdefault(i, []).append(t)
+                for i, (line, sig, way) in enumerate(zip(lines, part["sig"].to_pylist(), part["way"].to_pylist(), strict=True)):
                     sig &= 2**64 - 1
-                    begun = [way] if way else [[tag & (1 << 40) - 1, tag >> 40] for tag in {t for h, t in tagged(line, probe, edits, least) if h == sig}]
+                    begun = [way] if way else [[t & (1 << 40) - 1, t >> 40] for t in tags.get(i, ())]
                     before = len(sigs)
                     for length, *so_far in begun:
                         for h, j in continued(line, sig, length, tuple(so_far), probe, allowed(length, edits, least)):
@@ -337,28 +400,40 @@ def _verified(edits: int, least: int):
     return run
 
 
-def meetings(x: DataFrame, y: DataFrame, edits: int, last: bool) -> tuple[list[DataFrame], DataFrame | None]:
+def meetings(x, y, edits: int, last: bool) -> tuple[list[DataFrame], DataFrame | None]:
     """(met, hot): the pairs x, y, a table a pass, that share a signature which at most ``MANY`` lines index and whose sketches allow for
-    it, and the signatures that more do; at the ``last`` piece all meet."""
+    it, and the signatures that more do; at the ``last`` piece all meet. ``x`` and ``y`` give the rows of some passes."""
     hot = None
     if not last:
-        hot = saved(x.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("sig"), "hot-segments")
-        x = among(x, hot, "sig", "left_anti")
+        hot = saved(x(*range(PASSES)).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("sig"), "hot-segments")
     met = (F.col("x") != F.col("y")) & alike(F.col("sketch_x"), F.col("sketch_y"), edits)
-    x, y = x.drop("way"), y.drop("way").withColumnRenamed("sig", "asked")
-    own = lambda df, sig, no: df.where(F.pmod(F.col(sig), F.lit(PASSES)) == no)
-    return [saved(own(x, "sig", no).join(own(y, "asked", no), (F.col("sig") == F.col("asked")) & met).select("x", "y"), "lines-met") for no in range(PASSES)], hot
+    found = []
+    for no in range(PASSES):
+        own = x(no) if last else among(x(no), hot, "sig", "left_anti")
+        asked = y(no).withColumnRenamed("sig", "asked")
+        found.append(saved(own.join(asked, (F.col("sig") == F.col("asked")) & met).select("x", "y"), "lines-met"))
+    return found, hot
 
 
 def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(a, b): keys of different lines within the edits that the shorter one is allowed."""
     texts = saved(docs.select("text").mapInArrow(_texts(edits, least), "k1 long, k2 long, line string").dropDuplicates(["k1", "k2"]), "line-texts")
-    signed = saved(texts.select("k1", "line").mapInArrow(_signature_rows(edits, least), "k long, sketch long, own array<long>, look array<long>"), "line-segments")
-    side = lambda sigs, name: signed.select(F.explode(sigs).alias("sig"), F.col("k").alias(name), F.col("sketch").alias(f"sketch_{name}"), F.array().cast("array<long>").alias("way"))
+    kinds = ", ".join(f"{name} array<long>" for name in SETS)
+    signs = saved(texts.select("k1", "line").mapInArrow(_signature_rows(edits, least), f"k long, sketch long, {kinds}"), "line-segments")
+
+    def side(sets: str, name: str):
+        """Rows of some passes: of the first signatures, each pass's have a column of their own."""
+        return lambda *nos: signs.select(F.explode(F.concat(*(f"{sets}{no}" for no in nos))).alias("sig"), F.col("k").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+
+    def dealt(rows: DataFrame):
+        """The same for pieces."""
+        return lambda *nos: rows.drop("way").where(F.pmod("sig", F.lit(PASSES)).isin(*nos))
+
     x, y = side("own", "x"), side("look", "y")
     met, hot = meetings(x, y, edits, last=False)
+    x, y = (rows(*range(PASSES)).withColumn("way", F.array().cast("array<long>")) for rows in (x, y))
     of = texts.select(F.col("k1").alias("k"), "line")
-    used, found = [texts, signed, *met, hot], [*met]
+    used, found = [texts, signs, *met, hot], [*met]
     for no in range(1, PIECES + 1):
         if hot is None or hot.isEmpty():
             break
@@ -366,7 +441,7 @@ def near_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
             among(rows, hot, "sig").select("sig", F.col(name).alias("k"), "way").join(of, "k").mapInArrow(_piece_rows(probe, name, edits, least), f"sig long, {name} long, sketch_{name} long, way array<long>"), "line-pieces"
         )
         x, y = more(x, False, "x"), more(y, True, "y")
-        met, hot = meetings(x, y, edits, last=no == PIECES)
+        met, hot = meetings(dealt(x), dealt(y), edits, last=no == PIECES)
         used += [x, y, *met, *([] if hot is None else [hot])]
         found += met
     pairs = [m.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")) for m in found]

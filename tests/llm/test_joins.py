@@ -214,3 +214,35 @@ def test_line_dedup_of_a_long_line(spark):
     rows = [(1, a), (2, "x" + a[:-1]), (3, a[:600_000]), (4, "one\n" + a + "x")]
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: list(r.dropped) for r in got} == {1: [], 2: [0], 3: [], 4: [1]}
+
+
+def test_lines_are_signed_together(monkeypatch):
+    """The rows of many lines are those of each by itself, are told apart by tag and substring alone, and take a few calls a
+    line, not one a signature."""
+    import cProfile
+    import pstats
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abc é\U0001f600\0") for _ in range(rng.randrange(90))) for _ in range(500)] + ["", "-" * 80, "ab" * 40, "-" * 80]
+    for block in (64, line_dedup.BLOCK):  # sums run over blocks' edges
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        for probe, (of, sig, tag) in zip((False, True), line_dedup.signed(lines, (False, True)), strict=True):
+            meant = {}
+            for i, line in enumerate(lines):
+                want = {(t, line[s:e]) for t, s, e in line_dedup.plan(len(line), probe, 2, 30).T.tolist()}
+                got = sorted(zip(sig[of == i].tolist(), tag[of == i].tolist(), strict=True))
+                assert len(got) == len(set(got)) == len(want) and got == sorted(line_dedup.tagged(line, probe))
+                by_sig = dict(got)
+                for t, sub in want:
+                    assert meant.setdefault((t, sub), {h for h, g in by_sig.items() if g == t}) & {h for h, g in by_sig.items() if g == t}
+            assert len(set(sig.tolist())) == len({(t, x[s:e]) for x in lines for t, s, e in line_dedup.plan(len(x), probe, 2, 30).T.tolist()})
+    batch = pa.record_batch([pa.array(range(2000), pa.int64()), pa.array(["".join(rng.choice("abcdef ") for _ in range(60)) for _ in range(2000)])], names=["k1", "line"])
+    with cProfile.Profile() as seen:
+        rows = pa.Table.from_batches(line_dedup._signature_rows(2, 30)([batch])).to_pylist()
+    assert pstats.Stats(seen).total_calls < 10 * len(rows) < sum(len(r[c]) for r in rows for c in line_dedup.SETS)
+    for r, line in zip(rows, batch["line"].to_pylist(), strict=True):
+        for side, probe in (("own", False), ("look", True)):
+            assert sorted(x % 2**64 for no in range(line_dedup.PASSES) for x in r[f"{side}{no}"]) == sorted(line_dedup.signatures(line, probe))
+            assert all(x % 2**64 % line_dedup.PASSES == no for no in range(line_dedup.PASSES) for x in r[f"{side}{no}"])
