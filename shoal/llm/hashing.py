@@ -9,6 +9,8 @@ import numpy as np
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes whose sums are taken at once.
+BLOCK = 1 << 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -43,16 +45,24 @@ class Words:
         self.text = np.searchsorted(edges, self.begin, "right")
 
     def hashes(self, *tables: np.ndarray) -> list[np.ndarray]:
-        """Of each word, for each table: its bytes' random values times powers of an odd number by place, mixed."""
-        if not len(self.begin):
-            return [np.empty(0, np.uint64) for _ in tables]
-        size = self.end - self.begin
-        first = np.cumsum(size) - size
-        spot = np.arange(int(size.sum())) - np.repeat(first, size)
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(int(size.max()), P))[spot]
-            own = self.data[self.inside]
-            return [mixed(np.add.reduceat(t[own] * power, first)) for t in tables]
+        """Of each word, for each table: its bytes' random values times powers of an odd number by place, mixed.
+
+        That is the difference of two sums over all bytes before its end and its begin, turned back to the first place.
+        """
+        base, blocks = int(P), len(self.data) // BLOCK + 1
+        up, down = powers(base, BLOCK), powers(pow(base, -1, 2**64), BLOCK)
+        ups, downs = (powers(pow(base, sign * BLOCK, 2**64), blocks) for sign in (1, -1))
+        back, out = down[self.begin % BLOCK] * (downs[self.begin // BLOCK] * P), []
+        for table in tables:
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            for i, lift in enumerate(ups):
+                own = table[self.data[i * BLOCK : (i + 1) * BLOCK]]
+                own *= up[: len(own)]
+                own *= lift
+                np.cumsum(own, out=own)
+                np.add(own, sums[i * BLOCK], out=sums[i * BLOCK + 1 : i * BLOCK + 1 + len(own)])
+            out.append(mixed((sums[self.end] - sums[self.begin]) * back))
+        return out
 
 
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -350,3 +350,45 @@ def test_ngrams_of_a_batch_are_those_of_its_texts():
     for i, t in enumerate(texts):
         assert list(h[at[i] : at[i + 1]]) == list(language_id.ngrams([t])[0])
         assert at[i + 1] - at[i] == len(plain_grams(t))
+
+
+def test_words_are_hashed_by_their_bytes_alone(monkeypatch):
+    """Sums run over blocks' edges and other words; a word's hash is the one of its bytes by the definition."""
+    from shoal.llm import hashing
+
+    base, table = int(hashing.P), [int(x) for x in hashing.BYTES]
+    raw = [b"", b"a", b"  one two\tone ", "é ß".encode(), b"x" * 200 + b" y", b"one", b" \n "]
+    want = [(i, sum(table[c] * base ** (j + 1) for j, c in enumerate(w)) % 2**64) for i, r in enumerate(raw) for w in r.split()]
+    for block in (7, 16, hashing.BLOCK):
+        monkeypatch.setattr(hashing, "BLOCK", block)
+        got, text = hashing.word_hashes(raw)
+        assert got.tolist() == hashing.mixed(np.array([h for _, h in want], np.uint64)).tolist() and text.tolist() == [i for i, _ in want]
+    assert len(hashing.word_hashes([])[0]) == len(hashing.word_hashes([b"", b" "])[0]) == 0
+
+
+def test_frequent_rows_are_found_by_their_first_bits(monkeypatch):
+    """Few of the keys are searched for; those that share first bits, the smallest and the largest are found too."""
+    rng, searched = np.random.default_rng(4), []
+    keys = np.concatenate((rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2), np.arange(50, dtype=np.uint64), [2**64 - 1])).astype(np.uint64)
+    asked = np.concatenate((keys, keys + np.uint64(1), rng.integers(0, 2**63, 20_000).astype(np.uint64)))
+    plain = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more: searched.append(len(v)) or plain(a, v, *more))
+    for own in (np.unique(keys), keys[:1], keys[:0]):
+        at, hit = suffix_tree.Head(own).find(asked)
+        assert hit.tolist() == np.isin(asked, own).tolist() and (own[at[hit]] == asked[hit]).all()
+    assert sum(searched) < len(asked) / 2
+
+
+def test_counts_are_folded_in_order_of_first_bits():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 5000):
+        keys = rng.integers(-(2**63), 2**63 - 1, 3000)[rng.integers(0, 3000, n)]
+        places = suffix_tree.sorted_places(keys)
+        assert sorted(places.tolist()) == list(range(n)) and np.array_equal(keys[places].view(np.uint64), np.sort(keys.view(np.uint64)))
+    held = np.array([0, 1, 5, 2**27 - 1, 2**40 + 3, 2**64 - 1], np.uint64)
+    bits = np.zeros(1 << 10, np.uint64)
+    for at in suffix_tree._spots(held, 1 << 16):
+        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    asked = np.concatenate((held, np.arange(100, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    want = [all(int(bits[int(x) >> 6]) >> (int(x) & 63) & 1 for x in (at[i] for at in suffix_tree._spots(asked, 1 << 16))) for i in range(len(asked))]
+    assert suffix_tree.maybe(bits, asked).tolist() == want and all(want[: len(held)]) and not all(want)
