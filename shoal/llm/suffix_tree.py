@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,11 @@ END_KEY = 0x0E0D
 #: Bits and probes of the filters that keep rows without a partner from the shuffles. They only spare rows, as counts
 #: and joins decide: a filter that a large corpus fills lets more through, and the results are the same.
 FILTER_BITS, FILTER_PROBES = 1 << 27, 2
+#: Ranges of a filter's bits, each set by a group of its own, and tokens for each range of the events' keys, two at the
+#: most: a row holds all of a task's numbers in a range, so that they are dealt together instead of one by one.
+FILTER_PARTS, PART_TOKENS = 256, 1 << 16
+#: Rows for each shuffle partition up to which a join hashes a side instead of sorting both.
+HASHED_ROWS = 1_000_000
 
 #: The primes of 64-bit xxHash.
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -104,8 +110,14 @@ def sorted_places(keys: np.ndarray) -> np.ndarray:
     return by.view(np.int64)
 
 
-def _folding(names: list[str], rows):
-    """Counts of distinct keys: ``rows`` of a batch gives the key, other columns and the counts to be added."""
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+
+
+def _folding(names: list[str], rows, parts: int = 0):
+    """Counts of distinct keys: ``rows`` of a batch gives the key, other columns and the counts to be added. With
+    ``parts``, a power of two, a row holds the columns of all keys in one of so many ranges, numbered by ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -116,7 +128,7 @@ def _folding(names: list[str], rows):
             keys = whole(0)
             order = sorted_places(keys)
             keys = keys[order]
-            begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+            begin = _runs(keys)
             first, keys = order[begin], keys[begin]
             n = np.add.reduceat(whole(-1)[order], begin) if len(begin) else whole(-1)
             del order
@@ -135,20 +147,54 @@ def _folding(names: list[str], rows):
 
     def given(cols: tuple) -> Iterator[pa.RecordBatch]:
         own = cols[-len(names) :]
+        if parts:
+            yield from blocks((cols[0].view(np.uint64) >> np.uint64(65 - parts.bit_length())).astype(np.int32), own, names, parts)
+            return
         for i in range(0, len(cols[0]), 1 << 16):
             yield pa.record_batch([pa.array(c[i : i + (1 << 16)]) for c in own], names=names)
 
     return run
 
 
+def blocks(part: np.ndarray, cols: tuple, names: list[str], parts: int) -> Iterator[pa.RecordBatch]:
+    """A row for each part that occurs, with the columns' numbers in it as arrays; ``part`` ascends."""
+    begin = _runs(part)
+    ends = np.append(begin, len(part)).astype(np.int32)
+    step = max(1, (1 << 16) * len(begin) // max(1, len(part)))  # rows for a batch of bounded size
+    for i in range(0, len(begin), step):
+        at = ends[i : i + step + 1]
+        lists = [pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(c[at[0] : at[-1]])) for c in cols]
+        yield pa.record_batch([pa.array(part[begin[i : i + step]]), *lists], names=["part", *names])
+
+
+def _summed(evidence: int):
+    """Of all blocks of a part: the events that occur ``evidence`` times or more in all."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c, up, n = (pc.list_flatten(t[x]).to_numpy() for x in ("c", "up", "n"))
+        keys = joined(c.view(np.uint64), up.view(np.uint64))
+        order = sorted_places(keys)
+        own = keys[order]
+        if (own[1:] < own[:-1]).any():  # two keys share the first bits
+            order = np.argsort(keys)
+            own = keys[order]
+        begin = _runs(own)
+        n = np.add.reduceat(n[order], begin) if len(begin) else n
+        often = n >= evidence
+        first = order[begin[often]]
+        return pa.table({"c": c[first], "up": up[first], "n": n[often]})
+
+    return run
+
+
 def _word_rows(part: pa.RecordBatch) -> tuple:
     raw = lowered(part["text"].to_pylist())
     keys, n = np.unique(word_hashes(raw)[0].view(np.int64), return_counts=True)
     return np.concatenate((keys, [END_KEY])), np.concatenate((n, [len(raw)]))
 
 
-def _event_rows(length: int, shared):
-    """key, context, shorter, n: how often each word follows a context of ``length`` words, where filters allow it."""
+def _event_rows(length: int, shared, parts: int):
+    """part, contexts, shorter, n: how often each word follows a context of ``length`` words, where filters allow it."""
 
     def rows(part: pa.RecordBatch) -> tuple:
         _, keys, valid = sequences(lowered(part["text"].to_pylist()), length)
@@ -157,7 +203,7 @@ def _event_rows(length: int, shared):
         ok = ok & seen & np.concatenate(([True], seen[:-1]))
         return keys[length][ok], pre[ok].view(np.int64), suf[ok].view(np.int64), np.ones(int(ok.sum()), np.int64)
 
-    return _folding(["c", "up", "n"], rows)
+    return _folding(["c", "up", "n"], rows, parts)
 
 
 def _spots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -175,20 +221,47 @@ def maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def bitmap(keys: DataFrame, bits: int | None = None) -> np.ndarray:
     """A filter of the only column of ``keys``. What reaches the driver is bounded by its size."""
     bits = bits or FILTER_BITS
-    k = F.col(keys.columns[0])
-    spot = F.explode(F.array(*[F.shiftrightunsigned(k, 30 * i).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_PROBES)]))
-    one = keys.select(spot.alias("s")).select(F.shiftright("s", 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    t = one.groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(bits >> 6, np.int64)
-    out[t["at"].to_numpy()] = t["b"].to_numpy()
-    return out.view(np.uint64)
+    width = max(64, bits // FILTER_PARTS)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def given() -> Iterator[pa.RecordBatch]:
+            spots = np.concatenate(held)
+            held.clear()
+            spots.sort()
+            yield from blocks((spots // width).astype(np.int32), ((spots % width).astype(np.int32),), ["spots"], bits // width)
+
+        for b in batches:
+            held.extend(at.view(np.int64) for at in _spots(b[0].to_numpy().view(np.uint64), bits))
+            if sum(len(x) for x in held) > 2_000_000:
+                yield from given()
+        if held:
+            yield from given()
+
+    def bits_set(t: pa.Table) -> pa.Table:
+        on = np.zeros(width, bool)
+        on[pc.list_flatten(t["spots"]).to_numpy()] = True
+        return pa.table({"part": t["part"][:1], "words": pa.array([np.packbits(on, bitorder="little").view(np.int64)])})
+
+    t = keys.mapInArrow(dealt, "part int, spots array<int>").groupBy("part").applyInArrow(bits_set, "part int, words array<long>").toArrow()
+    out = np.zeros((bits // width, width >> 6), np.int64)
+    out[t["part"].to_numpy()] = pc.list_flatten(t["words"]).to_numpy().reshape(-1, width >> 6)
+    return out.reshape(-1).view(np.uint64)
 
 
 def key_of(pre: str = "c", suf: str = "up") -> Column:
     return F.xxhash64(pre, suf)
 
 
-def grown(train: DataFrame, words: DataFrame, norm: float, depth: int = DEPTH, evidence: int = EVIDENCE, diverge: float = DIVERGE) -> DataFrame:
+def hashed(side: DataFrame, of: DataFrame) -> DataFrame:
+    """A side of a join that has each key once, at most the rows of the saved table ``of``. While these are few in a
+    partition, it is hashed there, which needs no sort of either side; otherwise Spark sorts both, and spills."""
+    few = of.count() <= HASHED_ROWS * int(of.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash") if few else side
+
+
+def grown(train: DataFrame, words: DataFrame, norm: float, tokens: int, depth: int = DEPTH, evidence: int = EVIDENCE, diverge: float = DIVERGE) -> DataFrame:
     """key, n, gain, base of the table's rows: what each occurrence of an event adds to a text's log10 probability.
 
     For an event whose context keeps it and stays, that is the log of its ratio to the shorter context's probability,
@@ -199,41 +272,42 @@ def grown(train: DataFrame, words: DataFrame, norm: float, depth: int = DEPTH, e
     rest = (F.col("size") - F.col("own")) / F.col("size")
     kept = (F.col("n") * SHARE >= F.col("size")) | (F.col("n") >= OFTEN)
     # Of each level: key, n, its shorter form and probability as an event; the words are level 0.
-    lower = words.select("key", "n", F.lit(0).cast("long").alias("up"), base.alias("p"))
+    lower, rows = words.select("key", "n", F.lit(0).cast("long").alias("up"), base.alias("p")), words
     wanted, levels = bitmap(words.where(F.col("n") >= evidence).select("key")), []
+    parts = max(256, 1 << (tokens // PART_TOKENS).bit_length())
     for length in range(1, depth + 1):
-        counts = train.select("text").mapInArrow(_event_rows(length, sc.broadcast(wanted)), "c long, up long, n long")
-        counts = saved(counts.groupBy("c", "up").agg(F.sum("n").alias("n")).where(F.col("n") >= evidence), "lm-events")
+        counts = train.select("text").mapInArrow(_event_rows(length, sc.broadcast(wanted), parts), "part int, c array<long>, up array<long>, n array<long>")
+        counts = saved(counts.groupBy("part").applyInArrow(_summed(evidence), "c long, up long, n long"), "lm-events")
         if length < depth:
             wanted = bitmap(counts.select(key_of()))
-        sized = counts.join(lower.select(F.col("key").alias("c"), F.col("n").alias("size"), F.col("up").alias("shorter")), "c").withColumn("kept", kept)
+        sized = counts.join(hashed(lower.select(F.col("key").alias("c"), F.col("n").alias("size"), F.col("up").alias("shorter")), rows), "c").withColumn("kept", kept)
         sized = saved(sized if length < depth else sized.where("kept"), "lm-sized")
         sums = sized.where("kept").groupBy("c").agg(F.sum(F.col("n") - 1).alias("own"), F.sum("n").alias("known"), F.first("size").alias("size"), F.first("shorter").alias("shorter"))
         sums = saved(sums, "lm-sums")
-        level = sized.join(sums.select("c", rest.alias("rest")), "c", "left").join(lower.select(F.col("key").alias("up"), F.col("p").alias("below")), "up")
+        level = sized.join(hashed(sums.select("c", rest.alias("rest")), sums), "c", "left").join(hashed(lower.select(F.col("key").alias("up"), F.col("p").alias("below")), rows), "up")
         p = F.when(F.col("kept"), (F.col("n") - 1) / F.col("size")).otherwise(0) + F.coalesce("rest", F.lit(1.0)) * F.col("below")
         level = level.select("c", "up", "n", F.when(F.col("kept"), F.log(p / F.col("below"))).alias("ratio"), *([p.alias("p")] if length < depth else []))
         level = saved(level, "lm-level")
         released(counts, sized)
         levels.append((level, sums))
         if length < depth:
-            lower = level.select(key_of().alias("key"), "n", "up", "p")
+            lower, rows = level.select(key_of().alias("key"), "n", "up", "p"), level
     out, needed, stays = [], None, []
     for level, sums in levels[::-1]:
         known = level.where("ratio is not null")
-        gain = known.groupBy("c").agg(F.sum(F.col("n") * F.col("ratio")).alias("nats")).join(sums, "c")
+        gain = known.groupBy("c").agg(F.sum(F.col("n") * F.col("ratio")).alias("nats")).join(hashed(sums, sums), "c")
         good = F.col("nats") + (F.col("size") - F.col("known")) * F.log(rest) >= diverge
-        gain = gain.where(good) if needed is None else gain.join(needed, "c", "left").where(good | F.col("needed"))
+        gain = gain.where(good) if needed is None else gain.join(hashed(needed, stay), "c", "left").where(good | F.col("needed"))
         stay = saved(gain.select("c", "shorter", "size", F.log10(rest).alias("back")), "lm-contexts")
         stays.append(stay)
         needed = stay.select(F.col("shorter").alias("c")).distinct().withColumn("needed", F.lit(True))
-        out.append(known.join(stay.select("c", "back"), "c").select(key_of().alias("key"), "n", (F.col("ratio") / float(np.log(10)) - F.col("back")).alias("gain")))
+        out.append(known.join(hashed(stay.select("c", "back"), stay), "c").select(key_of().alias("key"), "n", (F.col("ratio") / float(np.log(10)) - F.col("back")).alias("gain")))
         out.append(stay.select(F.col("c").alias("key"), F.col("size").alias("n"), F.col("back").alias("gain")))
     *longer, first = out  # the last ones are the words that stay
     for more in longer[1:]:
         longer[0] = longer[0].unionByName(more)
     longer = longer[0].groupBy("key").agg(F.max("n").alias("n"), F.sum("gain").alias("gain"))
-    first = words.join(first.select("key", "gain"), "key", "left").select("key", "n", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.log10(base).alias("base"))
+    first = words.join(hashed(first.select("key", "gain"), stay), "key", "left").select("key", "n", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.log10(base).alias("base"))
     table = saved(first.unionByName(longer.withColumn("base", F.lit(None).cast("double"))), "lm-table")
     released(*(t for pair in levels for t in pair), *stays)
     return table
@@ -330,16 +404,16 @@ def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: s
     words = saved(words.groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = n + 0.5 * (v + 1)
-    table = grown(train, words, norm, depth, evidence, diverge)
+    table = grown(train, words, norm, n, depth, evidence, diverge)
     *head, rest = parted(table, n)
     released(words)
     shared = spark.sparkContext.broadcast((*head, bitmap(table.select("key")), norm))
     kind = rows.schema["doc_id"].dataType.simpleString()
     first = rows.mapInArrow(_scored(depth, shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, asked long, base double, gain double, tail array<long>")
     first = saved(first, "lm-texts")
-    found = first.select("row", F.explode("tail").alias("key")).join(rest.select("key", "gain", "base"), "key")
+    found = first.select("row", F.explode("tail").alias("key")).join(hashed(rest.select("key", "gain", "base"), table), "key")
     found = found.groupBy("row").agg(F.sum("gain").alias("more_gain"), F.count("base").alias("more_known"), F.sum("base").alias("more_base"))
-    out = first.drop("tail").join(found, "row", "left").na.fill(0, ["more_known"]).na.fill(0.0, ["more_gain", "more_base"])
+    out = first.drop("tail").join(hashed(found, first), "row", "left").na.fill(0, ["more_known"]).na.fill(0.0, ["more_gain", "more_base"])
     base = F.col("base") + F.col("more_base") + (F.col("asked") - F.col("more_known")) * F.lit(float(np.log10(0.5 / norm)))
     return out.select(
         "doc_id",

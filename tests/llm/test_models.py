@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, empty, table, words
 from pyspark.sql import functions as F
@@ -392,3 +393,59 @@ def test_counts_are_folded_in_order_of_first_bits():
     asked = np.concatenate((held, np.arange(100, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     want = [all(int(bits[int(x) >> 6]) >> (int(x) & 63) & 1 for x in (at[i] for at in suffix_tree._spots(asked, 1 << 16))) for i in range(len(asked))]
     assert suffix_tree.maybe(bits, asked).tolist() == want and all(want[: len(held)]) and not all(want)
+
+
+def test_events_are_dealt_in_blocks_and_summed(monkeypatch):
+    """Few rows leave a task; sums over tasks are those of plain counts, also of keys that share their first bits."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(6)
+    tasks = [[" ".join(f"w{i}" for i in rng.zipf(1.4, 40) % 60) for _ in range(100)] for _ in range(3)]
+    every = SimpleNamespace(value=np.full(16, 2**64 - 1, np.uint64))
+    want = Counter()
+    for raw in (t.encode() for texts in tasks for t in texts):
+        _, keys, valid = suffix_tree.sequences([raw], 2)
+        own = np.stack([suffix_tree.before(keys[1]), keys[1]], 1)[valid[2]].view(np.int64)
+        want.update(map(tuple, own.tolist()))
+    plain = suffix_tree.joined
+    for key in (plain, lambda a, b: np.unique(plain(a, b), return_inverse=True)[1].astype(np.uint64)):
+        monkeypatch.setattr(suffix_tree, "joined", plain)
+        dealt = [pa.Table.from_batches(suffix_tree._event_rows(2, every, 8)(iter([pa.record_batch({"text": texts})]))) for texts in tasks]
+        assert all(t.num_rows == 8 and t["part"].to_pylist() == list(range(8)) for t in dealt)
+        monkeypatch.setattr(suffix_tree, "joined", key)
+        got = []
+        for part in range(8):
+            out = suffix_tree._summed(2)(pa.concat_tables([t.slice(part, 1) for t in dealt]))
+            got += zip(*(out[x].to_pylist() for x in ("c", "up", "n")), strict=True)
+        assert {(c, up): n for c, up, n in got} == {e: n for e, n in want.items() if n >= 2} and len(got) < len(want)
+    assert suffix_tree._summed(2)(dealt[0].slice(0, 0)).num_rows == 0
+
+
+def test_blocks_come_in_bounded_batches():
+    part, n = np.sort(np.arange(300_000) % 1000).astype(np.int32), np.arange(300_000)
+    got = list(suffix_tree.blocks(part, (n,), ["n"], 1024))
+    assert max(sum(map(len, b["n"].to_pylist())) for b in got) <= 1 << 16 and sum(b.num_rows for b in got) == 1000
+    assert [x for b in got for x in b["n"].values.to_pylist()] == n.tolist()
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10, 1 << 16])
+def test_filters_hold_their_keys_bits(spark, bits):
+    for n in (0, 1, 500):
+        df = spark.range(n).select(F.xxhash64("id").alias("k")).repartition(3)
+        keys = np.array([r.k for r in df.collect()], np.int64).view(np.uint64)
+        got = suffix_tree.bitmap(df, bits)
+        on = np.flatnonzero(np.unpackbits(got.view(np.uint8), bitorder="little"))
+        assert on.tolist() == sorted({int(s) for at in suffix_tree._spots(keys, bits) for s in at})
+        assert len(got) == bits // 64 and suffix_tree.maybe(got, keys).all()
+
+
+def test_scores_sort_only_large_sides_of_joins(spark, monkeypatch):
+    docs = table(spark).repartition(2)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    hashing = suffix_tree.fold_scores(docs)
+    assert plan(hashing).count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan(hashing)
+    monkeypatch.setattr(suffix_tree, "HASHED_ROWS", 0)
+    sorting = suffix_tree.fold_scores(docs)
+    assert "ShuffledHashJoin" not in plan(sorting)
+    of = lambda df: sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+    assert of(hashing) == of(sorting)
