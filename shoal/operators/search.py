@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.search import subsequence_score, subsequence_score_col
+from shoal.stored import saved
 
 
 def ranked_search(df: DataFrame, label: str, ordinal: str, needle: str, limit: int = 60, collation: str = "UNICODE") -> DataFrame:
@@ -28,21 +29,30 @@ def characters(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), "")), lambda c: c != "")
 
 
+#: Needles are broadcast while their texts and 100 bytes for each stay within this; beyond it the join shuffles.
+MOST_BYTES = 32 << 20
+
+
 def many_searches(labels: DataFrame, needles: DataFrame, label: str, ordinal: str, needle: str, limit: int = 60, collation: str = "UNICODE") -> DataFrame:
     """needle, place from 1, ordinal, label, score: for every different needle what ``ranked_search`` gives.
 
     Labels are indexed by their characters. A needle meets the labels that hold the rarest of its characters only, of
     these those whose mask has all its bits are scored, and each task keeps ``limit`` rows a needle (the limit is the
-    feature). Null labels and needles find nothing.
+    feature). Of equal labels, which score alike, only the first ``limit`` by ordinal can be among these, so only they
+    are indexed. The index itself is never broadcast, whatever size Spark takes it for. Null labels and needles find nothing.
     """
     wanted = needles.where(F.col(needle).isNotNull()).select(F.col(needle).alias("needle")).distinct()
     rows = labels.where(F.col(label).isNotNull()).select(F.col(ordinal).alias("ordinal"), F.col(label).alias("label"))
-    index = rows.select("ordinal", "label", mask(characters(F.col("label"))).alias("has"), F.explode(characters(F.col("label"))).alias("char"))
-    common = index.groupBy("char").agg(F.count(F.lit(1)).alias("n"))  # a row a character
+    copies = rows.groupBy("label").agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("copies"))
+    common = copies.select("copies", F.explode(characters(F.col("label"))).alias("char")).groupBy("char").agg(F.sum("copies").alias("n"))  # a row a character
     asked = wanted.where("needle <> ''").select("needle", F.explode(characters(F.col("needle"))).alias("char"))
-    rare = asked.join(common, "char", "left").groupBy("needle").agg(F.min_by("char", F.coalesce("n", F.lit(0))).alias("char"))
-    rare = rare.withColumn("asks", mask(characters(F.col("needle"))))
-    met = rare.join(index, "char").where(F.col("has").bitwiseAND(F.col("asks")) == F.col("asks"))
+    rare = asked.join(F.broadcast(common), "char", "left").groupBy("needle").agg(F.min_by("char", F.coalesce("n", F.lit(0))).alias("char"))
+    rare = saved(rare.withColumn("asks", mask(characters(F.col("needle")))), "rarest")
+    few = (rare.agg(F.sum(F.octet_length("needle") + F.lit(100))).first()[0] or 0) <= MOST_BYTES
+    among_equal = Window.partitionBy("label").orderBy("ordinal")
+    firsts = rows.withColumn("place", F.row_number().over(among_equal)).where(F.col("place") <= limit)
+    index = firsts.select("ordinal", "label", mask(characters(F.col("label"))).alias("has"), F.explode(characters(F.col("label"))).alias("char"))
+    met = (F.broadcast(rare).join(index, "char") if few else rare.join(index.hint("merge"), "char")).where(F.col("has").bitwiseAND(F.col("asks")) == F.col("asks"))
     scored = met.select("needle", "ordinal", "label", subsequence_score_col(F.col("label"), F.col("needle")).alias("score")).where("score is not null")
     by_score = Window.partitionBy("needle").orderBy("score", F.collate(F.col("label"), collation), "ordinal")
     found = scored.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= limit)

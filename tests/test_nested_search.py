@@ -3,6 +3,8 @@
 import json
 import random
 
+import pytest
+
 from shoal.operators import search, tree
 
 
@@ -67,3 +69,49 @@ def test_many_needles_find_what_each_finds(spark):
         scored = [(score(t, needle) if needle else 0, t.encode() if needle else b"", i) for i, t in labels if t is not None and score(t, needle) is not None]
         assert found.pop(needle, []) == [(k + 1, s, i) for k, (s, _, i) in enumerate(sorted(scored)[:7])], needle
     assert not found
+
+
+def best(labels, needles, limit):
+    """needle, place, score, ordinal, by scoring all with all."""
+    out = []
+    for needle in {x for x in needles if x is not None}:
+        scored = [(score(t, needle) if needle else 0, t.encode() if needle else b"", i) for i, t in labels if t is not None and score(t, needle) is not None]
+        out += [(needle, k + 1, s, i) for k, (s, _, i) in enumerate(sorted(scored)[:limit])]
+    return sorted(out)
+
+
+def broadcasts(plan):
+    """Rows of each broadcast of a plan that has run."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return broadcasts(plan.executedPlan())
+    below = [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    return own + [n for p in below for n in broadcasts(p)]
+
+
+def crowd(rng):
+    """Labels of which some occur more often than a search's limit, under ordinals in no order."""
+    texts = ["".join(rng.choice("abcdeé_Z ") for _ in range(rng.randrange(9))) for _ in range(150)] + ["ab_c", "aB_c", "", None] * 40
+    ordinals = rng.sample(range(5000), len(texts))
+    needles = ["".join(rng.choice("abceÉz_") for _ in range(rng.randrange(4))) for _ in range(40)] + ["", "q", "ab", "abc", None]
+    return list(zip(ordinals, texts, strict=True)), needles
+
+
+@pytest.mark.parametrize("most", [search.MOST_BYTES, 0])
+def test_many_needles_among_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "MOST_BYTES", most)
+    labels, needles = crowd(random.Random(11))
+    df = search.many_searches(spark.createDataFrame(labels, "n int, name string"), spark.createDataFrame([(x,) for x in needles], "w string"), "name", "n", "w", limit=7, collation="UTF8_BINARY")
+    assert sorted((r.needle, r.place, r.score, r.ordinal) for r in df.collect()) == best(labels, needles, 7)
+
+
+@pytest.mark.parametrize("most", [search.MOST_BYTES, 0])
+def test_labels_that_look_small_are_not_broadcast(spark, monkeypatch, tmp_path, most):
+    """In its file a table of labels is far smaller than its index, so an estimate from the file must not decide."""
+    monkeypatch.setattr(search, "MOST_BYTES", most)
+    spark.range(3000).selectExpr("id as n", "concat('label ', id) as name").write.parquet(str(tmp_path / "labels"))
+    needles = spark.createDataFrame([("l9",), ("b12",), ("",)], "w string")
+    df = search.many_searches(spark.read.parquet(str(tmp_path / "labels")), needles, "name", "n", "w", limit=5)
+    assert df.count() == len(df.collect()) == 15
+    assert max(broadcasts(df._jdf.queryExecution().executedPlan()), default=0) <= 5
